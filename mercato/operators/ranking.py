@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # Up to this many rows one task ranks faster than a shuffle into ranges does.
 ONE_TASK_ROWS = 200_000
+MAX_RANGES = 256
 
 
 def rank_in_ranges(df: DataFrame, value: str, name: str, slices: int | None = None) -> DataFrame:
@@ -19,13 +20,14 @@ def rank_in_ranges(df: DataFrame, value: str, name: str, slices: int | None = No
     higher ranges plus the rows above it in its own range plus one. The cut points only steer the
     balance: the result is exact wherever they lie.
     """
-    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = slices or min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_RANGES)
     column = F.col(value)
     parts = [n / slices for n in range(1, slices)] or [0.5]
-    cuts = df.select(F.percentile_approx(column.cast("double"), parts, F.lit(10_000))).scalar()
+    cuts = df.select(F.percentile_approx(column.cast("double"), parts, F.lit(10_000))).first()[0] or []
     counted = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    above = F.filter(cuts, lambda cut: cut > column.cast("double"))
-    counted = counted.withColumn("_slice", F.coalesce(F.when(column.isNotNull(), F.size(above)), F.lit(0)))
+    # Nulls sort before the highest value.
+    above = F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut > column.cast("double"))
+    counted = counted.withColumn("_slice", F.when(column.isNull(), 0).otherwise(F.size(above)))
 
     # One row per range: never more than ``slices``.
     sizes = counted.groupBy("_slice").agg(F.sum("_n").alias("_rows"))

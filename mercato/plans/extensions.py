@@ -12,8 +12,6 @@ from mercato.plans.staging import stg_customers, stg_order_items, stg_orders, st
 
 Tables = Mapping[str, DataFrame]
 
-_ALL = Window.partitionBy()
-
 
 def delay_impact_on_reviews(fct_orders: DataFrame) -> DataFrame:
     """Review score and sentiment by how late the order came."""
@@ -59,7 +57,7 @@ def revenue_by_category(tables: Tables) -> DataFrame:
 def review_score_distribution(tables: Tables) -> DataFrame:
     """Reviews per score and their share."""
     scores = tables["order_reviews"].groupBy("review_score").agg(F.count(F.lit(1)).alias("reviews"))
-    return scores.withColumn("pct_reviews", percent(F.col("reviews"), F.sum("reviews").over(_ALL)))
+    return scores.withColumn("pct_reviews", percent(F.col("reviews"), F.sum("reviews").over(Window.partitionBy())))
 
 
 def seller_performance(tables: Tables) -> DataFrame:
@@ -161,4 +159,4 @@ def returning_shoppers(tables: Tables) -> DataFrame:
         orders.join(people, "customer_id").groupBy("customer_unique_id").agg(F.sum("orders").alias("orders_placed"))
     )
     groups = per_person.groupBy("orders_placed").agg(F.count(F.lit(1)).alias("shoppers"))
-    return groups.withColumn("pct_shoppers", percent(F.col("shoppers"), F.sum("shoppers").over(_ALL)))
+    return groups.withColumn("pct_shoppers", percent(F.col("shoppers"), F.sum("shoppers").over(Window.partitionBy())))

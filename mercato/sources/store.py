@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 class Store(Mapping):
     """A folder of Parquet tables, used like a dictionary of DataFrames."""
 
@@ -20,21 +24,14 @@ class Store(Mapping):
         return f"{self.root}/{table}"
 
     def __getitem__(self, table: str) -> DataFrame:
-        try:
-            df = self.spark.read.parquet(self.path(table))
-        except AnalysisException as error:
-            if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise KeyError(table) from error
-            raise
-        self._known.add(table)
-        return df
+        if table not in self:
+            raise KeyError(table)
+        return self.spark.read.parquet(self.path(table))
 
     def __contains__(self, table: object) -> bool:
-        try:
-            self[table]
-        except KeyError:
-            return False
-        return True
+        if table not in self._known and exists(self.spark, self.path(table)):
+            self._known.add(table)
+        return table in self._known
 
     def __iter__(self) -> Iterator[str]:
         return iter(sorted(self._known))
@@ -63,7 +60,7 @@ class DerivedStore(Store):
             if table not in self.builders:
                 raise KeyError(table)
             self.overwrite(self.builders[table](self), table)
-        return super().__getitem__(table)
+        return self.spark.read.parquet(self.path(table))
 
     def __contains__(self, table: object) -> bool:
         return table in self.builders
