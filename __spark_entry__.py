@@ -14,7 +14,7 @@ from mercato.functions.numbers import exact_average, to_number, to_whole
 from mercato.functions.text import strip, without_missing_tokens, zero_fill
 from mercato.functions.times import day_name, day_of_week, month_name, to_utc
 from mercato.operators.deletes import propagate_deletes
-from mercato.operators.keys import ARRIVAL, anti_filter, keep_first, null_orphans, semi_filter
+from mercato.operators.keys import anti_filter, keep_first, null_orphans, semi_filter
 from mercato.operators.ranking import rank_in_ranges
 from mercato.operators.upsert import insert_if_absent
 from mercato.plans import analytics, extensions, quality
@@ -168,7 +168,7 @@ def _csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     path = fresh_path(spark, "reviews_csv")
     reviews.select(*ORDER_REVIEWS.columns).write.option("header", True).option("escape", '"').csv(path)
-    return read_csv(spark, path, ORDER_REVIEWS).drop(ARRIVAL)
+    return read_csv(spark, path, ORDER_REVIEWS).select(*ORDER_REVIEWS.columns)
 
 
 def _keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:

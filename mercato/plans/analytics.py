@@ -7,42 +7,41 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercato.functions.numbers import exact_average, exact_ratio, percent
+from mercato.functions.numbers import exact_ratio, percent
 from mercato.operators.ranking import ONE_TASK_ROWS, add_ranks
 from mercato.session import written
 
 Tables = Mapping[str, DataFrame]
 
 
-def _delivered_by_state(tables: Tables) -> DataFrame:
-    """Delivered orders with their customer's state."""
-    orders = tables["orders"].where("order_status = 'delivered'").select("order_id", "customer_id")
-    customers = tables["customers"].select("customer_id", "customer_state")
-    return orders.join(customers, "customer_id").select("order_id", "customer_state")
+def _delivered(tables: Tables) -> DataFrame:
+    return tables["orders"].where("order_status = 'delivered'").select("order_id", "customer_id")
+
+
+def _states(tables: Tables) -> DataFrame:
+    return tables["customers"].select("customer_id", "customer_state")
 
 
 def seller_footprint(tables: Tables, min_orders: int = 3) -> DataFrame:
     """Per seller: states reached, orders, revenue and mean line amount, delivered orders only.
 
-    An order has one customer and so one state. Counting orders per (seller, state) first leaves
-    plain sums and counts: no distinct aggregate, and every step shrinks before its shuffle.
+    Lines shrink to one row per order and seller right after the join on the order, whose
+    partitioning they still have. Orders are then counted as rows, so the only distinct aggregate
+    is the one over states, of which a seller has few.
     """
-    lines = (
+    per_order = (
         tables["order_items"]
         .select("order_id", "seller_id", (F.col("price") + F.col("freight_value")).alias("amount"))
-        .join(_delivered_by_state(tables), "order_id")
-    )
-    per_order = lines.groupBy("order_id", "seller_id", "customer_state").agg(
-        F.sum("amount").alias("amount"), F.count("amount").alias("lines")
-    )
-    per_state = per_order.groupBy("seller_id", "customer_state").agg(
-        F.count(F.lit(1)).alias("orders"), F.sum("amount").alias("amount"), F.sum("lines").alias("lines")
+        .join(_delivered(tables), "order_id")
+        .groupBy("order_id", "customer_id", "seller_id")
+        .agg(F.sum("amount").alias("amount"), F.count("amount").alias("lines"))
     )
     return (
-        per_state.groupBy("seller_id")
+        per_order.join(_states(tables), "customer_id")
+        .groupBy("seller_id")
         .agg(
-            F.count("customer_state").alias("states_reached"),
-            F.sum("orders").alias("total_orders"),
+            F.countDistinct("customer_state").alias("states_reached"),
+            F.count(F.lit(1)).alias("total_orders"),
             F.round(F.sum("amount"), 2).alias("total_revenue"),
             F.round(exact_ratio(F.sum("amount"), F.sum("lines")), 2).alias("avg_order_value"),
         )
@@ -102,7 +101,8 @@ def payment_installments_by_state(tables: Tables, min_orders: int = 100) -> Data
         )
     )
     states = (
-        per_order.join(_delivered_by_state(tables), "order_id")
+        per_order.join(_delivered(tables), "order_id")
+        .join(_states(tables), "customer_id")
         .groupBy("customer_state")
         .agg(
             F.count(F.lit(1)).alias("total_orders"),

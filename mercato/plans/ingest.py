@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
 from mercato.operators.upsert import insert_if_absent
 from mercato.plans.clean import builders, clean
-from mercato.schemas import LOAD_ORDER
+from mercato.schemas import LOAD_ORDER, Table
 from mercato.session import fresh_path
 from mercato.sources.csv import read_csv_folder
 from mercato.sources.store import DerivedStore, Store
@@ -53,11 +54,24 @@ def ingest(raw: Mapping[str, DataFrame], store: Store, parents: str = BATCH) ->
     known: Mapping[str, DataFrame] = _WithStored(batch, store) if parents == BATCH_AND_STORED else batch
     batch.builders = {name: (lambda _, build=build: build(known)) for name, build in builders(raw).items()}
 
-    inserted = {}
-    for table in LOAD_ORDER:
+    def load(table: Table) -> int:
         rows = batch[table.name] if table.name in _PARENTS else clean(table.name, raw[table.name], known)
-        inserted[table.name] = insert_if_absent(rows, store, table.name, table.key, table.unique)
-    return inserted
+        return insert_if_absent(rows, store, table.name, table.key, table.unique)
+
+    inserted: dict[str, int] = {}
+    for level in _levels():
+        # Tables of a level do not refer to each other: their jobs share the cluster.
+        with ThreadPoolExecutor(len(level)) as pool:
+            inserted.update(zip([t.name for t in level], pool.map(load, level)))
+    return {t.name: inserted[t.name] for t in LOAD_ORDER}
+
+
+def _levels() -> list[list[Table]]:
+    """The tables in groups, each after all the parents of its tables."""
+    depth: dict[str, int] = {}
+    for table in LOAD_ORDER:
+        depth[table.name] = 1 + max((depth[fk.parent] for fk in table.references), default=-1)
+    return [[t for t in LOAD_ORDER if depth[t.name] == n] for n in range(max(depth.values()) + 1)]
 
 
 def ingest_folder(spark: SparkSession, folder: str, store_root: str, parents: str = BATCH) -> dict[str, int]:

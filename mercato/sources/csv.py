@@ -4,21 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercato.functions.text import without_missing_tokens
-from mercato.operators.keys import ARRIVAL
+from mercato.operators.keys import arrival
 from mercato.schemas import LOAD_ORDER, Table
 
 
-def file_order() -> F.Column:
+def file_order() -> list[Column]:
     """Position of a row in its files. Only valid right at the scan, before any shuffle."""
-    return F.struct(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
-    )
+    return arrival("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
 
 
 def read_csv(spark: SparkSession, path: str, table: Table) -> DataFrame:
@@ -29,8 +25,7 @@ def read_csv(spark: SparkSession, path: str, table: Table) -> DataFrame:
     """
     # Without a schema and without inference: text columns, found by their name in the header.
     reader = spark.read.option("header", True).option("escape", '"').option("multiLine", table.multiline)
-    rows = reader.csv(path).select(*table.columns, file_order().alias(ARRIVAL))
-    return without_missing_tokens(rows)
+    return without_missing_tokens(reader.csv(path).select(*table.columns, *file_order()))
 
 
 def read_csv_folder(spark: SparkSession, folder: str, files: Mapping[str, str] | None = None) -> dict[str, DataFrame]:

@@ -9,17 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.operators.keys import ARRIVAL
+from mercato.operators.keys import arrival
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-def _arrival(*columns: str) -> Column:
-    return F.struct(*columns).alias(ARRIVAL)
-
-
 def _plus(moment: Column, days: Column | int = 0, hours: Column | int = 0) -> Column:
     def whole(n: Column | int) -> Column:
         return F.lit(n).cast("int") if isinstance(n, int) else n.cast("int")
@@ -46,7 +42,7 @@ def geolocation(spark: SparkSession, folder: str) -> DataFrame:
             (-balance).cast("decimal(12,6)").alias("geolocation_lng"),
             _city("c_nationkey").alias("geolocation_city"),
             _state("c_nationkey").alias("geolocation_state"),
-            _arrival("c_custkey"),
+            *arrival("c_custkey"),
         )
     )
 
@@ -60,7 +56,7 @@ def product_category_name_translation(spark: SparkSession, folder: str) -> DataF
         .select(
             F.col("p_type").alias("product_category_name"),
             F.lower("p_type").alias("product_category_name_english"),
-            _arrival("p_type"),
+            *arrival("p_type"),
         )
     )
 
@@ -72,7 +68,7 @@ def customers(spark: SparkSession, folder: str) -> DataFrame:
         F.col("c_nationkey").cast("string").alias("customer_zip_code_prefix"),
         _city("c_nationkey").alias("customer_city"),
         _state("c_nationkey").alias("customer_state"),
-        _arrival("c_custkey"),
+        *arrival("c_custkey"),
     )
 
 
@@ -82,7 +78,7 @@ def sellers(spark: SparkSession, folder: str) -> DataFrame:
         F.col("s_nationkey").cast("string").alias("seller_zip_code_prefix"),
         _city("s_nationkey").alias("seller_city"),
         _state("s_nationkey").alias("seller_state"),
-        _arrival("s_suppkey"),
+        *arrival("s_suppkey"),
     )
 
 
@@ -97,7 +93,7 @@ def products(spark: SparkSession, folder: str) -> DataFrame:
         F.col("p_size").cast("decimal(8,2)").alias("product_length_cm"),
         (F.col("p_size") % 20 + 1).cast("decimal(8,2)").alias("product_height_cm"),
         (F.col("p_size") % 30 + 1).cast("decimal(8,2)").alias("product_width_cm"),
-        _arrival("p_partkey"),
+        *arrival("p_partkey"),
     )
 
 
@@ -118,7 +114,7 @@ def orders(spark: SparkSession, folder: str) -> DataFrame:
         F.when(status.isin("F", "O"), _plus(purchase, days=2)).alias("order_delivered_carrier_date"),
         F.when(status == "F", _plus(day, days=key * 7919 % 60, hours=key % 24)).alias("order_delivered_customer_date"),
         _plus(day, days=30).alias("order_estimated_delivery_date"),
-        _arrival("o_orderkey"),
+        *arrival("o_orderkey"),
     )
 
 
@@ -133,7 +129,7 @@ def order_items(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_shipdate").cast("timestamp").alias("shipping_limit_date"),
         price.alias("price"),
         freight.alias("freight_value"),
-        _line_arrival(),
+        *_line_arrival(),
     )
 
 
@@ -145,13 +141,13 @@ def payments(spark: SparkSession, folder: str) -> DataFrame:
         F.when(flag == "R", "credit_card").when(flag == "A", "boleto").otherwise("voucher").alias("payment_type"),
         (F.col("l_quantity").cast("int") % 11).alias("payment_installments"),
         F.col("l_extendedprice").cast("decimal(12,2)").alias("payment_value"),
-        _line_arrival(),
+        *_line_arrival(),
     )
 
 
-def _line_arrival() -> Column:
+def _line_arrival() -> list[Column]:
     """A total order of the lines with the same order and line number."""
-    return _arrival(
+    return arrival(
         "l_shipdate",
         "l_partkey",
         "l_suppkey",
@@ -174,7 +170,7 @@ def order_reviews(spark: SparkSession, folder: str) -> DataFrame:
         F.col("props").alias("review_comment_message"),
         written.alias("review_creation_date"),
         _plus(written, days=1).alias("review_answer_timestamp"),
-        _arrival("ts", "event_id"),
+        *arrival("ts", "event_id"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -18,7 +19,8 @@ class Store(Mapping):
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        self._known: set[str] = set()
+        # Schemas of the tables seen so far: a reader that is told the schema opens no file for it.
+        self._known: dict[str, StructType] = {}
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -26,11 +28,11 @@ class Store(Mapping):
     def __getitem__(self, table: str) -> DataFrame:
         if table not in self:
             raise KeyError(table)
-        return self.spark.read.parquet(self.path(table))
+        return self.spark.read.schema(self._known[table]).parquet(self.path(table))
 
     def __contains__(self, table: object) -> bool:
         if table not in self._known and exists(self.spark, self.path(table)):
-            self._known.add(table)
+            self._known[table] = self.spark.read.parquet(self.path(table)).schema
         return table in self._known
 
     def __iter__(self) -> Iterator[str]:
@@ -41,11 +43,11 @@ class Store(Mapping):
 
     def append(self, df: DataFrame, table: str) -> None:
         df.write.mode("append").parquet(self.path(table))
-        self._known.add(table)
+        self._known[table] = df.schema
 
     def overwrite(self, df: DataFrame, table: str) -> None:
         df.write.mode("overwrite").parquet(self.path(table))
-        self._known.add(table)
+        self._known[table] = df.schema
 
 
 class DerivedStore(Store):
@@ -60,7 +62,7 @@ class DerivedStore(Store):
             if table not in self.builders:
                 raise KeyError(table)
             self.overwrite(self.builders[table](self), table)
-        return self.spark.read.parquet(self.path(table))
+        return self.spark.read.schema(self._known[table]).parquet(self.path(table))
 
     def __contains__(self, table: object) -> bool:
         return table in self.builders
