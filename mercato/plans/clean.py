@@ -153,12 +153,10 @@ def _order_items(df: DataFrame) -> DataFrame:
 def _order_item_rules(parents: Parents) -> list[Rule]:
     return [
         required("order_id", "order_item_id", "product_id", "seller_id"),
-        # The order is part of the key, so this keeps or drops all copies of a line alike and may
-        # go before the choice of the first one, which then needs no shuffle of its own.
-        _is_child(ORDER_ITEMS, "order_id", parents),
         FirstOf("repeated line", ORDER_ITEMS.key),
-        _is_child(ORDER_ITEMS, "seller_id", parents),
+        _is_child(ORDER_ITEMS, "order_id", parents),
         _is_child(ORDER_ITEMS, "product_id", parents),
+        _is_child(ORDER_ITEMS, "seller_id", parents),
         required("price", "freight_value"),
         Keep("negative amount", (F.col("price") >= 0) & (F.col("freight_value") >= 0)),
     ]
@@ -172,10 +170,12 @@ def _payments(df: DataFrame) -> DataFrame:
 def _payment_rules(parents: Parents) -> list[Rule]:
     return [
         required("order_id", "payment_sequential", "payment_type", "payment_installments", "payment_value"),
-        _is_child(PAYMENTS, "order_id", parents),
         Keep("unknown type", F.col("payment_type").isin(*PAYMENT_TYPES)),
         Keep("out of range", (F.col("payment_installments") >= 1) & (F.col("payment_value") >= 0)),
         FirstOf("repeated payment", PAYMENTS.key),
+        # The order is part of the key: all copies of a payment pass this or none does. It comes
+        # last because the choice of the first copy shrinks the rows before they are shuffled.
+        _is_child(PAYMENTS, "order_id", parents),
     ]
 
 

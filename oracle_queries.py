@@ -348,10 +348,10 @@ REJECTS = " union all ".join(
             "order_items",
             ("input", "select count(*) from raw_order_items"),
             ("missing order_id, order_item_id, product_id, seller_id", "select count(*) from raw_order_items"),
-            ("unknown order_id", f"select count(*) from raw_order_items where {_KNOWN_ORDER}"),
-            ("repeated line", f"select count(*) from raw_order_items where arrival = 1 and {_KNOWN_ORDER}"),
-            ("unknown seller_id", f"select count(*) from raw_order_items where arrival = 1 and {_KNOWN_ORDER}"),
+            ("repeated line", "select count(*) from raw_order_items where arrival = 1"),
+            ("unknown order_id", f"select count(*) from raw_order_items where arrival = 1 and {_KNOWN_ORDER}"),
             ("unknown product_id", "select count(*) from items"),
+            ("unknown seller_id", "select count(*) from items"),
             ("missing price, freight_value", "select count(*) from items"),
             ("negative amount", "select count(*) from items"),
         ),
@@ -362,13 +362,14 @@ REJECTS = " union all ".join(
                 "missing order_id, payment_sequential, payment_type, payment_installments, payment_value",
                 "select count(*) from raw_payments",
             ),
-            ("unknown order_id", f"select count(*) from raw_payments where {_KNOWN_ORDER}"),
-            ("unknown type", f"select count(*) from raw_payments where {_KNOWN_ORDER}"),
+            ("unknown type", "select count(*) from raw_payments"),
+            ("out of range", "select count(*) from raw_payments where payment_installments >= 1"),
             (
-                "out of range",
-                f"select count(*) from raw_payments where {_KNOWN_ORDER} and payment_installments >= 1",
+                "repeated payment",
+                "select count(*) from (select distinct order_id, payment_sequential from raw_payments"
+                " where payment_installments >= 1)",
             ),
-            ("repeated payment", "select count(*) from payments"),
+            ("unknown order_id", "select count(*) from payments"),
         ),
         _chain(
             "order_reviews",
