@@ -1,0 +1,125 @@
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from conftest import executed_plan
+from helpers import dec, tuples, typed
+from mercato.plans.marts import MARTS, dim_dates, dim_products, fct_orders
+from mercato.plans.staging import STAGING, create_views, stg_order_reviews, stg_orders, stg_products
+
+
+def order(key, status="delivered", **times):
+    names = {
+        "bought": "order_purchase_timestamp",
+        "delivered": "order_delivered_customer_date",
+        "estimated": "order_estimated_delivery_date",
+    }
+    return {"order_id": key, "customer_id": "c", "order_status": status, **{names[k]: v for k, v in times.items()}}
+
+
+def test_delay(spark):
+    rows = [
+        order("same", delivered="2017-01-03 00:00:00", estimated="2017-01-03 00:00:00"),
+        order("early", delivered="2017-01-01 12:00:00", estimated="2017-01-03 00:00:00"),
+        order("late", delivered="2017-01-04 06:00:00", estimated="2017-01-03 00:00:00"),
+        order("never", estimated="2017-01-03 00:00:00"),
+    ]
+    got = stg_orders({"orders": typed(spark, "orders", rows)}).select("order_id", "delivery_delay_days", "is_on_time")
+    assert tuples(got) == [("same", 0.0, True), ("early", -1.5, True), ("late", 1.25, False), ("never", None, False)]
+
+
+def test_sentiment(spark):
+    scores = [5, 4, 3, 2, 1, None]
+    rows = [{"review_id": f"r{n}", "order_id": "o", "review_score": s} for n, s in enumerate(scores)]
+    got = stg_order_reviews({"order_reviews": typed(spark, "order_reviews", rows)}).orderBy("review_id")
+    assert [r["sentiment"] for r in got.collect()] == ["positive"] * 2 + ["neutral"] + ["negative"] * 3
+
+
+def test_product_names(spark):
+    tables = {
+        "products": typed(
+            spark,
+            "products",
+            [
+                {"product_id": "p1", "product_category_name": "bebes", "product_name_lenght": 7},
+                {"product_id": "p2", "product_category_name": None},
+            ],
+        ),
+        "product_category_name_translation": typed(
+            spark,
+            "product_category_name_translation",
+            [{"product_category_name": "bebes", "product_category_name_english": "baby"}],
+        ),
+    }
+    got = stg_products(tables).select("product_id", "category_name_english", "product_name_length")
+    assert sorted(tuples(got)) == [("p1", "baby", 7), ("p2", None, None)]
+    assert "product_name_length" not in dim_products(tables).columns
+
+
+def shop(spark):
+    item = {"product_id": "p", "seller_id": "s", "order_id": "o1"}
+    pay = {"order_id": "o1", "payment_installments": 1}
+    return {
+        "orders": typed(spark, "orders", [order("o1"), order("o2"), order("o3")]),
+        "order_items": typed(
+            spark,
+            "order_items",
+            [
+                {**item, "order_item_id": 1, "price": "10.00", "freight_value": "1.50"},
+                {**item, "order_item_id": 2, "price": "5.25", "freight_value": "0.25"},
+            ],
+        ),
+        "payments": typed(
+            spark,
+            "payments",
+            [
+                {**pay, "payment_sequential": 1, "payment_type": "credit_card", "payment_value": "15.00"},
+                {**pay, "payment_sequential": 2, "payment_type": "voucher", "payment_value": "2.00"},
+            ],
+        ),
+        "order_reviews": typed(spark, "order_reviews", [{"review_id": "r", "order_id": "o3", "review_score": 1}]),
+    }
+
+
+def test_fact_does_not_multiply_lines_and_payments(spark):
+    got = fct_orders(shop(spark)).orderBy("order_id")
+    assert len(got.columns) == 19
+    assert tuples(got.select(*got.columns[10:])) == [
+        (2, dec("15.25"), dec("1.75"), dec("17.00"), dec("17.00"), 2, "voucher", None, None),
+        (None,) * 9,
+        (None, None, None, None, None, None, None, 1, "negative"),
+    ]
+
+
+def test_fact_shuffles_each_table_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = executed_plan(fct_orders(shop(spark)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning(order_id") == plan.count("Exchange") == 4
+
+
+def test_dates(spark):
+    times = ["2017-10-01 23:30:00", "2017-10-01 00:00:00", "2017-10-07 12:00:00", "2017-05-01 09:00:00", None]
+    tables = {"orders": typed(spark, "orders", [order(f"o{n}", bought=t) for n, t in enumerate(times)])}
+    got = dim_dates(tables).withColumn("date_day", F.col("date_day").cast("string"))
+    assert tuples(got) == [
+        ("2017-05-01", 2017, 5, 1, 1, "May      ", "Monday   ", False),
+        ("2017-10-01", 2017, 10, 1, 0, "October  ", "Sunday   ", True),
+        ("2017-10-07", 2017, 10, 7, 6, "October  ", "Saturday ", True),
+    ]
+
+
+def test_models_over_the_sample(spark, lake):
+    rows = {"fct_orders": 1_427, "dim_customers": 147, "dim_sellers": 10, "dim_products": 193, "dim_dates": 1_056}
+    assert {name: lake[name].count() for name in MARTS} == rows
+    fact = lake["fct_orders"]
+    late, on_time, undelivered = fact.agg(
+        F.count_if(F.col("delivery_delay_days") > 0),
+        F.count_if("is_on_time"),
+        F.count_if(F.col("delivery_delay_days").isNull()),
+    ).first()
+    assert (late, on_time, undelivered) == (241, 239, 947)
+    create_views(lake)
+    assert all(spark.table(name).count() for name in STAGING)
