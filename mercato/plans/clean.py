@@ -8,9 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
 from mercato.functions.numbers import rounded_to_whole, to_number, to_whole
 from mercato.functions.text import strip, zero_fill
@@ -70,6 +73,7 @@ def _geolocation_rules(parents: Parents) -> list[Rule]:
         required("geolocation_zip_code_prefix"),
         required("geolocation_lat", "geolocation_lng"),
         FirstOf("repeated zip", GEOLOCATION.key),
+        required("geolocation_city", "geolocation_state"),
     ]
 
 
@@ -115,10 +119,13 @@ def _products(df: DataFrame) -> DataFrame:
 
 def _product_rules(parents: Parents) -> list[Rule]:
     weight = F.col("product_weight_g")
+    checks = [F.coalesce(F.expr(check), F.lit(True)) for check in PRODUCTS.checks.values()]
     return [
         required("product_id"),
         Keep("weight not positive", weight.isNull() | (weight > 0)),
         FirstOf("repeated product", PRODUCTS.key),
+        # Such a row would fail the whole load at its insert; here only the row stays out.
+        Keep("breaks a check", reduce(and_, checks)),
     ]
 
 
@@ -217,7 +224,12 @@ def clean(name: str, raw: DataFrame, parents: Parents) -> DataFrame:
     for fk in cleaner.table.references:
         if fk.on_delete == "set null":
             df = null_orphans(df, fk.column, parents[fk.parent], fk.parent_column)
-    return df.select(*cleaner.table.columns)
+    return df.select(*[_described(field) for field in cleaner.table.schema.fields])
+
+
+def _described(field: StructField) -> Column:
+    """The column along with its comment, which goes into the stored files."""
+    return F.col(field.name).alias(field.name, metadata=field.metadata) if field.metadata else F.col(field.name)
 
 
 def rejects(name: str, raw: DataFrame, parents: Parents) -> DataFrame:

@@ -74,6 +74,12 @@ def _levels() -> list[list[Table]]:
     return [[t for t in LOAD_ORDER if depth[t.name] == n] for n in range(max(depth.values()) + 1)]
 
 
+def reset(store: Store) -> None:
+    """Remove all tables, children before parents, for a load from scratch."""
+    for table in reversed(LOAD_ORDER):
+        store.drop(table.name)
+
+
 def ingest_folder(spark: SparkSession, folder: str, store_root: str, parents: str = BATCH) -> dict[str, int]:
     """Load the raw CSV files of a folder into the store at ``store_root``."""
     return ingest(read_csv_folder(spark, folder), Store(spark, store_root), parents)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercato.functions.times import day_name, day_of_week, month_name
@@ -103,3 +103,13 @@ def dim_dates(tables: Tables) -> DataFrame:
 MARTS: dict[str, Callable[[Tables], DataFrame]] = {
     f.__name__: f for f in (fct_orders, dim_customers, dim_sellers, dim_products, dim_dates)
 }
+
+
+def save_marts(spark: SparkSession, tables: Tables, database: str = "marts", folder: str | None = None) -> None:
+    """Rebuild every mart as a catalog table, below ``folder`` or in the warehouse."""
+    spark.sql(f"create database if not exists {database}")
+    for name, model in MARTS.items():
+        writer = model(tables).write.mode("overwrite")
+        if folder:
+            writer = writer.option("path", f"{folder.rstrip('/')}/{name}")
+        writer.saveAsTable(f"{database}.{name}")

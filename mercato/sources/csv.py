@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from mercato.functions.text import without_missing_tokens
 from mercato.operators.keys import arrival
@@ -28,6 +29,18 @@ def read_csv(spark: SparkSession, path: str, table: Table) -> DataFrame:
     return without_missing_tokens(reader.csv(path).select(*table.columns, *file_order()))
 
 
+def stream_csv(spark: SparkSession, folder: str, table: Table) -> DataFrame:
+    """The files of one raw table as they arrive, in the order of their arrival.
+
+    A stream needs its columns beforehand: a file whose header is not the declared one is an error.
+    """
+    text = StructType([StructField(c, StringType()) for c in table.columns])
+    reader = spark.readStream.schema(text).option("header", True).option("enforceSchema", False)
+    rows = reader.option("escape", '"').option("multiLine", table.multiline).csv(folder)
+    order = arrival("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start")
+    return without_missing_tokens(rows.select(*table.columns, *order))
+
+
 def read_csv_folder(spark: SparkSession, folder: str, files: Mapping[str, str] | None = None) -> dict[str, DataFrame]:
     """All raw tables of a folder; ``files`` overrides the file (or file pattern) of a table."""
     files = files or {}

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
+from threading import RLock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def _located(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it takes it."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
 
 
 class Store(Mapping):
@@ -31,10 +33,14 @@ class Store(Mapping):
         return self.spark.read.schema(self._known[table]).parquet(self.path(table))
 
     def __contains__(self, table: object) -> bool:
-        if table not in self._known and exists(self.spark, self.path(table)):
+        if table not in self._known and self._is_written(str(table)):
             self._known[table] = self.spark.read.parquet(self.path(table)).schema
         return table in self._known
 
+    def _is_written(self, table: str) -> bool:
+        files, path = _located(self.spark, self.path(table))
+        return files.exists(path)
+
     def __iter__(self) -> Iterator[str]:
         return iter(sorted(self._known))
 
@@ -43,12 +49,18 @@ class Store(Mapping):
 
     def append(self, df: DataFrame, table: str) -> None:
         df.write.mode("append").parquet(self.path(table))
-        self._known[table] = df.schema
+        self._known.setdefault(table, df.schema)
 
     def overwrite(self, df: DataFrame, table: str) -> None:
         df.write.mode("overwrite").parquet(self.path(table))
         self._known[table] = df.schema
 
+    def drop(self, table: str) -> None:
+        """Remove a table with its files, if it is there."""
+        files, path = _located(self.spark, self.path(table))
+        files.delete(path, True)
+        self._known.pop(table, None)
+
 
 class DerivedStore(Store):
     """A store that builds a table, from the others, when it is first asked for."""
@@ -56,12 +68,14 @@ class DerivedStore(Store):
     def __init__(self, spark: SparkSession, root: str, builders: Mapping[str, Callable[[Mapping], DataFrame]]):
         super().__init__(spark, root)
         self.builders = builders
+        self._locks: dict[str, RLock] = {}
 
     def __getitem__(self, table: str) -> DataFrame:
-        if table not in self._known:
-            if table not in self.builders:
-                raise KeyError(table)
-            self.overwrite(self.builders[table](self), table)
+        if table not in self.builders:
+            raise KeyError(table)
+        with self._locks.setdefault(table, RLock()):
+            if table not in self._known:
+                self.overwrite(self.builders[table](self), table)
         return self.spark.read.schema(self._known[table]).parquet(self.path(table))
 
     def __contains__(self, table: object) -> bool:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from mercato.operators.keys import ARRIVAL, arrival_columns
 from mercato.operators.upsert import insert_if_absent
 from mercato.plans.clean import clean
 from mercato.schemas import TABLES
@@ -18,12 +20,15 @@ def stream_into(
 ) -> StreamingQuery:
     """Clean and insert every micro-batch of a raw streaming table, then stop.
 
-    ``arriving`` carries the arrival order of its rows. A batch that is replayed after a failure
+    ``arriving`` carries the arrival order of its files; inside a file the order of rows is added
+    here, where a micro-batch still has the partitions of its scan. A batch that is replayed after a failure
     inserts nothing twice: its keys are in the store by then.
     """
     declared = TABLES[table]
 
     def load(batch: DataFrame, batch_id: int) -> None:
+        last = f"{ARRIVAL}{len(arrival_columns(batch))}"
+        batch = batch.withColumn(last, F.monotonically_increasing_id())
         insert_if_absent(clean(table, batch, parents), store, table, declared.key, declared.unique)
 
     return (

@@ -307,6 +307,7 @@ REJECTS = " union all ".join(
             ("missing geolocation_zip_code_prefix", "select count(*) from raw_geolocation"),
             ("missing geolocation_lat, geolocation_lng", "select count(*) from raw_geolocation"),
             ("repeated zip", "select count(distinct geolocation_zip_code_prefix) from raw_geolocation"),
+            ("missing geolocation_city, geolocation_state", "select count(*) from geo"),
         ),
         _chain(
             "product_category_name_translation",
@@ -335,6 +336,7 @@ REJECTS = " union all ".join(
             ("missing product_id", "select count(*) from raw_products"),
             ("weight not positive", "select count(*) from raw_products where product_weight_g > 0"),
             ("repeated product", "select count(*) from raw_products where product_weight_g > 0"),
+            ("breaks a check", "select count(*) from products"),
         ),
         _chain(
             "orders",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from helpers import PARENT_ORDERS, column, dec, raw_text, tuples, typed
 from mercato.plans.clean import clean, rejects
 from mercato.schemas import LOAD_ORDER, TABLES
+from mercato.sources.store import Store
 
 
 def test_geolocation(spark):
@@ -19,6 +20,7 @@ def test_geolocation(spark):
             {"geolocation_zip_code_prefix": None, "geolocation_lat": "9", "geolocation_lng": "9"},
         ],
     )
+    raw = raw.fillna("x", ["geolocation_city", "geolocation_state"])
     got = clean("geolocation", raw, {}).select("geolocation_zip_code_prefix", "geolocation_lat")
     assert tuples(got) == [("01037", dec("-23.500000"))]
 
@@ -30,6 +32,24 @@ def test_translation(spark):
     assert tuples(clean("product_category_name_translation", raw, {})) == [("a", "A")]
 
 
+def test_rows_that_the_schema_forbids_stay_out(spark):
+    place = {"geolocation_zip_code_prefix": "1", "geolocation_lat": "1", "geolocation_lng": "1"}
+    assert clean("geolocation", raw_text(spark, "geolocation", [place]), {}).isEmpty()
+    names = spark.createDataFrame([], TABLES["product_category_name_translation"].schema)
+    rows = [{"product_id": "p", "product_height_cm": "0"}, {"product_id": "q", "product_height_cm": "0.5"}]
+    kept = clean("products", raw_text(spark, "products", rows), {"product_category_name_translation": names})
+    assert column(kept, "product_id") == ["q"]
+
+
+def test_comments_go_along_with_the_columns(spark, tmp_path):
+    raw = raw_text(spark, "orders", [])
+    parents = {"customers": typed(spark, "customers", [])}
+    store = Store(spark, str(tmp_path))
+    store.append(clean("orders", raw, parents), "orders")
+    for source in (store, Store(spark, str(tmp_path))):
+        assert source["orders"].schema["order_status"].metadata == TABLES["orders"].schema["order_status"].metadata
+
+
 def places(spark):
     return {"geolocation": spark.createDataFrame([("01037",)], "geolocation_zip_code_prefix string")}
 

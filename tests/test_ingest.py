@@ -4,7 +4,7 @@ import pytest
 
 from helpers import column, raw_text, tuples, typed
 from mercato.operators.upsert import insert_if_absent
-from mercato.plans.ingest import BATCH, BATCH_AND_STORED, _levels, ingest, ingest_folder
+from mercato.plans.ingest import BATCH, BATCH_AND_STORED, _levels, ingest, ingest_folder, reset
 from mercato.schemas import LOAD_ORDER
 from mercato.sources.store import DerivedStore, Store
 
@@ -58,6 +58,12 @@ def test_a_derived_table_is_built_once(spark, tmp_path):
     assert built == [1]
 
 
+def test_reset(spark, store):
+    insert_if_absent(people(spark, ("a", "x")), store, "orders", ["id"])
+    reset(store)
+    assert "orders" not in store and "orders" not in Store(spark, store.root)
+
+
 def test_levels_put_parents_first():
     names = [{t.name for t in level} for level in _levels()]
     assert names[2] == {"orders"}

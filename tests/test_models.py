@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from conftest import executed_plan
 from helpers import dec, tuples, typed
-from mercato.plans.marts import MARTS, dim_dates, dim_products, fct_orders
+from mercato.plans.marts import MARTS, dim_dates, dim_products, fct_orders, save_marts
 from mercato.plans.staging import STAGING, create_views, stg_order_reviews, stg_orders, stg_products
 
 
@@ -123,3 +123,10 @@ def test_models_over_the_sample(spark, lake):
     assert (late, on_time, undelivered) == (241, 239, 947)
     create_views(lake)
     assert all(spark.table(name).count() for name in STAGING)
+
+
+def test_marts_as_catalog_tables(spark, lake, tmp_path):
+    for _ in range(2):
+        save_marts(spark, lake, "shop_marts", str(tmp_path))
+    assert spark.table("shop_marts.fct_orders").count() == 1_427
+    assert spark.table("shop_marts.dim_dates").columns == dim_dates(lake).columns
