@@ -198,8 +198,7 @@ def _rank_in_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _parquet(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"
     )
-    ranked = rank_in_ranges(lines, "l_extendedprice", "price_rank")
-    return rank_in_ranges(ranked, "l_quantity", "quantity_rank").drop("l_quantity")
+    return rank_in_ranges(lines, {"price_rank": "l_extendedprice", "quantity_rank": "l_quantity"}).drop("l_quantity")
 
 
 def _insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -413,7 +412,11 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Every query: (session, data folder) to DataFrame."""
-    return {name: (lambda spark, sf_dir, query=query: _portable(query(spark, sf_dir))) for name, query in _QUERIES.items()}
+
+    def registered(query: Query) -> Query:
+        return lambda spark, sf_dir: _portable(query(spark, sf_dir))
+
+    return {name: registered(query) for name, query in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -42,7 +42,7 @@ def timed(action: Callable[[], object]) -> float:
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "5"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = local_session(cores, name="bench")
     spark.sparkContext.setLogLevel("ERROR")
 

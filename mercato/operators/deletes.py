@@ -37,7 +37,9 @@ def propagate_deletes(tables: Mapping[str, DataFrame], parent: str, keys: DataFr
     for child, fk in _references(parent):
         doomed = keys.select(F.col(fk.parent_column).alias("_gone"))
         rows = changed.get(child, tables[child])
-        if fk.on_delete == CASCADE:
+        if fk.on_delete == CASCADE and not _references(child):
+            changed[child] = rows.join(doomed, rows[fk.column] == doomed["_gone"], "left_anti")
+        elif fk.on_delete == CASCADE:
             gone = rows.join(doomed, rows[fk.column] == doomed["_gone"], "left_semi")
             changed.update(propagate_deletes({**tables, **changed, child: rows}, child, gone))
         elif fk.on_delete != RESTRICT:

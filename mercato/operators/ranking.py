@@ -12,8 +12,8 @@ ONE_TASK_ROWS = 200_000
 MAX_RANGES = 256
 
 
-def rank_in_ranges(df: DataFrame, value: str, name: str, slices: int | None = None) -> DataFrame:
-    """``rank() over (order by value desc nulls first)``, worked out range by range.
+def ranks_of_values(df: DataFrame, value: str, name: str, slices: int | None = None) -> DataFrame:
+    """Each distinct value with its ``rank() over (order by value desc nulls first)``.
 
     Equal values are counted first, so a value that many rows share is one row from then on. The
     values are cut into ranges of about equal row numbers, highest first; a rank is the rows in
@@ -34,29 +34,34 @@ def rank_in_ranges(df: DataFrame, value: str, name: str, slices: int | None = No
     higher = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_slice", F.coalesce(F.sum("_rows").over(higher), F.lit(0)).alias("_start"))
 
-    inside = (
-        Window.partitionBy("_slice")
-        .orderBy(column.desc_nulls_first())
-        .rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_slice").orderBy(column.desc_nulls_first())
+    before = F.coalesce(F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return counted.join(F.broadcast(starts), "_slice").select(
+        column.alias(f"_{value}"), (F.col("_start") + before + 1).cast("bigint").alias(name)
     )
-    ranks = counted.join(F.broadcast(starts), "_slice").select(
-        column.alias("_value"),
-        (F.col("_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0)) + 1).cast("bigint").alias(name),
-    )
-    return df.join(ranks, df[value].eqNullSafe(ranks["_value"])).drop("_value")
+
+
+def rank_in_ranges(df: DataFrame, ranks: Mapping[str, str], slices: int | None = None) -> DataFrame:
+    """Add ``name: rank of value, highest first`` columns without sorting the table in one task.
+
+    The table is read once per rank and once more. Each rank comes from the table itself, not from
+    a table that has other ranks joined to it already.
+    """
+    ranked = df
+    for name, value in ranks.items():
+        values = ranks_of_values(df, value, name, slices)
+        ranked = ranked.join(values, ranked[value].eqNullSafe(values[f"_{value}"])).drop(f"_{value}")
+    return ranked
 
 
 def add_ranks(df: DataFrame, ranks: Mapping[str, str], one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
-    """Add ``name: rank of value, highest first`` columns to a written table.
+    """Add ``name: rank of value, highest first`` columns to a written table (see ``session.written``).
 
-    ``df`` must be cheap to read again (see ``session.written``): it is counted, and past
-    ``one_task_rows`` rows it is read once per rank.
+    The table is counted first: only up to ``one_task_rows`` rows does one task rank them all.
     """
-    if df.count() <= one_task_rows:
-        for name, value in ranks.items():
-            order = Window.orderBy(F.col(value).desc_nulls_first())
-            df = df.withColumn(name, F.rank().over(order).cast("bigint"))
-        return df
+    if df.count() > one_task_rows:
+        return rank_in_ranges(df, ranks)
     for name, value in ranks.items():
-        df = rank_in_ranges(df, value, name)
+        order = Window.orderBy(F.col(value).desc_nulls_first())
+        df = df.withColumn(name, F.rank().over(order).cast("bigint"))
     return df

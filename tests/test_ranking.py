@@ -19,7 +19,7 @@ SLOW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthChec
 def test_ranges_give_the_rank(spark, values, slices):
     df = spark.createDataFrame(list(enumerate(values)), "n int, v int")
     expected = df.select("n", F.rank().over(Window.orderBy(F.col("v").desc_nulls_first())))
-    ranked = rank_in_ranges(df, "v", "r", slices)
+    ranked = rank_in_ranges(df, {"r": "v"}, slices)
     assert ranked.columns == ["n", "v", "r"]
     assert sorted(tuples(ranked.select("n", "r"))) == sorted(tuples(expected))
 
@@ -29,13 +29,13 @@ def test_one_value_holding_a_third_of_all_rows(spark):
         "id", F.when(F.col("id") % 3 == 0, 500).otherwise(F.col("id") % 1_000).cast("decimal(10,2)").alias("v")
     )
     expected = df.select("id", F.rank().over(Window.orderBy(F.desc("v"))).alias("r"))
-    ranked = rank_in_ranges(df, "v", "r").select("id", "r")
+    ranked = rank_in_ranges(df, {"r": "v"}).select("id", "r")
     assert ranked.exceptAll(expected.select("id", F.col("r").cast("bigint"))).isEmpty()
 
 
 def test_only_range_totals_meet_in_one_task(spark):
     df = spark.range(1_000).withColumn("v", F.rand(1))
-    lines = executed_plan(rank_in_ranges(df, "v", "r")).splitlines()
+    lines = executed_plan(rank_in_ranges(df, {"r": "v"})).splitlines()
     single = [n for n, line in enumerate(lines) if "SinglePartition" in line]
     assert len(single) == 1
     below = next(line for line in lines[single[0] :] if "HashAggregate" in line)
