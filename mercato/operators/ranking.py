@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mercato.session import written
+
 # Up to this many rows one task ranks faster than a shuffle into ranges does.
 ONE_TASK_ROWS = 200_000
 MAX_RANGES = 256
@@ -54,13 +56,16 @@ def rank_in_ranges(df: DataFrame, ranks: Mapping[str, str], slices: int | None =
     return ranked
 
 
-def add_ranks(df: DataFrame, ranks: Mapping[str, str], one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
-    """Add ``name: rank of value, highest first`` columns to a written table (see ``session.written``).
+def add_ranks(
+    df: DataFrame, ranks: Mapping[str, str], at_most: int, one_task_rows: int = ONE_TASK_ROWS
+) -> DataFrame:
+    """Add ``name: rank of value, highest first`` columns to a table of ``at_most`` rows.
 
-    The table is counted first: only up to ``one_task_rows`` rows does one task rank them all.
+    Only a table that is known to be small is ranked by one task. Another one is written first,
+    since ranking it by ranges reads it several times.
     """
-    if df.count() > one_task_rows:
-        return rank_in_ranges(df, ranks)
+    if at_most > one_task_rows:
+        return rank_in_ranges(written(df, "to_rank"), ranks)
     for name, value in ranks.items():
         order = Window.orderBy(F.col(value).desc_nulls_first())
         df = df.withColumn(name, F.rank().over(order).cast("bigint"))

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from mercato.functions.numbers import exact_ratio, percent
 from mercato.operators.ranking import ONE_TASK_ROWS, add_ranks
-from mercato.session import written
 
 Tables = Mapping[str, DataFrame]
 
@@ -56,10 +55,11 @@ def seller_geographic_reach(
 
     A positive gap is a wide reach with little revenue. Ties at the cut go by seller id.
     """
-    footprint = written(seller_footprint(tables, min_orders), "seller_footprint")
-    states = F.col("states_reached")
-    ranked = add_ranks(footprint, {"geo_rank": "states_reached", "rev_rank": "total_revenue"}, one_task_rows)
     sellers = tables["sellers"].select("seller_id", "seller_city", "seller_state")
+    ranks = {"geo_rank": "states_reached", "rev_rank": "total_revenue"}
+    # A stored table is counted from its file footers.
+    ranked = add_ranks(seller_footprint(tables, min_orders), ranks, sellers.count(), one_task_rows)
+    states = F.col("states_reached")
     return (
         ranked.join(sellers, "seller_id")
         .select(

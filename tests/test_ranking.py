@@ -45,6 +45,6 @@ def test_only_range_totals_meet_in_one_task(spark):
 def test_small_and_large_tables_rank_alike(spark):
     df = spark.range(500).select("id", (F.col("id") * 7 % 50).alias("v"), (F.col("id") % 9).alias("w"))
     ranks = {"by_v": "v", "by_w": "w"}
-    small, large = add_ranks(df, ranks), add_ranks(df, ranks, one_task_rows=10)
+    small, large = add_ranks(df, ranks, 500), add_ranks(df, ranks, 500, one_task_rows=10)
     assert small.columns == large.columns and dict(small.dtypes) == dict(large.dtypes)
     assert sorted(tuples(small)) == sorted(tuples(large))
