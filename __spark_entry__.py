@@ -34,6 +34,7 @@ from oracle_queries import oracle
 Query = Callable[[SparkSession, str], DataFrame]
 
 _LAKES: dict[tuple[str, str], DerivedStore] = {}
+_BUCKETED: dict[str, dict[str, DataFrame]] = {}
 _LOCK = Lock()
 
 
@@ -270,10 +271,13 @@ def _over_raw(plan: Callable[..., DataFrame]) -> Query:
 
 def _bucketed(plan: Callable[..., DataFrame]) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        root = fresh_path(spark, "by_order")
-        prefix = root.rsplit("/", 1)[1].replace("-", "_") + "_"
-        return plan(bucket_by_order(_lake(spark, sf_dir), root, buckets, prefix))
+        lake = _lake(spark, sf_dir)
+        with _LOCK:
+            if lake.root not in _BUCKETED:
+                clean_tables = {t.name: lake[t.name] for t in LOAD_ORDER}
+                prefix = f"by_order_{len(_BUCKETED)}_"
+                _BUCKETED[lake.root] = bucket_by_order(clean_tables, f"{lake.root}/by_order", prefix=prefix)
+        return plan(_BUCKETED[lake.root])
 
     return query
 

@@ -32,14 +32,20 @@ def write_buckets(df: DataFrame, name: str, path: str, key: str, buckets: int, m
 
 
 def bucket_by_order(
-    tables: Mapping[str, DataFrame], root: str, buckets: int, prefix: str = "by_order_"
+    tables: Mapping[str, DataFrame], root: str, buckets: int | None = None, prefix: str = "by_order_"
 ) -> dict[str, DataFrame]:
-    """All tables, with those that carry an order id bucketed alike by it."""
+    """All tables, with those that carry an order id bucketed alike by it.
+
+    One task reads one bucket: without a number there are as many buckets as tasks run at a time.
+    Tables too large for that should get more, so that a sorted bucket fits a task.
+    """
+    others = {name: tables[name] for name in tables if name not in ORDER_TABLES}
+    buckets = buckets or tables["orders"].sparkSession.sparkContext.defaultParallelism
     bucketed = {
         name: write_buckets(tables[name], f"{prefix}{name}", f"{root}/{name}", "order_id", buckets)
         for name in ORDER_TABLES
     }
-    return {**{name: tables[name] for name in tables}, **bucketed}
+    return {**others, **bucketed}
 
 
 def write_by_month(df: DataFrame, path: str, moment: str, sort: str, month: str = "purchase_month") -> DataFrame:

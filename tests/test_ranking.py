@@ -9,7 +9,7 @@ from conftest import executed_plan
 from helpers import tuples
 from mercato.operators.ranking import add_ranks, rank_in_ranges
 
-SLOW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+SLOW = settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
 
 @SLOW

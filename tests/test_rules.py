@@ -10,7 +10,7 @@ from helpers import column, tuples
 from mercato.operators.keys import anti_filter, drop_null, in_domain, keep_first, null_orphans, semi_filter
 from mercato.operators.rules import FirstOf, HasParent, Keep, apply_rules, count_rejects, required
 
-SLOW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+SLOW = settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
 
 @SLOW
