@@ -8,55 +8,38 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 
 from mercato.operators.upsert import insert_if_absent
-from mercato.plans.clean import builders, clean
+from mercato.plans.clean import clean
 from mercato.schemas import LOAD_ORDER, Table
-from mercato.session import fresh_path
+from mercato.session import written
 from mercato.sources.csv import read_csv_folder
-from mercato.sources.store import DerivedStore, Store
+from mercato.sources.store import Store
 
 BATCH, BATCH_AND_STORED = "batch", "batch+stored"
 _PARENTS = {fk.parent for t in LOAD_ORDER for fk in t.references}
 
 
-class _WithStored(Mapping):
-    """Parent keys of this batch together with those already stored."""
-
-    def __init__(self, batch: Store, store: Store):
-        self.batch, self.store = batch, store
-
-    def __getitem__(self, name: str) -> DataFrame:
-        key = next(list(t.key) for t in LOAD_ORDER if t.name == name)
-        keys = self.batch[name].select(*key)
-        if name not in self.store:
-            return keys
-        return keys.unionByName(self.store[name].select(*key)).distinct()
-
-    def __iter__(self):
-        return iter(self.batch)
-
-    def __len__(self) -> int:
-        return len(self.batch)
-
-
 def ingest(raw: Mapping[str, DataFrame], store: Store, parents: str = BATCH) -> dict[str, int]:
     """Load all tables, parents first; return how many rows each one gained.
 
     ``parents="batch"`` accepts a child only if its parent is part of the same batch, even when
     the store holds the parent. ``"batch+stored"`` looks at both.
-
-    The clean form of a table that others refer to is written once and read back: its keys decide
-    on several children, and the insert reads it too.
     """
     if parents not in (BATCH, BATCH_AND_STORED):
         raise ValueError(f"parents must be {BATCH!r} or {BATCH_AND_STORED!r}, not {parents!r}")
-    spark = store.spark
-    batch = DerivedStore(spark, fresh_path(spark, "batch"), {})
-    known: Mapping[str, DataFrame] = _WithStored(batch, store) if parents == BATCH_AND_STORED else batch
-    batch.builders = {name: (lambda _, build=build: build(known)) for name, build in builders(raw).items()}
+    known: dict[str, DataFrame] = {}
 
     def load(table: Table) -> int:
-        rows = batch[table.name] if table.name in _PARENTS else clean(table.name, raw[table.name], known)
-        return insert_if_absent(rows, store, table.name, table.key, table.unique)
+        rows = clean(table.name, raw[table.name], known)
+        if table.name not in _PARENTS:
+            return insert_if_absent(rows, store, table.name, table.key, table.unique)
+        is_new = table.name not in store
+        if not is_new and parents == BATCH:
+            # Read by the insert and by every child: worked out once.
+            rows = written(rows, f"batch_{table.name}")
+        inserted = insert_if_absent(rows, store, table.name, table.key, table.unique)
+        # By now the store holds this batch. It holds nothing else if the table is new.
+        known[table.name] = rows if not is_new and parents == BATCH else store[table.name]
+        return inserted
 
     inserted: dict[str, int] = {}
     for level in _levels():
