@@ -23,7 +23,7 @@ from mercato.plans.ingest import ingest
 from mercato.plans.marts import MARTS, fct_orders
 from mercato.plans.staging import STAGING
 from mercato.schemas import LOAD_ORDER, ORDER_REVIEWS, ORDER_STATUSES, PAYMENTS
-from mercato.session import configure, fresh_path, written
+from mercato.session import configure, fresh_path
 from mercato.sources.csv import read_csv
 from mercato.sources.layout import bucket_by_order, write_by_month
 from mercato.sources.sample import raw_tables
@@ -230,12 +230,12 @@ def _ingest_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw payments as arriving files, streamed in twice with separate progress records."""
-    arriving = written(_raw(spark, sf_dir)["payments"], "arriving_payments")
-    folder = arriving.inputFiles()[0].rsplit("/", 1)[0]
+    raw, folder = _raw(spark, sf_dir)["payments"], fresh_path(spark, "arriving_payments")
+    raw.write.parquet(folder)
     parents = {"orders": _lake(spark, sf_dir)["orders"]}
     store = Store(spark, fresh_path(spark, "stream_ingest"))
     for _ in range(2):
-        files = spark.readStream.schema(arriving.schema).parquet(folder)
+        files = spark.readStream.schema(raw.schema).parquet(folder)
         stream_into(files, "payments", parents, store, fresh_path(spark, "progress")).awaitTermination()
     return store["payments"]
 
@@ -275,7 +275,8 @@ def _bucketed(plan: Callable[..., DataFrame]) -> Query:
         with _LOCK:
             if lake.root not in _BUCKETED:
                 clean_tables = {t.name: lake[t.name] for t in LOAD_ORDER}
-                prefix = f"by_order_{len(_BUCKETED)}_"
+                # Named after the lake, whose name nothing else has.
+                prefix = lake.root.rsplit("/", 1)[1].replace("-", "_") + "_"
                 _BUCKETED[lake.root] = bucket_by_order(clean_tables, f"{lake.root}/by_order", prefix=prefix)
         return plan(_BUCKETED[lake.root])
 

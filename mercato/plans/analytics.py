@@ -12,6 +12,11 @@ from mercato.operators.ranking import ONE_TASK_ROWS, add_ranks
 
 Tables = Mapping[str, DataFrame]
 
+# The most states a local and a regional seller ships to.
+LOCAL_STATES, REGIONAL_STATES = 1, 8
+# Names of the quarters of states, from most instalments to fewest.
+INSTALLMENT_PROFILES = ("high installment state", "above average", "below average", "low installment state")
+
 
 def _delivered(tables: Tables) -> DataFrame:
     return tables["orders"].where("order_status = 'delivered'").select("order_id", "customer_id")
@@ -30,7 +35,7 @@ def seller_footprint(tables: Tables, min_orders: int = 3) -> DataFrame:
     """
     per_order = (
         tables["order_items"]
-        .select("order_id", "seller_id", (F.col("price") + F.col("freight_value")).alias("amount"))
+        .selectExpr("order_id", "seller_id", "price + freight_value as amount")
         .join(_delivered(tables), "order_id")
         .groupBy("order_id", "customer_id", "seller_id")
         .agg(F.sum("amount").alias("amount"), F.count("amount").alias("lines"))
@@ -60,8 +65,14 @@ def seller_geographic_reach(
     # A stored table is counted from its file footers.
     ranked = add_ranks(seller_footprint(tables, min_orders), ranks, sellers.count(), one_task_rows)
     states = F.col("states_reached")
+    tier = (
+        F.when(states > REGIONAL_STATES, "national")
+        .when(states > LOCAL_STATES, "regional")
+        .when(states == LOCAL_STATES, "local")
+    )
     return (
         ranked.join(sellers, "seller_id")
+        .withColumns({"seller_tier": tier, "efficiency_gap": F.col("rev_rank") - F.col("geo_rank")})
         .select(
             "seller_id",
             "seller_city",
@@ -70,13 +81,10 @@ def seller_geographic_reach(
             "total_orders",
             "total_revenue",
             "avg_order_value",
-            F.when(states == 1, "local")
-            .when(states.between(2, 8), "regional")
-            .when(states > 8, "national")
-            .alias("seller_tier"),
+            "seller_tier",
             "geo_rank",
             "rev_rank",
-            (F.col("rev_rank") - F.col("geo_rank")).alias("efficiency_gap"),
+            "efficiency_gap",
         )
         .orderBy("geo_rank", "seller_id")
         .limit(top)
@@ -119,11 +127,10 @@ def payment_installments_by_state(tables: Tables, min_orders: int = 100) -> Data
     overall = exact_ratio(
         F.sum("avg_installments").over(Window.partitionBy()), F.count("avg_installments").over(Window.partitionBy())
     )
-    bucket = F.ntile(4).over(quarters)
     return (
         states.withColumns(
             {
-                "installment_bucket": bucket,
+                "quarter": F.ntile(4).over(quarters),
                 "installment_rank": F.rank().over(by_installments),
                 "spending_rank": F.rank().over(by_value),
                 "diff_from_avg": F.round(F.col("avg_installments") - overall, 2),
@@ -136,15 +143,7 @@ def payment_installments_by_state(tables: Tables, min_orders: int = 100) -> Data
             "avg_payment_value",
             "total_revenue",
             "pct_installment_orders",
-            F.element_at(
-                F.array(
-                    F.lit("high installment state"),
-                    F.lit("above average"),
-                    F.lit("below average"),
-                    F.lit("low installment state"),
-                ),
-                F.col("installment_bucket"),
-            ).alias("installment_profile"),
+            F.element_at(F.array(*map(F.lit, INSTALLMENT_PROFILES)), F.col("quarter")).alias("installment_profile"),
             "installment_rank",
             "spending_rank",
             "diff_from_avg",

@@ -166,7 +166,7 @@ BLOCKS = {
         from items i join ord o on i.order_id = o.order_id join customers c on o.customer_id = c.customer_id
         where order_status = 'delivered'
         group by seller_id having count(distinct o.order_id) >= 3""",
-    "state_stats": """
+    "by_state": """
         select customer_state, count(distinct o.order_id) as total_orders, count(*) as n,
                (2 * sum(payment_installments) * 100 + count(*)) // (2 * count(*)) as installments,
                (2 * cast(sum(payment_value) * 100 as bigint) + count(*)) // (2 * count(*)) as cents,
@@ -250,8 +250,8 @@ FCT = f"""select order_id, customer_id, order_status, {times(*STG_TIMES)}, deliv
 REACH = """
 select r.seller_id, s.seller_city, s.seller_state, states_reached, total_orders, cents / 100.0::double as total_revenue,
        ((2 * cents + n) // (2 * n)) / 100.0::double as avg_order_value,
-       case when states_reached = 1 then 'local' when states_reached between 2 and 8 then 'regional'
-            when states_reached > 8 then 'national' end as seller_tier,
+       case when states_reached > 8 then 'national' when states_reached > 1 then 'regional'
+            when states_reached = 1 then 'local' end as seller_tier,
        geo_rank, rev_rank, rev_rank - geo_rank as efficiency_gap
 from (select *, rank() over (order by states_reached desc nulls first) as geo_rank,
              rank() over (order by cents desc nulls first) as rev_rank from footprint) r
@@ -269,7 +269,7 @@ select customer_state, total_orders, installments / 100.0::double as avg_install
        rank() over (order by cents desc nulls first) as spending_rank,
        sign(installments * states - total)
            * ((2 * abs(installments * states - total) + states) // (2 * states)) / 100.0::double as diff_from_avg
-from state_stats, (select count(*) as states, sum(installments) as total from state_stats)"""
+from by_state, (select count(*) as states, sum(installments) as total from by_state)"""
 
 TREND = """
 select month, total_orders, cents / 100.0::double as monthly_revenue, active_sellers,
