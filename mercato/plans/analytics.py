@@ -62,7 +62,8 @@ def seller_geographic_reach(
     """
     sellers = tables["sellers"].select("seller_id", "seller_city", "seller_state")
     ranks = {"geo_rank": "states_reached", "rev_rank": "total_revenue"}
-    # A stored table is counted from its file footers.
+    # All lines have a known seller, so there are no more rows to rank than sellers. These are
+    # counted from the footers of their files.
     ranked = add_ranks(seller_footprint(tables, min_orders), ranks, sellers.count(), one_task_rows)
     states = F.col("states_reached")
     tier = (

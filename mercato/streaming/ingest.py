@@ -12,6 +12,7 @@ from mercato.operators.keys import ARRIVAL, arrival_columns
 from mercato.operators.upsert import insert_if_absent
 from mercato.plans.clean import clean
 from mercato.schemas import TABLES
+from mercato.session import configure
 from mercato.sources.store import Store
 
 
@@ -27,6 +28,8 @@ def stream_into(
     declared = TABLES[table]
 
     def load(batch: DataFrame, batch_id: int) -> None:
+        # A stream runs in a session of its own.
+        configure(batch.sparkSession)
         last = f"{ARRIVAL}{len(arrival_columns(batch))}"
         batch = batch.withColumn(last, F.monotonically_increasing_id())
         insert_if_absent(clean(table, batch, parents), store, table, declared.key, declared.unique)
