@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercato.llm import decontamination, line_dedup, mixing, quality, sharding, simhash
+from mercato.llm import sql
 from mercato.llm.common import table
 
 
@@ -56,3 +57,10 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_quality_rules": op8_quality_rules,
 }
+
+SQL = {
+    "op1_line_dedup": sql.OP1,
+    "op2_decontamination": sql.OP2,
+    "op7_mixing": sql.OP7,
+    "op8_quality_rules": sql.OP8,
+}
