@@ -410,6 +410,24 @@ _QUERIES: dict[str, Query] = {
 }
 
 
+def _corpus_queries() -> tuple[dict[str, Query], dict[str, str]]:
+    """Queries of the corpus operators and their SQL; nothing where that subpackage is not there."""
+    found, sql = {}, {}
+    try:
+        from mercato.llm import queries as corpus
+    except ImportError:
+        return found, sql
+    found, sql = dict(corpus.QUERIES), dict(corpus.SQL)
+    try:
+        import corpus_pipeline
+    except ImportError:
+        return found, sql
+    found["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found, sql
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Seller geographic reach on the smallest data set."""
     return queries()["seller_geographic_reach"](spark, "/root/testdata/sf0.001")
@@ -421,9 +439,9 @@ def queries() -> dict[str, Query]:
     def registered(query: Query) -> Query:
         return lambda spark, sf_dir: _portable(query(spark, sf_dir))
 
-    return {name: registered(query) for name, query in _QUERIES.items()}
+    return {name: registered(query) for name, query in _QUERIES.items()} | _corpus_queries()[0]
 
 
 def oracle_sql() -> dict[str, str]:
-    """For each query the SQL that gives the same rows."""
-    return oracle()
+    """For each query that SQL can express, the SQL that gives the same rows."""
+    return oracle() | _corpus_queries()[1]
