@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mercato.llm.common import SPACES, ascii_lower, fingerprint, need
+from mercato.session import written
 
 #: Bits of one bitmap; a document with more lines has several.
 BITS = 32768
@@ -48,6 +49,8 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Da
         .agg(F.max("doc_id").alias("last_doc"), F.max("nth").alias("docs"))
         .where(F.col("docs") == min_docs)
     )
+    # Written, so that the join below stands alone: Spark broadcasts it if it is small and else splits skewed lines.
+    repeated = written(repeated.select("h1", "h2", "last_doc"), "repeated-lines")
     found = lines.join(repeated, ["h1", "h2"])
     return found.where(~F.col("doc_id").eqNullSafe(F.col("last_doc"))).select("doc_id", "print", "pos")
 
