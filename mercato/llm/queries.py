@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm import decontamination, line_dedup, mixing, quality, sharding, simhash
+from mercato.llm import decontamination, language, line_dedup, mixing, quality, sharding, simhash, url_filter
 from mercato.llm import sql
 from mercato.llm.common import table
 
@@ -27,6 +27,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, text = table(spark, sf_dir, "documents"), F.col("text").cast("string")
     sums = F.coalesce(F.crc32(F.encode(text, "UTF-8")), F.lit(0)).cast("bigint")
@@ -49,13 +53,23 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measured(table(spark, sf_dir, "documents"))
 
 
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages have no labels of their own: the label of the document with a page's id stands for its outcome."""
+    bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    judged = url_filter.judge(table(spark, sf_dir, "pages"), labels)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
+    "op3_language_id": op3_language_id,
     "op5_sharding": op5_sharding,
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
     "op8_quality_rules": op8_quality_rules,
+    "op9_url_filters": op9_url_filters,
 }
 
 SQL = {
@@ -63,4 +77,5 @@ SQL = {
     "op2_decontamination": sql.OP2,
     "op7_mixing": sql.OP7,
     "op8_quality_rules": sql.OP8,
+    "op9_url_filters": sql.OP9,
 }

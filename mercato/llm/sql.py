@@ -115,3 +115,82 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     and n_dup_lines * 2 <= n_lines and shouts * 4 <= n_words and capitals * 2 <= word_chars as kept
 from judged
 """
+
+_SECOND = "ac|co|com|edu|gov|net|org"
+
+
+def _level(name: str, source: str, own: str) -> str:
+    """A level's strength and the posterior of its groups (n, bad, mean)."""
+    return f"""
+{name}_rho as (
+  select (sum((bad - n * mean) * (bad - n * mean) / n) - sum(mean * (1 - mean)))
+    / nullif(sum((n - 1) * (mean * (1 - mean))), 0) as rho
+  from {source} where n > 0
+),
+{name}_strength as (
+  select 1 / greatest(least(coalesce(rho, 0.0::double), 0.99::double), 0.0001::double) - 1 as strength from {name}_rho
+),
+{name} as (
+  select {own}, bad + strength * mean as alpha, n - bad + strength * (1 - mean) as beta
+  from {source}, {name}_strength
+)"""
+
+
+OP9 = rf"""
+with urls as (
+  select page_id,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), {_LOWER}) as host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) as path
+  from pages
+),
+known as (
+  select doc_id as page_id, max(case when quality = 0 or toxic = 1 then 1 else 0 end) as outcome
+  from labels where doc_id is not null group by doc_id
+),
+counted as (
+  select host, count(outcome) as n, coalesce(cast(sum(outcome) as bigint), 0) as bad
+  from urls left join known using (page_id) group by host
+),
+hosts as (
+  select *, case when regexp_extract(host, '(?:^|\.)([^.]+\.(?:(?:{_SECOND})\.[a-z][a-z]|[^.]+))$', 1) = '' then host
+    else regexp_extract(host, '(?:^|\.)([^.]+\.(?:(?:{_SECOND})\.[a-z][a-z]|[^.]+))$', 1) end as domain,
+    regexp_extract(host, '(?:^|\.)((?:{_SECOND})\.[a-z][a-z]|[^.]+)$', 1) as suffix
+  from counted
+),
+suffix_rows as (
+  select suffix, cast(sum(n) as bigint) as n, cast(sum(bad) as bigint) as bad,
+    (select (sum(bad) + 1) / (sum(n) + 2) from hosts) as mean
+  from hosts group by suffix
+),
+{_level("suffixes", "suffix_rows", "suffix")},
+domain_rows as (
+  select domain, h.suffix, cast(sum(n) as bigint) as n, cast(sum(bad) as bigint) as bad,
+    any_value(alpha / (alpha + beta)) as mean
+  from hosts h join suffixes s on h.suffix = s.suffix group by domain, h.suffix
+),
+{_level("domains", "domain_rows", "domain, suffix")},
+host_rows as (
+  select host, n, bad, alpha / (alpha + beta) as mean
+  from hosts h join domains d on h.domain = d.domain and h.suffix = d.suffix
+),
+{_level("judged", "host_rows", "host")},
+bounds as (
+  select host, alpha / (alpha + beta)
+    - 1.645 * sqrt(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1))) as lower_bound
+  from judged
+),
+ruled as (
+  select u.*, lower_bound, case
+    when (host = 'www.example.com' or ends_with(host, '.www.example.com')) and starts_with(path, '/en/')
+      then 'www.example.com/en/'
+    when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/en/') then 'example.com/en/'
+    when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/es/') then 'net/es/'
+    when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/fr/') then 'net/fr/'
+    when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/') then 'com/' end as rule
+  from urls u join bounds using (host)
+)
+select page_id, host, path, rule, case
+  when rule in ('com/', 'www.example.com/en/') then 'allow' when rule is not null then 'block'
+  when lower_bound > 0.5 then 'block' else 'allow' end as verdict
+from ruled
+"""
