@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm import decontamination, language, line_dedup, mixing, quality, sharding, simhash, url_filter
+from mercato.llm import decontamination, extraction, language, line_dedup, mixing, quality, sharding, simhash, url_filter
 from mercato.llm import sql
 from mercato.llm.common import table
 
@@ -61,6 +61,11 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = extraction.extract(table(spark, sf_dir, "pages"))
+    return texts.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
@@ -70,6 +75,7 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_quality_rules": op8_quality_rules,
     "op9_url_filters": op9_url_filters,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 SQL = {
