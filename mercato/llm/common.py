@@ -75,3 +75,8 @@ def small_batches(df: DataFrame) -> DataFrame:
     """Batches sent to Python hold a few hundred documents, so that long ones do not fill a worker."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     return df
+
+
+def held_out(doc_id: Column, of: int, remainder: int) -> Column:
+    """Whether crc32 of the doc_id as text leaves ``remainder``; false for a null doc_id."""
+    return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % of == remainder, F.lit(False))

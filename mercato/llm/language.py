@@ -18,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mercato.llm.common import fingerprint, need, small_batches
+from mercato.llm.common import fingerprint, held_out, need, small_batches
 
 #: Documents that classifiers are fitted on, and the fewest bytes of one.
 SAMPLE, LEAST_BYTES = 1200, 100
@@ -65,10 +65,6 @@ def ngram_counts(text: str) -> np.ndarray:
     return counts
 
 
-def held_out(doc_id: Column, of: int, remainder: int) -> Column:
-    return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % of == remainder, F.lit(False))
-
-
 def codewords(languages: int, seed: int = 7) -> np.ndarray:
     """Signs (languages, bits): of a number of random codes the one whose closest two words differ most."""
     bits = max(BITS, 8 * int(np.ceil(np.log2(max(languages, 2)))) - 1)

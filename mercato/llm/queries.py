@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm import decontamination, extraction, language, line_dedup, mixing, quality, sharding, simhash, url_filter
+from mercato.llm import decontamination, extraction, language, line_dedup, mixing, perplexity, quality, sharding, simhash
+from mercato.llm import url_filter
 from mercato.llm import sql
 from mercato.llm.common import table
 
@@ -31,6 +32,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.score(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, text = table(spark, sf_dir, "documents"), F.col("text").cast("string")
     sums = F.coalesce(F.crc32(F.encode(text, "UTF-8")), F.lit(0)).cast("bigint")
@@ -70,6 +75,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
     "op3_language_id": op3_language_id,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_sharding": op5_sharding,
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
