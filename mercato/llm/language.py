@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mercato.llm.common import fingerprint, held_out, need, small_batches
+from mercato.session import written
 
 #: Documents that classifiers are fitted on, and the fewest bytes of one.
 SAMPLE, LEAST_BYTES = 1200, 100
@@ -90,15 +91,21 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def sample(docs: DataFrame, rows: int = SAMPLE) -> DataFrame:
-    """lang and n-gram counts of ``rows`` documents at most. First the keys are chosen, then their texts are read."""
+    """lang and n-gram counts of ``rows`` documents at most. First the keys are chosen, then their texts are read.
+
+    Only texts whose hash is small enough for their language are ranked: some four times as many as can be taken, so
+    the ranking does not grow with the documents.
+    """
     usable = docs.where((F.octet_length("text") >= LEAST_BYTES) & F.col("lang").isNotNull())
-    keys = usable.select("lang", fingerprint(F.col("text")).alias("print")).distinct()
+    usable = usable.withColumn("print", fingerprint(F.col("text")))
+    sizes = written(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    each = max(rows // max(sizes.count(), 1), 1)
+    share = F.shiftrightunsigned("print", 11) / F.lit(float(1 << 53))
+    keys = usable.select("lang", "print").join(sizes, "lang").where(share * F.col("n") <= 4 * each)
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("print"))
-    few = keys.withColumn("nth", nth).where(F.col("nth") <= rows)
-    languages = few.where("nth = 1").count()
-    chosen = few.where(F.col("nth") <= max(rows // max(languages, 1), 1)).select("lang", "print")
+    chosen = keys.select("lang", "print").distinct().withColumn("nth", nth).where(F.col("nth") <= each).drop("nth")
     # At most ``rows`` keys, or one for each language.
-    texts = usable.withColumn("print", fingerprint(F.col("text"))).join(F.broadcast(chosen), ["lang", "print"])
+    texts = usable.join(F.broadcast(chosen), ["lang", "print"])
     once = texts.groupBy("lang", "print").agg(F.first("text").alias("text"))
     return once.select("lang", "text").mapInPandas(_features, "lang string, counts binary")
 
