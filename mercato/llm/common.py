@@ -80,3 +80,21 @@ def small_batches(df: DataFrame) -> DataFrame:
 def held_out(doc_id: Column, of: int, remainder: int) -> Column:
     """Whether crc32 of the doc_id as text leaves ``remainder``; false for a null doc_id."""
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % of == remainder, F.lit(False))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with _k1 and _k2, a 128-bit hash of the whole row. Rows that agree in it are interchangeable."""
+    columns = [F.col(c) for c in docs.columns]
+    nulls = F.concat(*[c.isNull().cast("string") for c in columns])
+    return docs.withColumns({"_k1": F.xxhash64(nulls, *columns), "_k2": F.xxhash64(F.lit(1), nulls, *columns)})
+
+
+def whole_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """``decided`` (rows with _k1 and _k2) with the row of ``docs`` that has the key, as a struct ``_doc``.
+
+    Texts are dealt by key, which is even whatever the decisions were sorted by. Equal rows are one before they are
+    shuffled; decisions stand on the left, so those of one row that is repeated very often can be split.
+    """
+    rows = keyed(docs).select(F.struct(*docs.columns).alias("_doc"), "_k1", "_k2")
+    single = rows.groupBy("_k1", "_k2").agg(F.first("_doc").alias("_doc"))
+    return decided.join(single, ["_k1", "_k2"]).drop("_k1", "_k2")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mercato.llm.common import fingerprint, ranked, words
+from mercato.llm.common import fingerprint, keyed, ranked, whole_rows, words
 from mercato.session import written
 
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -92,7 +92,7 @@ def copies(
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_COPIES) -> DataFrame:
     """Each row of ``docs`` as often as the mix takes it; the columns stay."""
-    whole = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "text", "source")
-    rows = copies(whole, weights, most, keep=("_doc",))
-    taken = rows.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
+    light = keyed(docs).select("doc_id", "text", "source", "_k1", "_k2")
+    rows = copies(light, weights, most, keep=("_k1", "_k2")).where("copies > 0")
+    taken = whole_rows(docs, rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))))
     return taken.select("_doc.*")

@@ -40,7 +40,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, text = table(spark, sf_dir, "documents"), F.col("text").cast("string")
     sums = F.coalesce(F.crc32(F.encode(text, "UTF-8")), F.lit(0)).cast("bigint")
     sized = docs.withColumns({"size": sharding.size_of(text), "text_crc32": sums})
-    placed = sharding.shard(sized, keep=("doc_id", "size", "text_crc32"))
+    placed = sharding.place(sized, ("doc_id", "size", "text_crc32"))
     law = {"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")}
     return placed.withColumns(law)
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from mercato.llm.common import partitions, ranked
+from mercato.llm.common import keyed, partitions, ranked, whole_rows
 from mercato.session import written
 
 SHARDS = 24
@@ -76,12 +76,14 @@ def size_of(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("bigint")
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, keep: tuple[str, ...] | None = None) -> DataFrame:
-    """``docs``, or the columns of it in ``keep``, with curve_index, shard and slot; columns of these names are replaced."""
-    added = ("curve_index", "shard", "slot")
+ADDED = ("curve_index", "shard", "slot")
+
+
+def place(docs: DataFrame, keep: tuple[str, ...], shards: int = SHARDS) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with curve_index, shard and slot. Only these are sorted, not the texts."""
     text = F.col("text").cast("string")
     rows = docs.select(
-        F.struct(*[F.col(c) for c in keep or docs.columns if c.lower() not in added]).alias("row"),
+        F.struct(*keep).alias("row"),
         F.col("lang").cast("string").alias("lang"),
         F.col("source").cast("string").alias("source"),
         size_of(text).alias("size"),
@@ -109,6 +111,13 @@ def shard(docs: DataFrame, shards: int = SHARDS, keep: tuple[str, ...] | None =
     return places.select("row.*", "curve_index", number.cast("int").alias("shard"), slot.cast("bigint").alias("slot"))
 
 
+def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """``docs`` with curve_index, shard and slot; columns of these names are replaced."""
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in ADDED])
+    places = place(keyed(docs).select("doc_id", "lang", "source", "text", "_k1", "_k2"), ("_k1", "_k2"), shards)
+    return whole_rows(docs, places).select("_doc.*", *ADDED)
+
+
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
     """One folder for each shard, rows in the order of the curve."""
     placed = shard(docs, shards)

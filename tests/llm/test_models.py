@@ -1,0 +1,247 @@
+"""Language identification, LM scoring, URL filters and HTML extraction."""
+
+from __future__ import annotations
+
+import math
+from collections import Counter
+from zlib import crc32
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cases import ROWS, clashing, documents, rows_of
+from cases import SMALL
+from mercato.llm import extraction, language, perplexity, url_filter
+from mercato.llm.markup import blocks
+from mercato.llm.queries import QUERIES
+
+
+def test_language_held_out_accuracy(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    found = QUERIES["op3_language_id"](spark, SMALL).where("held_out").join(docs.select("doc_id", "lang"), "doc_id")
+    rows = found.collect()
+    assert len(rows) > 20 and np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.97
+    assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_language_cases(spark):
+    found = {(r["doc_id"], r["lang_pred"]) for r in language.identify(clashing(documents(spark))).collect()}
+    assert {(1, "und"), (2, "und"), (3, "und")} <= found
+    assert len(found) <= len(ROWS)
+    held = {r["doc_id"] for r in language.identify(documents(spark)).where("held_out").collect()}
+    assert held == {i for i, *_ in ROWS if i is not None and crc32(str(i).encode()) % 4 == 2}
+    nothing = language.identify(documents(spark, [(1, "a text", None, None, None)])).collect()
+    assert [(r["lang_pred"], r["score"]) for r in nothing] == [("und", 0.0)]
+    assert language.identify(documents(spark, [])).collect() == []
+
+
+def test_codewords_differ():
+    for n in (1, 2, 4, 40):
+        code = language.codewords(n)
+        assert len({tuple(c) for c in code}) == n
+        assert n < 4 or min((code[0] != c).sum() for c in code[1:]) >= 3
+
+
+def test_one_flipped_sign_is_corrected():
+    code = language.codewords(4)
+    for k, word in enumerate(code):
+        margins = word * 2.0
+        margins[3] *= -1
+        assert language.decode(margins, code)[0] == k
+
+
+def base_scores(rows):
+    texts = [(i, [*(t or "").encode().lower().split(), None]) for i, t, *_ in rows]
+    held = lambda i: i is not None and crc32(str(i).encode()) % 10 == 0
+    counts = Counter(w for i, words in texts if not held(i) for w in words)
+    total = sum(counts.values())
+    space = total + 0.1 * (len(counts) + 1)
+    return [
+        (i, held(i), len(w), sum(x in counts for x in w), total, sum(math.log10((counts[x] + 0.1) / space) for x in w))
+        for i, w in texts
+    ]
+
+
+@pytest.mark.parametrize("small", [False, True], ids=["plain", "few dishes and short stretches"])
+def test_base_scores(spark, monkeypatch, small):
+    if small:
+        monkeypatch.setattr(perplexity, "DISHES", 20)
+    found = perplexity.score(clashing(documents(spark))).collect()
+    key = lambda r: (r[0] or 0, r[2], r[5])
+    rows = [(r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in found]
+    for ours, theirs in zip(sorted(rows, key=key), sorted(base_scores(ROWS), key=key), strict=True):
+        assert ours[:5] == theirs[:5]
+        assert ours[5] == pytest.approx(theirs[5])
+    assert all(r["score"] < 0 and r["perplexity"] > 1 for r in found)
+
+
+def test_model_beats_the_base_on_held_out_texts(spark):
+    total = QUERIES["op4_lm_scoring"](spark, SMALL).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert total[0] > total[1]
+
+
+def test_probabilities_sum_to_one():
+    rng = np.random.default_rng(0)
+    counts, group = rng.integers(1, 40, 300), rng.integers(0, perplexity.CLASSES, 300)
+    known = np.bincount(group, minlength=perplexity.CLASSES)
+    customers = np.bincount(group, weights=counts, minlength=perplexity.CLASSES)
+    model = perplexity.Rare(known, customers, 0.6, (known,))
+    for sweep in range(perplexity.BURN + perplexity.KEEP):
+        own = np.bincount(group, weights=model.seated(counts, group, 1, sweep), minlength=perplexity.CLASSES)
+        model = perplexity.Rare(known, customers, 0.6, (*model.tables, own))
+    total = np.bincount(group, weights=model.predictive(counts, group, 1), minlength=perplexity.CLASSES)
+    total += model.predictive(np.zeros(perplexity.CLASSES, int), np.arange(perplexity.CLASSES), 1)
+    assert total == pytest.approx(np.ones(perplexity.CLASSES))
+
+
+def test_context_probabilities_sum_to_one(spark):
+    dishes, rng = 30, np.random.default_rng(2)
+    rows = []
+    for k in (0, 5, perplexity._END):
+        places = rng.choice(dishes, 12, replace=False).astype(np.int32)
+        rows.append((k, bytearray(places.tobytes()), bytearray(rng.integers(1, 500, 12).tobytes())))
+    chances, counts = perplexity.context_model(spark.createDataFrame(rows, "key bigint, a binary, b binary"), dishes)
+    assert chances.sum(axis=1) == pytest.approx(np.ones(len(chances)))
+    assert counts.sum() == sum(np.frombuffer(bytes(r[2]), np.int64).sum() for r in rows)
+
+
+def test_seating_limits():
+    rng = np.random.default_rng(0)
+    counts = np.array([0, 1, 2, 50, 100_000])
+    assert (perplexity.seat(counts, np.full(5, 1e-12), 0.5, rng) == [0, 1, 1, 1, 1]).all()
+    assert (perplexity.seat(counts, np.full(5, 1e18), 0.5, rng) == counts).all()
+
+
+def test_scores_without_training(spark):
+    assert perplexity.score(documents(spark, [])).collect() == []
+    alone = [i for i in range(1000) if crc32(str(i).encode()) % 10 == 0][:2]
+    rows = perplexity.score(documents(spark, [(i, "some words", None, None, None) for i in alone])).collect()
+    assert [(r["n_known"], r["train_tokens"], r["base_score"]) for r in rows] == [(0, 0, 0.0)] * 2
+
+
+PAGES = [
+    (1, "https://WWW.Example.com/en/1?x=1#y", None),
+    (2, "http://a.example.com/en/", None),
+    (3, "http://b.net/es/1", None),
+    (4, "http://b.net", None),
+    (5, "http://other.org/en/1", None),
+    (6, None, None),
+    (7, "no scheme", None),
+    (8, "http://c.com?u=http://d.net/es/", None),
+    (8, "http://c.com?u=http://d.net/es/", None),
+    (9, "http://notexample.com/en/1", None),
+    (None, "http://wwwexample.com/en/1\nx", None),
+]
+
+
+def pages(spark, rows=PAGES):
+    return spark.createDataFrame(rows, "page_id bigint, url string, html string")
+
+
+def no_labels(spark):
+    return spark.createDataFrame([], "page_id bigint, bad int")
+
+
+def test_rules(spark):
+    found = {r["page_id"]: r for r in url_filter.judge(pages(spark), no_labels(spark)).collect()}
+    got = {k: (r["host"], r["path"], r["rule"], r["verdict"]) for k, r in found.items()}
+    assert got[1] == ("www.example.com", "/en/1", "www.example.com/en/", "allow")
+    assert got[2] == ("a.example.com", "/en/", "example.com/en/", "block")
+    assert got[3] == ("b.net", "/es/1", "net/es/", "block")
+    assert got[4] == ("b.net", "", None, "allow")
+    assert got[6] == got[7] == ("", "", None, "allow")
+    assert got[8] == ("c.com", "", None, "allow")
+    assert got[9][2] == "com/" and got[None][:2] == ("wwwexample.com", "/en/1\nx")
+
+
+def test_reputation_shrinks_hosts_to_domains(spark):
+    urls, labels = [], []
+    for n in range(200):
+        host = f"{'bad' if n % 2 else 'good'}.{'spam' if n % 2 else 'fine'}.org"
+        urls.append((n, f"http://{host}/x", None))
+        labels.append((n, n % 2))
+    urls += [(1000, "http://new.spam.org/x", None), (1001, "http://new.fine.org/x", None), (1002, "http://else.co.uk/", None)]
+    judged = url_filter.judge(pages(spark, urls), spark.createDataFrame(labels + [(1, 1), (None, 1), (5000, 1)], "page_id bigint, bad int"))
+    found = {r["page_id"]: r for r in judged.collect()}
+    assert len(found) == 203
+    assert found[1]["verdict"] == "block" and found[0]["verdict"] == "allow"
+    assert found[1]["bad_share"] > found[1000]["bad_share"] > found[1002]["bad_share"] > found[1001]["bad_share"]
+    assert found[1001]["verdict"] == found[1002]["verdict"] == "allow"
+
+
+def test_no_pages(spark):
+    assert url_filter.judge(pages(spark, []), no_labels(spark)).collect() == []
+    assert extraction.extract(pages(spark, [])).collect() == []
+
+
+def test_blocks():
+    html = (
+        "<html><head><title>T</title></head><body><script>var x='</p>'</script><div class='ad x'>Buy</div>"
+        "<article><p>One &amp; <b>two<br>three</b>&nbsp;four<p>Five <!-- no --><a href=\"a>b\">six</a></p>"
+        "<ul><li>seven<li>eight</ul></article><style>p{}</style>loose < text</body></html>"
+    )
+    found = [(b.text, b.path[2:]) for b in blocks(html)]
+    assert found == [
+        ("Buy", ("div", ".ad", ".x")),
+        ("One & two three four", ("article", "p")),
+        ("Five six", ("article", "p")),
+        ("seven", ("article", "ul", "li")),
+        ("eight", ("article", "ul", "li")),
+        ("loose < text", ()),
+    ]
+    assert blocks(None) == blocks("") == blocks("<!-- open") == blocks("<script>never closed <p>x</p>") == []
+
+
+def test_extracted_articles(spark):
+    import re
+    from html import unescape
+
+    found = {r["page_id"]: r["text"] for r in QUERIES["op10_html_extraction"](spark, SMALL).collect()}
+    for row in spark.read.parquet(f"{SMALL}/pages.parquet").collect():
+        article = re.search(r"<article>(.*)</article>", row["html"], re.S)[1]
+        parts = [" ".join(unescape(re.sub(r"<[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", article)]
+        squeezed = re.sub(r"\s", "", "".join(parts))
+        assert re.sub(r"\s", "", found[row["page_id"]]) == squeezed
+
+
+def test_pages_of_other_layouts():
+    import duckdb
+
+    rows = duckdb.sql(f"select html from '{SMALL}/pages.parquet' order by page_id").fetchall()
+    htmls = [r[0] for r in rows]
+    model = extraction.trained(htmls[: len(htmls) // 2])
+    rng, parsed = np.random.default_rng(5), [blocks(h) for h in htmls[len(htmls) // 2 :]]
+    texts = [b.text for p in parsed for b in p]
+    made = [extraction._made(p, texts, rng) for p in parsed]
+    found = np.concatenate(model.label([p for p, _ in made]))
+    assert np.mean(found == np.concatenate([y for _, y in made])) > 0.9
+
+
+def test_gradients_are_right():
+    rng = np.random.default_rng(0)
+    model = extraction.Labeller()
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    x, mask, labels = rng.random((2, 4, extraction.PATHS + extraction.WORDS + extraction.SHAPES)), np.ones((2, 4)), rng.integers(0, 2, (2, 4))
+    mask[1, 2:] = 0
+
+    def loss():
+        odds, _ = model.forward(x, mask)
+        return (mask * (np.logaddexp(0, odds) - labels * odds)).sum() / mask.sum()
+
+    grads = model.gradients(x, mask, labels)
+    for key, grad in grads.items():
+        at = tuple(rng.integers(0, n) for n in model.p[key].shape)
+        before = model.p[key][at]
+        model.p[key][at] = before + 1e-3
+        up = loss()
+        model.p[key][at] = before - 1e-3
+        slope = (up - loss()) / 2e-3
+        model.p[key][at] = before
+        assert grad[at] == pytest.approx(slope, abs=2e-3), key
+
+
+def test_pages_with_awkward_html(spark):
+    rows = [(1, None, None), (2, "u", ""), (2, "u", ""), (3, "u", "<article><p>" + "word " * 50_000), (None, None, "<p>x")]
+    found = rows_of(extraction.extract(pages(spark, rows)), ["page_id", "text"])
+    assert len(found) == 5 and (1, "") in found and found.count((2, "")) == 2
