@@ -70,7 +70,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
             options.add_argument("--parents", choices=(BATCH, BATCH_AND_STORED), default=BATCH)
         if step == "report":
             options.add_argument("name", choices=sorted(REPORTS))
-            options.add_argument("--out", help="folder for the result; without it the first rows are printed")
+            options.add_argument("--out", help="folder for the result; without it all rows are printed, tab-separated")
     given = parser.parse_args(arguments)
 
     spark = configure(spark or SparkSession.builder.appName("mercato").getOrCreate())
@@ -91,7 +91,9 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     if given.out:
         result.write.mode("overwrite").parquet(given.out)
     else:
-        result.show(100, truncate=False)
+        print("\t".join(result.columns))
+        for row in result.toLocalIterator():
+            print("\t".join("" if value is None else str(value) for value in row))
     return 0
 
 

@@ -9,36 +9,29 @@ from pyspark.sql import functions as F
 
 from mercato.session import written
 
-# Up to this many rows one task ranks faster than a shuffle into ranges does.
-ONE_TASK_ROWS = 200_000
-MAX_RANGES = 256
-
 
 def ranks_of_values(df: DataFrame, value: str, name: str, slices: int | None = None) -> DataFrame:
     """Each distinct value with its ``rank() over (order by value desc nulls first)``.
 
-    Equal values are counted first, so a value that many rows share is one row from then on. The
-    values are cut into ranges of about equal row numbers, highest first; a rank is the rows in
-    higher ranges plus the rows above it in its own range plus one. The cut points only steer the
-    balance: the result is exact wherever they lie.
+    Equal values are counted first, so a value that many rows share is one row from then on. Spark cuts the counted
+    values into ranges of about equal numbers of values, as many as there are shuffle partitions; they are written
+    once with the number of their range. A rank is the rows in higher ranges plus the rows above it in its own range
+    plus one, so it is exact wherever the cuts lie. Runs a job while the plan is built.
     """
-    slices = slices or min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_RANGES)
+    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     column = F.col(value)
-    parts = [n / slices for n in range(1, slices)] or [0.5]
-    cuts = df.select(F.percentile_approx(column.cast("double"), parts, F.lit(10_000))).first()[0] or []
     counted = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    # Nulls sort before the highest value.
-    above = F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut > column.cast("double"))
-    counted = counted.withColumn("_slice", F.when(column.isNull(), 0).otherwise(F.size(above)))
+    ranges = counted.repartitionByRange(slices, column.desc_nulls_first())
+    placed = written(ranges.withColumn("_slice", F.spark_partition_id()), "ranges")
 
-    # One row per range: never more than ``slices``.
-    sizes = counted.groupBy("_slice").agg(F.sum("_n").alias("_rows"))
+    # One row per range; Spark sees from the plan that this is broadcast only if it is small.
     higher = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("_slice").agg(F.sum("_n").alias("_rows"))
     starts = sizes.select("_slice", F.coalesce(F.sum("_rows").over(higher), F.lit(0)).alias("_start"))
 
     inside = Window.partitionBy("_slice").orderBy(column.desc_nulls_first())
     before = F.coalesce(F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counted.join(F.broadcast(starts), "_slice").select(
+    return placed.join(starts, "_slice").select(
         column.alias(f"_{value}"), (F.col("_start") + before + 1).cast("bigint").alias(name)
     )
 
@@ -46,27 +39,11 @@ def ranks_of_values(df: DataFrame, value: str, name: str, slices: int | None = N
 def rank_in_ranges(df: DataFrame, ranks: Mapping[str, str], slices: int | None = None) -> DataFrame:
     """Add ``name: rank of value, highest first`` columns without sorting the table in one task.
 
-    The table is read once per rank and once more. Each rank comes from the table itself, not from
-    a table that has other ranks joined to it already.
+    The table is read once per rank and once more: write it first if it is costly. Each rank comes from the table
+    itself, not from a table that has other ranks joined to it already.
     """
     ranked = df
     for name, value in ranks.items():
         values = ranks_of_values(df, value, name, slices)
         ranked = ranked.join(values, ranked[value].eqNullSafe(values[f"_{value}"])).drop(f"_{value}")
     return ranked
-
-
-def add_ranks(
-    df: DataFrame, ranks: Mapping[str, str], at_most: int, one_task_rows: int = ONE_TASK_ROWS
-) -> DataFrame:
-    """Add ``name: rank of value, highest first`` columns to a table of ``at_most`` rows.
-
-    Only a table that is known to be small is ranked by one task. Another one is written first,
-    since ranking it by ranges reads it several times.
-    """
-    if at_most > one_task_rows:
-        return rank_in_ranges(written(df, "to_rank"), ranks)
-    for name, value in ranks.items():
-        order = Window.orderBy(F.col(value).desc_nulls_first())
-        df = df.withColumn(name, F.rank().over(order).cast("bigint"))
-    return df

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercato.functions.numbers import exact_ratio, percent
-from mercato.operators.ranking import ONE_TASK_ROWS, add_ranks
+from mercato.operators.ranking import rank_in_ranges
+from mercato.session import written
 
 Tables = Mapping[str, DataFrame]
 
@@ -53,18 +54,15 @@ def seller_footprint(tables: Tables, min_orders: int = 3) -> DataFrame:
     )
 
 
-def seller_geographic_reach(
-    tables: Tables, min_orders: int = 3, top: int = 50, one_task_rows: int = ONE_TASK_ROWS
-) -> DataFrame:
+def seller_geographic_reach(tables: Tables, min_orders: int = 3, top: int = 50) -> DataFrame:
     """The sellers that ship to most states, against their rank by revenue.
 
-    A positive gap is a wide reach with little revenue. Ties at the cut go by seller id.
+    A positive gap is a wide reach with little revenue. Ties at the cut go by seller id. The footprint is written
+    while the plan is built, since ranking reads it several times.
     """
     sellers = tables["sellers"].select("seller_id", "seller_city", "seller_state")
     ranks = {"geo_rank": "states_reached", "rev_rank": "total_revenue"}
-    # All lines have a known seller, so there are no more rows to rank than sellers. These are
-    # counted from the footers of their files.
-    ranked = add_ranks(seller_footprint(tables, min_orders), ranks, sellers.count(), one_task_rows)
+    ranked = rank_in_ranges(written(seller_footprint(tables, min_orders), "footprint"), ranks)
     states = F.col("states_reached")
     tier = (
         F.when(states > REGIONAL_STATES, "national")
@@ -167,14 +165,20 @@ def monthly_revenue_trend(tables: Tables) -> DataFrame:
     lines = tables["order_items"].select(
         "order_id", "seller_id", (F.col("price") + F.col("freight_value")).alias("amount")
     )
-    months = (
+    # One row per order and seller where the join has put them; one of an order's rows counts the order. Sellers are
+    # then one row per month, and nothing is left to count as distinct.
+    per_seller = (
         orders.join(lines, "order_id")
-        .groupBy("order_month")
-        .agg(
-            F.countDistinct("order_id").alias("total_orders"),
-            F.round(F.sum("amount"), 2).alias("monthly_revenue"),
-            F.countDistinct("seller_id").alias("active_sellers"),
-        )
+        .groupBy("order_id", "order_month", "seller_id")
+        .agg(F.sum("amount").alias("amount"))
+        .withColumn("nth", F.row_number().over(Window.partitionBy("order_id").orderBy("seller_id")))
+        .groupBy("order_month", "seller_id")
+        .agg(F.sum("amount").alias("amount"), F.count_if(F.col("nth") == 1).alias("orders"))
+    )
+    months = per_seller.groupBy("order_month").agg(
+        F.sum("orders").alias("total_orders"),
+        F.round(F.sum("amount"), 2).alias("monthly_revenue"),
+        F.count("seller_id").alias("active_sellers"),
     )
     by_month = Window.orderBy("order_month")
     revenue, previous, growth = F.col("monthly_revenue"), F.col("prev_month_revenue"), F.col("mom_growth_pct")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Window
@@ -86,7 +88,8 @@ def seller_performance(tables: Tables) -> DataFrame:
 
 def delivery_delay_summary(tables: Tables) -> DataFrame:
     """Delivered orders per purchase month and customer state: mean delay and share of late ones."""
-    delay = F.unix_micros("delivered_at") - F.unix_micros("estimated_delivery_at")
+    # Whole microseconds as decimals: they add up exactly and do not overflow.
+    delay = (F.unix_micros("delivered_at") - F.unix_micros("estimated_delivery_at")).cast("decimal(18,0)")
     orders = (
         stg_orders(tables)
         .where("delivered_at is not null")
@@ -103,8 +106,9 @@ def delivery_delay_summary(tables: Tables) -> DataFrame:
         .groupBy("month", "state")
         .agg(
             F.count(F.lit(1)).alias("delivered_orders"),
-            # Whole microseconds add up exactly.
-            F.round(exact_ratio(F.sum("delay"), F.count("delay") * F.lit(86_400_000_000)), 2).alias("avg_delay_days"),
+            F.round(
+                exact_ratio(F.sum("delay") * F.lit(Decimal("0.000001")), F.count("delay")) / F.lit(86_400), 2
+            ).alias("avg_delay_days"),
             F.count_if(~F.col("is_on_time")).alias("late_orders"),
         )
         .withColumn("pct_late", percent(F.col("late_orders"), F.col("delivered_orders")))

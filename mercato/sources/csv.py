@@ -21,12 +21,13 @@ def file_order() -> list[Column]:
 def read_csv(spark: SparkSession, path: str, table: Table) -> DataFrame:
     """One raw table, every column as text, with its arrival order.
 
-    Texts that may hold line breaks make a file unsplittable: such a table should come as many
+    Columns are found by their names in the first file's header; a file with another header is an error. Texts that may hold line breaks make a file unsplittable: such a table should come as many
     files, or be read once into the store.
     """
-    # Without a schema and without inference: text columns, found by their name in the header.
     reader = spark.read.option("header", True).option("escape", '"').option("multiLine", table.multiline)
-    return without_missing_tokens(reader.csv(path).select(*table.columns, *file_order()))
+    header = reader.csv(path).schema
+    rows = reader.schema(header).option("enforceSchema", False).csv(path)
+    return without_missing_tokens(rows.select(*table.columns, *file_order()))
 
 
 def stream_csv(spark: SparkSession, folder: str, table: Table) -> DataFrame:

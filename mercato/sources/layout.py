@@ -11,36 +11,33 @@ from pyspark.sql import functions as F
 ORDER_TABLES = ("orders", "order_items", "payments", "order_reviews")
 
 
-def heaviest_key(df: DataFrame, key: str) -> int:
-    """Rows of the key with most rows."""
-    return df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+#: Bytes of a table that a bucket should hold at most, by Spark's estimate.
+BUCKET_BYTES = 256 << 20
 
 
-def write_buckets(df: DataFrame, name: str, path: str, key: str, buckets: int, max_rows_per_key: int = 1_000_000):
+def buckets_for(df: DataFrame) -> int:
+    """A bucket for each ``BUCKET_BYTES`` of the table by its files' size, and one for each core at least."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES))
+
+
+def write_buckets(df: DataFrame, name: str, path: str, key: str, buckets: int) -> DataFrame:
     """Save as an external table hashed and sorted by ``key``: joins and groups on it need no shuffle.
 
-    A bucket is read by one task, which the optimizer cannot split later. A table with a key above
-    ``max_rows_per_key`` rows is therefore saved without buckets, and its joins shuffle as usual.
+    One task reads a bucket, which the optimizer cannot split later: the layout is for keys that have few rows each,
+    such as orders. For other keys leave a table as it is.
     """
-    spark = df.sparkSession
-    if heaviest_key(df, key) > max_rows_per_key:
-        df.write.mode("overwrite").option("path", path).saveAsTable(name)
-    else:
-        writer = df.repartition(buckets, key).write.mode("overwrite").option("path", path)
-        writer.bucketBy(buckets, key).sortBy(key).saveAsTable(name)
-    return spark.table(name)
+    writer = df.repartition(buckets, key).write.mode("overwrite").option("path", path)
+    writer.bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return df.sparkSession.table(name)
 
 
 def bucket_by_order(
     tables: Mapping[str, DataFrame], root: str, buckets: int | None = None, prefix: str = "by_order_"
 ) -> dict[str, DataFrame]:
-    """All tables, with those that carry an order id bucketed alike by it.
-
-    One task reads one bucket: without a number there are as many buckets as tasks run at a time.
-    Tables too large for that should get more, so that a sorted bucket fits a task.
-    """
+    """All tables, with those that carry an order id bucketed alike by it: as the largest of them needs."""
     others = {name: tables[name] for name in tables if name not in ORDER_TABLES}
-    buckets = buckets or tables["orders"].sparkSession.sparkContext.defaultParallelism
+    buckets = buckets or max(buckets_for(tables[name]) for name in ORDER_TABLES)
     bucketed = {
         name: write_buckets(tables[name], f"{prefix}{name}", f"{root}/{name}", "order_id", buckets)
         for name in ORDER_TABLES

@@ -38,8 +38,12 @@ class Store(Mapping):
         return table in self._known
 
     def _is_written(self, table: str) -> bool:
+        """Whether the table's folder holds data: one that a failed write left empty is no table."""
         files, path = _located(self.spark, self.path(table))
-        return files.exists(path)
+        if not files.exists(path):
+            return False
+        names = [status.getPath().getName() for status in files.listStatus(path)]
+        return any(not name.startswith(("_", ".")) for name in names)
 
     def __iter__(self) -> Iterator[str]:
         return iter(sorted(self._known))

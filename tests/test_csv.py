@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pytest
+
 from helpers import column, tuples
 from mercato.operators.keys import arrival_columns, keep_first
 from mercato.schemas import CATEGORY_TRANSLATION, CUSTOMERS, LOAD_ORDER, ORDER_REVIEWS, SELLERS
@@ -60,3 +62,16 @@ def test_a_folder_of_files(spark, tmp_path):
     raw = read_csv_folder(spark, str(tmp_path))
     assert [df.count() for df in raw.values()] == [1] * 9
     assert "shop_orders_dataset.csv" in raw["orders"].inputFiles()[0]
+
+
+def test_files_with_columns_in_another_order_are_refused(spark, tmp_path):
+    from mercato.schemas import TABLES
+
+    table = TABLES["product_category_name_translation"]
+    first, second = table.columns
+    (tmp_path / "a.csv").write_text(f"{first},{second}\nx,y\n")
+    (tmp_path / "b.csv").write_text(f"{second},{first}\ny2,x2\n")
+    with pytest.raises(Exception, match="CSV header"):
+        read_csv(spark, str(tmp_path / "*.csv"), table).collect()
+    swapped = read_csv(spark, str(tmp_path / "b.csv"), table).select(first, second).collect()
+    assert [tuple(r) for r in swapped] == [("x2", "y2")]

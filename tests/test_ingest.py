@@ -141,3 +141,14 @@ def test_loading_a_folder_of_csv_files(spark, raw, tmp_path, lake):
     assert dict(stored["orders"].dtypes)["order_purchase_timestamp"] == "timestamp"
     assert dict(stored["payments"].dtypes)["payment_value"] == "decimal(10,2)"
     assert typed(spark, "sellers", []).dtypes == stored["sellers"].dtypes
+
+
+def test_a_folder_left_by_a_failed_write_is_no_table(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    with pytest.raises(Exception):
+        store.append(spark.range(3).where("assert_true(id < 0) is null"), "t")
+    assert (tmp_path / "store" / "t").exists()
+    again = Store(spark, str(tmp_path / "store"))
+    assert "t" not in again
+    again.append(spark.range(3), "t")
+    assert Store(spark, str(tmp_path / "store"))["t"].count() == 3

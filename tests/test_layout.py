@@ -9,6 +9,7 @@ from conftest import executed_plan
 from helpers import tuples
 from mercato.plans.analytics import seller_footprint
 from mercato.plans.marts import fct_orders
+from mercato.sources import layout
 from mercato.sources.layout import bucket_by_order, write_buckets, write_by_month
 
 
@@ -33,14 +34,20 @@ def test_bucketed_reach_shuffles_no_lines(spark, lake, tmp_path, shuffled_joins)
     assert sorted(tuples(seller_footprint(bucketed))) == sorted(tuples(seller_footprint(lake)))
 
 
-def test_a_hot_key_is_not_bucketed(spark, tmp_path):
+def test_a_table_is_always_bucketed_as_asked(spark, tmp_path):
     df = spark.range(90).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("order_id"))
-    for limit, buckets in ((29, False), (30, True)):
-        table = f"t3_{limit}"
-        stored = write_buckets(df, table, str(tmp_path / table), "order_id", 4, limit)
-        assert stored.count() == 90
-        described = {row["col_name"] for row in spark.sql(f"describe extended {table}").collect()}
-        assert ("Num Buckets" in described) is buckets
+    stored = write_buckets(df, "t3", str(tmp_path / "t3"), "order_id", 4)
+    assert stored.count() == 90
+    described = {row["col_name"]: row["data_type"] for row in spark.sql("describe extended t3").collect()}
+    assert described["Num Buckets"] == "4"
+
+
+def test_buckets_follow_the_size(spark, monkeypatch, tmp_path):
+    spark.range(10_000).write.parquet(str(tmp_path / "n"))
+    stored = spark.read.parquet(str(tmp_path / "n"))
+    assert layout.buckets_for(stored) == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(layout, "BUCKET_BYTES", 1_000)
+    assert layout.buckets_for(stored) > 10
 
 
 def test_months_and_statuses_are_skipped(spark, lake, tmp_path):

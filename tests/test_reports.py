@@ -59,8 +59,7 @@ def sales_to(seller, states, orders, price="1.00"):
     return [(f"{seller}-{n}", f"S{n % states}", seller, price) for n in range(orders)]
 
 
-@pytest.mark.parametrize("one_task_rows", [100, 0])
-def test_reach(spark, one_task_rows):
+def test_reach(spark):
     sales = [
         *sales_to("one", 1, 3, "10.00"),
         *sales_to("two", 2, 3, "5.00"),
@@ -70,7 +69,7 @@ def test_reach(spark, one_task_rows):
         *sales_to("tie", 2, 6, "2.50"),
         *[(f"x{o}", s, "two", "500.00") for o, s, _, _ in sales_to("y", 3, 3)],
     ]
-    got = seller_geographic_reach(marketplace(spark, sales), one_task_rows=one_task_rows)
+    got = seller_geographic_reach(marketplace(spark, sales))
     columns = ["seller_id", "states_reached", "total_orders", "total_revenue", "seller_tier", "geo_rank", "rev_rank"]
     assert tuples(got.select(*columns, "efficiency_gap")) == [
         ("nine", 9, 9, dec("270.00"), "national", 1, 1, 0),
@@ -198,3 +197,29 @@ def test_delay_buckets(spark):
         ("up to 3 days late", 2, 2, dec("3.00"), dec("0.00")),
         ("up to 7 days late", 1, 0, None, None),
     ]
+
+
+def test_delays_of_a_large_group_do_not_overflow(spark):
+    """Four million orders of one month and state, each 35 days late."""
+    from mercato.plans.extensions import delivery_delay_summary
+
+    orders = spark.range(4_000_000).selectExpr(
+        "cast(id as string) as order_id", "'c' as customer_id", "'delivered' as order_status",
+        "timestamp'2018-01-02' as order_purchase_timestamp", "timestamp'2018-01-02' as order_approved_at",
+        "timestamp'2018-01-03' as order_delivered_carrier_date",
+        "timestamp'2018-03-08' as order_delivered_customer_date",
+        "timestamp'2018-02-01' as order_estimated_delivery_date",
+    )
+    customers = spark.sql(
+        "select 'c' as customer_id, 'u' as customer_unique_id, '00001' as customer_zip_code_prefix,"
+        " 'x' as customer_city, 'SP' as customer_state"
+    )
+    row = delivery_delay_summary({"orders": orders, "customers": customers}).first()
+    assert row["delivered_orders"] == 4_000_000 and float(row["avg_delay_days"]) == 35.0
+
+
+def test_months_are_counted_without_expanding_lines(lake):
+    from conftest import executed_plan
+    from mercato.plans.analytics import monthly_revenue_trend
+
+    assert "Expand" not in executed_plan(monthly_revenue_trend(lake))
