@@ -13,7 +13,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField
+from pyspark.sql.types import StringType, StructField
 
 from mercato.functions.numbers import rounded_to_whole, to_number, to_whole
 from mercato.functions.text import strip, zero_fill
@@ -38,6 +38,8 @@ from mercato.schemas import (
 
 Parents = Mapping[str, DataFrame]
 ZIP_WIDTH = 5
+#: What numbers in text are read as before they are judged.
+WIDE, WIDE_WHOLE = "decimal(38,10)", "decimal(38,0)"
 
 
 @dataclass(frozen=True)
@@ -53,11 +55,27 @@ def _coerced(df: DataFrame, table: Table, how: Callable, *columns: str) -> DataF
         given = df.schema[name].dataType
         if how is to_utc:
             changes[name] = to_utc(F.col(name), given)
-        else:
-            changes[name] = how(F.col(name), given, table.type_of(name))
+            continue
+        target = table.type_of(name)
+        if isinstance(given, StringType) and target.startswith(("decimal", "int", "smallint", "bigint")):
+            # Wide, so that the rules see the value that was given and not what fits the column.
+            target = WIDE if how is to_number else WIDE_WHOLE
+        changes[name] = how(F.col(name), given, target)
     return df.withColumns(changes)
 
 
+def _fits(table: Table, *columns: str) -> Keep:
+    """No value is too large for the declared type of its column."""
+    fits = [F.col(c).isNull() | F.col(c).try_cast(table.type_of(c)).isNotNull() for c in columns]
+    return Keep("does not fit its column", reduce(and_, fits))
+
+
+def _narrowed(df: DataFrame, table: Table) -> DataFrame:
+    """Wide columns in their declared types, once the rules have passed."""
+    wide = [name for name, kind in df.dtypes if kind in (WIDE, WIDE_WHOLE) and name in table.columns]
+    return df.withColumns({name: F.col(name).try_cast(table.type_of(name)) for name in wide})
+
+
 def _is_child(table: Table, column: str, parents: Parents) -> HasParent:
     fk = next(fk for fk in table.references if fk.column == column)
     return HasParent(f"unknown {column}", column, parents[fk.parent], fk.parent_column)
@@ -100,21 +118,16 @@ def _seller_rules(parents: Parents) -> list[Rule]:
     return [required("seller_id"), FirstOf("repeated seller", SELLERS.key)]
 
 
+PRODUCT_WHOLES = ("product_name_lenght", "product_description_lenght", "product_photos_qty")
+PRODUCT_NUMBERS = ("product_weight_g", "product_length_cm", "product_height_cm", "product_width_cm")
+
+
 def _products(df: DataFrame) -> DataFrame:
     if dict(df.dtypes)["product_id"] == "string":
         df = df.withColumn("product_id", strip(F.col("product_id")))
     df = df.withColumn("product_category_name", strip(F.col("product_category_name")))
-    df = _coerced(
-        df,
-        PRODUCTS,
-        rounded_to_whole,
-        "product_name_lenght",
-        "product_description_lenght",
-        "product_photos_qty",
-    )
-    return _coerced(
-        df, PRODUCTS, to_number, "product_weight_g", "product_length_cm", "product_height_cm", "product_width_cm"
-    )
+    df = _coerced(df, PRODUCTS, rounded_to_whole, *PRODUCT_WHOLES)
+    return _coerced(df, PRODUCTS, to_number, *PRODUCT_NUMBERS)
 
 
 def _product_rules(parents: Parents) -> list[Rule]:
@@ -126,6 +139,7 @@ def _product_rules(parents: Parents) -> list[Rule]:
         FirstOf("repeated product", PRODUCTS.key),
         # Such a row would fail the whole load at its insert; here only the row stays out.
         Keep("breaks a check", reduce(and_, checks)),
+        _fits(PRODUCTS, *PRODUCT_WHOLES, *PRODUCT_NUMBERS),
     ]
 
 
@@ -166,6 +180,7 @@ def _order_item_rules(parents: Parents) -> list[Rule]:
         _is_child(ORDER_ITEMS, "seller_id", parents),
         required("price", "freight_value"),
         Keep("negative amount", (F.col("price") >= 0) & (F.col("freight_value") >= 0)),
+        _fits(ORDER_ITEMS, "order_item_id", "price", "freight_value"),
     ]
 
 
@@ -179,10 +194,11 @@ def _payment_rules(parents: Parents) -> list[Rule]:
         required("order_id", "payment_sequential", "payment_type", "payment_installments", "payment_value"),
         Keep("unknown type", F.col("payment_type").isin(*PAYMENT_TYPES)),
         Keep("out of range", (F.col("payment_installments") >= 1) & (F.col("payment_value") >= 0)),
-        FirstOf("repeated payment", PAYMENTS.key),
-        # The order is part of the key: all copies of a payment pass this or none does. It comes
-        # last because the choice of the first copy shrinks the rows before they are shuffled.
+        _fits(PAYMENTS, "payment_sequential", "payment_installments", "payment_value"),
+        # The order is part of the key: all copies of a payment pass this or none does. It comes before the choice
+        # of the first copy, which then finds its rows where the join on the order has put them.
         _is_child(PAYMENTS, "order_id", parents),
+        FirstOf("repeated payment", PAYMENTS.key),
     ]
 
 
@@ -224,6 +240,7 @@ def clean(name: str, raw: DataFrame, parents: Parents) -> DataFrame:
     for fk in cleaner.table.references:
         if fk.on_delete == "set null":
             df = null_orphans(df, fk.column, parents[fk.parent], fk.parent_column)
+    df = _narrowed(df, cleaner.table)
     return df.select(*[_described(field) for field in cleaner.table.schema.fields])
 
 

@@ -36,7 +36,8 @@ def failing_accepted_values(df: DataFrame, column: str, values: Sequence) -> Dat
 
 def failing_relationships(df: DataFrame, column: str, parents: DataFrame, parent_column: str) -> DataFrame:
     """Rows with a reference that no parent has."""
-    keys = parents.select(F.col(parent_column).alias("_parent"))
+    # Copies of a parent key go before the shuffle: an anti join cannot split them.
+    keys = parents.select(F.col(parent_column).alias("_parent")).distinct()
     return df.where(F.col(column).isNotNull()).join(keys, F.col(column) == F.col("_parent"), "left_anti")
 
 

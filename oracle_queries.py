@@ -337,6 +337,7 @@ REJECTS = " union all ".join(
             ("weight not positive", "select count(*) from raw_products where product_weight_g > 0"),
             ("repeated product", "select count(*) from raw_products where product_weight_g > 0"),
             ("breaks a check", "select count(*) from products"),
+            ("does not fit its column", "select count(*) from products"),
         ),
         _chain(
             "orders",
@@ -356,6 +357,7 @@ REJECTS = " union all ".join(
             ("unknown seller_id", "select count(*) from items"),
             ("missing price, freight_value", "select count(*) from items"),
             ("negative amount", "select count(*) from items"),
+            ("does not fit its column", "select count(*) from items"),
         ),
         _chain(
             "payments",
@@ -366,12 +368,12 @@ REJECTS = " union all ".join(
             ),
             ("unknown type", "select count(*) from raw_payments"),
             ("out of range", "select count(*) from raw_payments where payment_installments >= 1"),
+            ("does not fit its column", "select count(*) from raw_payments where payment_installments >= 1"),
             (
-                "repeated payment",
-                "select count(*) from (select distinct order_id, payment_sequential from raw_payments"
-                " where payment_installments >= 1)",
+                "unknown order_id",
+                f"select count(*) from raw_payments where payment_installments >= 1 and {_KNOWN_ORDER}",
             ),
-            ("unknown order_id", "select count(*) from payments"),
+            ("repeated payment", "select count(*) from payments"),
         ),
         _chain(
             "order_reviews",

@@ -198,3 +198,31 @@ def test_sample_counts_and_report_agree(raw, lake, table):
     report = rejects(table, raw[table], lake).orderBy("step").collect()
     assert report[-1]["rows_left"] == EXPECTED[table]
     assert report[0]["rows_left"] - sum(r["rows_dropped"] for r in report) == EXPECTED[table]
+
+
+def test_amounts_are_judged_before_they_are_rounded(spark):
+    """A small negative amount is negative, a value that is too large is refused and not stored as null."""
+    good = {"payment_type": "credit_card", "payment_installments": "1"}
+    given = {"1": "-0.004", "2": "123456789123", "3": "0.004", "4": "10"}
+    rows = [{"order_id": "o1", "payment_sequential": k, "payment_value": v, **good} for k, v in given.items()]
+    raw = raw_text(spark, "payments", rows)
+    parents = {"orders": typed(spark, "orders", PARENT_ORDERS)}
+    stored = clean("payments", raw, parents).select("payment_sequential", "payment_value").collect()
+    assert sorted((r[0], str(r[1])) for r in stored) == [(3, "0.00"), (4, "10.00")]
+    dropped = {r["rule"]: r["rows_dropped"] for r in rejects("payments", raw, parents).collect()}
+    assert dropped["out of range"] == 1 and dropped["does not fit its column"] == 1
+
+
+def test_products_that_do_not_fit_are_refused(spark):
+    rows = [
+        {"product_id": "small", "product_weight_g": "0.001"},
+        {"product_id": "long", "product_length_cm": "12345678"},
+        {"product_id": "name", "product_name_lenght": "9999999999"},
+        {"product_id": "heavy", "product_weight_g": "12345678901"},
+        {"product_id": "good", "product_weight_g": "12.5", "product_name_lenght": "40"},
+    ]
+    raw = raw_text(spark, "products", rows)
+    parents = {"product_category_name_translation": typed(spark, "product_category_name_translation", [])}
+    assert {r["product_id"] for r in clean("products", raw, parents).collect()} == {"small", "good"}
+    dropped = {r["rule"]: r["rows_dropped"] for r in rejects("products", raw, parents).collect()}
+    assert dropped["does not fit its column"] == 3
