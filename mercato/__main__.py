@@ -1,7 +1,8 @@
 """Command line: load raw files, build the marts, run the data tests, print a report.
 
     spark-submit mercato/__main__.py load  --data DIR --store DIR [--parents batch+stored]
-    spark-submit mercato/__main__.py build --store DIR
+    spark-submit mercato/__main__.py stream --table NAME --data DIR --progress DIR --store DIR
+    spark-submit mercato/__main__.py build --store DIR [--database NAME]
     spark-submit mercato/__main__.py test  --store DIR
     spark-submit mercato/__main__.py audit --store DIR
     spark-submit mercato/__main__.py report NAME --store DIR
@@ -19,10 +20,14 @@ if __package__ in (None, ""):
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
 from mercato.plans import analytics, extensions, quality  # noqa: E402
+from mercato.plans.catalog import register  # noqa: E402
 from mercato.plans.ingest import BATCH, BATCH_AND_STORED, ingest_folder  # noqa: E402
 from mercato.plans.marts import MARTS, fct_orders  # noqa: E402
+from mercato.schemas import LOAD_ORDER, TABLES  # noqa: E402
 from mercato.session import configure  # noqa: E402
+from mercato.sources.csv import stream_csv  # noqa: E402
 from mercato.sources.store import Store  # noqa: E402
+from mercato.streaming.ingest import stream_into  # noqa: E402
 
 REPORTS = {
     "seller_geographic_reach": analytics.seller_geographic_reach,
@@ -33,6 +38,8 @@ REPORTS = {
     "review_score_distribution": extensions.review_score_distribution,
     "seller_performance": extensions.seller_performance,
     "delivery_delay_summary": extensions.delivery_delay_summary,
+    "geo_customers": extensions.geo_customers,
+    "geo_sellers": extensions.geo_sellers,
     "trade_between_states": extensions.trade_between_states,
     "returning_shoppers": extensions.returning_shoppers,
 }
@@ -62,12 +69,18 @@ def failures(report: DataFrame, column: str) -> int:
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(prog="mercato", description=__doc__.splitlines()[0])
     steps = parser.add_subparsers(dest="step", required=True)
-    for step in ("load", "build", "test", "audit", "report"):
+    for step in ("load", "stream", "build", "test", "audit", "report"):
         options = steps.add_parser(step)
         options.add_argument("--store", required=True, help="folder that holds the tables")
         if step == "load":
             options.add_argument("--data", required=True, help="folder with the nine CSV files")
             options.add_argument("--parents", choices=(BATCH, BATCH_AND_STORED), default=BATCH)
+        if step == "stream":
+            options.add_argument("--table", required=True, choices=[t.name for t in LOAD_ORDER])
+            options.add_argument("--data", required=True, help="folder in which the files of the table arrive")
+            options.add_argument("--progress", required=True, help="folder that records which files were read")
+        if step == "build":
+            options.add_argument("--database", help="also register tables and marts in this catalog database")
         if step == "report":
             options.add_argument("name", choices=sorted(REPORTS))
             options.add_argument("--out", help="folder for the result; without it all rows are printed, tab-separated")
@@ -79,9 +92,18 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         for table, rows in ingest_folder(spark, given.data, given.store, given.parents).items():
             print(f"{table}\t{rows} rows inserted")
         return 0
+    if given.step == "stream":
+        files = stream_csv(spark, given.data, TABLES[given.table])
+        parents = {fk.parent: store[fk.parent] for fk in TABLES[given.table].references}
+        stream_into(files, given.table, parents, store, given.progress).awaitTermination()
+        print(f"{given.table}\t{store[given.table].count()} rows stored")
+        return 0
     if given.step == "build":
         for table, rows in build(store).items():
             print(f"{table}\t{rows} rows")
+        if given.database:
+            register(store, given.database, [t.name for t in LOAD_ORDER])
+            register(gold(store), given.database, MARTS)
         return 0
     if given.step == "test":
         return min(failures(quality.quality_report(store, gold(store)), "failures"), 1)

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.operators.keys import arrival
+from mercato.operators.keys import arrival, arrival_columns
+from mercato.schemas import LOAD_ORDER
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -189,3 +190,117 @@ READERS = {
 
 def raw_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {name: read(spark, folder) for name, read in READERS.items()}
+
+
+def _cents(column: str) -> Column:
+    return (F.col(column) * 100).cast("bigint")
+
+
+def _messy_numbers(column: str, kind: Column) -> Column:
+    """The number as text, spoilt for kinds 0 to 3 and written in an unusual way for 4 and 5."""
+    text = F.col(column).cast("string")
+    return (
+        F.when(kind == 0, "-0.004")
+        .when(kind == 1, "12f")
+        .when(kind == 2, "NA")
+        .when(kind == 3, "123456789")
+        .when(kind == 4, F.concat(F.lit("\t"), text, F.lit(" ")))
+        .when(kind == 5, F.concat(F.lit("+"), text))
+        .otherwise(text)
+    )
+
+
+def _messy_columns() -> dict[str, dict[str, Column]]:
+    """For each table, the columns whose text is not simply the value."""
+    place, customer, seller = F.col("_arrival_0"), F.col("customer_id"), F.col("seller_id")
+    product, order, review = F.col("product_id"), F.col("order_id"), F.col("review_id")
+    latitude, wholes = F.col("geolocation_lat").cast("string"), F.col("product_name_lenght").cast("string")
+    score, title = F.col("review_score").cast("string"), F.col("review_comment_title")
+    approved = F.date_format("order_approved_at", "yyyy-MM-dd HH:mm:ss")
+    paid = _cents("payment_value") % 40
+    return {
+        "geolocation": {
+            "geolocation_lat": F.when(place % 7 == 0, "NA")
+            .when(place % 7 == 1, F.concat(F.lit(" "), latitude, F.lit("\t")))
+            .otherwise(latitude),
+            "geolocation_city": F.when(place % 11 == 0, "null").otherwise(F.col("geolocation_city")),
+        },
+        "product_category_name_translation": {
+            "product_category_name_english": F.when(F.col("product_category_name").startswith("S"), "N/A").otherwise(
+                F.col("product_category_name_english")
+            )
+        },
+        "customers": {"customer_city": F.when(customer % 9 == 0, "None").otherwise(F.col("customer_city"))},
+        "sellers": {
+            "seller_zip_code_prefix": F.concat(F.lit(" "), F.col("seller_zip_code_prefix"), F.lit("\u00a0"))
+        },
+        "products": {
+            "product_id": F.concat(F.lit(" "), product.cast("string"), F.lit("\t")),
+            "product_name_lenght": F.when(product % 10 == 0, "40000")
+            .when(product % 10 == 4, F.concat(wholes, F.lit(".4")))
+            .otherwise(wholes),
+            "product_length_cm": F.when(product % 10 == 2, "12345").otherwise(F.col("product_length_cm").cast("string")),
+            "product_photos_qty": F.when(product % 10 == 3, "abc").otherwise(
+                F.col("product_photos_qty").cast("string")
+            ),
+            "product_weight_g": F.when(product % 10 == 5, "123456789").otherwise(
+                F.col("product_weight_g").cast("string")
+            ),
+        },
+        "orders": {"order_approved_at": F.when(order % 10 == 1, "on monday").otherwise(approved)},
+        "order_items": {
+            "order_item_id": F.concat(
+                F.col("order_item_id").cast("string"), F.when(order % 3 == 0, ".0").otherwise("")
+            ),
+            "seller_id": F.when(product % 40 == 6, "nobody").otherwise(seller.cast("string")),
+            "price": _messy_numbers("price", product % 40),
+            "freight_value": F.when(seller % 30 != 0, F.col("freight_value").cast("string")),
+        },
+        "payments": {
+            "payment_type": F.when(paid == 7, "cheque").otherwise(F.col("payment_type")),
+            "payment_installments": F.when(paid == 8, "2.5").otherwise(F.col("payment_installments").cast("string")),
+            "payment_value": _messy_numbers("payment_value", paid),
+        },
+        "order_reviews": {
+            "review_score": F.concat(
+                score, F.when(review % 4 == 0, ".0").when(review % 4 == 1, ".5").otherwise("")
+            ),
+            "review_comment_title": F.when(title == "error", "n/a").otherwise(title),
+            "review_comment_message": F.concat(
+                F.lit('He said "'), title, F.lit('",\n'), F.col("review_comment_message")
+            ),
+            "review_creation_date": F.when(review % 10 == 3, "00:00").otherwise(
+                F.date_format("review_creation_date", "yyyy-MM-dd HH:mm:ss")
+            ),
+        },
+    }
+
+
+#: Tables whose every 20th row comes again at the end, with another text in the named column.
+_REPEATED = {
+    "customers": ("customer_id", "customer_city"),
+    "sellers": ("seller_id", "seller_city"),
+    "products": ("product_id", "product_category_name"),
+    "orders": ("order_id", "order_status"),
+}
+
+
+def write_messy_csv(raw: dict[str, DataFrame], folder: str) -> None:
+    """The raw tables as CSV files in their order of arrival: signs, blanks, missing tokens, fractions, texts where
+    numbers or dates are due, values that do not fit, line breaks and quotes, unknown parents, repeated keys."""
+    messy = _messy_columns()
+    for table in LOAD_ORDER:
+        rows, order = raw[table.name].withColumn("_again", F.lit(0)), arrival_columns(raw[table.name])
+        if table.name in _REPEATED:
+            key, changed = _REPEATED[table.name]
+            again = rows.where(F.col(key) % 20 == 0).withColumn("_again", F.lit(1))
+            rows = rows.unionByName(again.withColumn(changed, F.lit("canceled")))
+        kinds = dict(rows.dtypes)
+        plain = {
+            c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") if kinds[c] == "timestamp" else F.col(c).cast("string")
+            for c in table.columns
+        }
+        texts = [text.alias(c) for c, text in (plain | messy[table.name]).items()]
+        writer = rows.orderBy("_again", *order).select(*texts).write.option("header", True).option("escape", '"')
+        writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+        writer.csv(f"{folder}/{table.file.replace('*', 'shop_').replace('__', '_')}")

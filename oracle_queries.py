@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 
+from mercato.schemas import LOAD_ORDER
+
 TS = "%Y-%m-%d %H:%M:%S.%f"
 
 BLOCKS = {
@@ -120,6 +122,49 @@ BLOCKS = {
     "reviews": """
         select * from one_per_review
         qualify row_number() over (partition by order_id order by review_creation_date, review_id) = 1""",
+    # What is stored from messy text: the same tables less the rows and values that the mess spoils.
+    "csv_geo": """
+        select * from (
+            select * from raw_geolocation where arrival % 7 <> 0
+            qualify row_number() over (partition by geolocation_zip_code_prefix order by arrival) = 1)
+        where arrival % 11 <> 0""",
+    "csv_translation": "select * from raw_translation where product_category_name not like 'S%'",
+    "csv_customers": """
+        select customer_id, customer_unique_id, lpad(geolocation_zip_code_prefix, 5, '0') as customer_zip_code_prefix,
+               case when customer_id % 9 <> 0 then customer_city end as customer_city, customer_state
+        from raw_customers left join csv_geo on customer_zip_code_prefix = geolocation_zip_code_prefix
+        where customer_unique_id is not null""",
+    "csv_sellers": """
+        select seller_id, lpad(geolocation_zip_code_prefix, 5, '0') as seller_zip_code_prefix, seller_city,
+               seller_state
+        from raw_sellers left join csv_geo on seller_zip_code_prefix = geolocation_zip_code_prefix""",
+    "csv_products": """
+        select p.* replace (
+                   case when product_category_name in (select product_category_name from csv_translation)
+                        then product_category_name end as product_category_name,
+                   case when product_id % 10 <> 3 then product_photos_qty end as product_photos_qty)
+        from raw_products p where product_weight_g > 0 and product_id % 10 not in (0, 2, 5)""",
+    "csv_ord": """
+        select * replace (case when order_id % 10 <> 1 then order_approved_at end as order_approved_at)
+        from raw_orders
+        where customer_id in (select customer_id from csv_customers) and order_status <> 'bogus'""",
+    "csv_items": """
+        select * from raw_order_items
+        where arrival = 1 and order_id in (select order_id from csv_ord)
+          and product_id in (select product_id from csv_products) and product_id % 40 not in (0, 1, 2, 3, 6)
+          and seller_id in (select seller_id from csv_sellers) and seller_id % 30 <> 0""",
+    "csv_payments": """
+        select * from raw_payments
+        where order_id in (select order_id from csv_ord) and payment_installments >= 1
+          and cast(payment_value * 100 as bigint) % 40 not in (0, 1, 2, 3, 7, 8)
+        qualify row_number() over (partition by order_id, payment_sequential order by arrival) = 1""",
+    "csv_one_per_review": """
+        select * from raw_reviews
+        where order_id in (select order_id from csv_ord) and review_score between 1 and 5 and review_id % 4 <> 1
+        qualify row_number() over (partition by review_id order by review_creation_date) = 1""",
+    "csv_reviews": """
+        select * from csv_one_per_review
+        qualify row_number() over (partition by order_id order by review_creation_date, review_id) = 1""",
     # Staging.
     "stg_orders": """
         select order_id, customer_id, order_status, order_purchase_timestamp as purchased_at,
@@ -247,6 +292,37 @@ FCT = f"""select order_id, customer_id, order_status, {times(*STG_TIMES)}, deliv
        {longs("item_count")}, {doubles("total_price", "total_freight", "total_order_value", "total_payment")},
        {longs("payment_count")}, primary_payment_type, {longs("review_score")}, sentiment from fct"""
 
+def texts(*columns: str) -> str:
+    return ", ".join(f"cast({c} as varchar) as {c}" for c in columns)
+
+
+#: What a load of messy CSV files stores; the files hold times by the second.
+FROM_CSV = {
+    "geolocation": f"""select lpad(geolocation_zip_code_prefix, 5, '0') as geolocation_zip_code_prefix,
+        {doubles("geolocation_lat", "geolocation_lng")}, geolocation_city, geolocation_state from csv_geo""",
+    "product_category_name_translation": "select * from csv_translation",
+    "customers": "select * replace (cast(customer_id as varchar) as customer_id) from csv_customers",
+    "sellers": "select * replace (cast(seller_id as varchar) as seller_id) from csv_sellers",
+    "products": f"""select {texts("product_id")}, product_category_name, {longs(*PRODUCT_COUNTS)},
+        {doubles(*PRODUCT_SIZES)} from csv_products""",
+    "orders": f"""select {texts("order_id", "customer_id")}, order_status, {times(*ORDER_TIMES)} from csv_ord""",
+    "order_items": f"""select {texts("order_id", "product_id", "seller_id")}, {longs("order_item_id")},
+        {times("shipping_limit_date")}, {doubles("price", "freight_value")} from csv_items""",
+    "payments": f"""select {texts("order_id")}, {longs("payment_sequential")}, payment_type,
+        {longs("payment_installments")}, {doubles("payment_value")} from csv_payments""",
+    "order_reviews": f"""select {texts("review_id", "order_id")}, {longs("review_score")},
+        case when review_comment_title <> 'error' then review_comment_title end as review_comment_title,
+        'He said "' || review_comment_title || chr(34) || ',' || chr(10) || review_comment_message
+            as review_comment_message, {times(*REVIEW_TIMES)}
+        from (select * replace (
+                  case when review_id % 10 <> 3
+                       then date_trunc('second', review_creation_date) end as review_creation_date,
+                  date_trunc('second', review_answer_timestamp) as review_answer_timestamp) from csv_reviews)""",
+}
+
+#: The blocks of the clean tables, in the order of loading.
+_CLEAN_BLOCKS = ("geo", "translation", "customers", "sellers", "products", "ord", "items", "payments", "reviews")
+
 REACH = """
 select r.seller_id, s.seller_city, s.seller_state, states_reached, total_orders, cents / 100.0::double as total_revenue,
        ((2 * cents + n) // (2 * n)) / 100.0::double as avg_order_value,
@@ -632,6 +708,11 @@ QUERIES = {
         cast(payment_value + case when payment_type = 'credit_card' then 0 else 1 end as double) as payment_value
         from payments""",
     "ingest_twice": TWICE,
+    **{f"ingest_csv_{table}": query for table, query in FROM_CSV.items()},
+    "catalog_tables": " union all ".join(
+        f"select '{t.name}' as table_name, '{t.comment}' as table_comment, count(*) as stored from {block}"
+        for t, block in zip(LOAD_ORDER, _CLEAN_BLOCKS)
+    ),
     "stream_ingest": PAYMENTS,
     "reject_report": REJECTS,
     # Clean tables.

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 
 from mercato.__main__ import main
-from mercato.schemas import LOAD_ORDER
+from mercato.schemas import LOAD_ORDER, TABLES
 
 ROWS = {
     "geolocation": "1037,-23.5,-46.6,sao paulo,SP",
@@ -45,3 +45,27 @@ def test_whole_pipeline(spark, folders, capsys):
     assert main(["report", "monthly_revenue_trend", "--out", out, *store], spark) == 0
     row = spark.read.parquet(out).first()
     assert (row["month"], str(row["monthly_revenue"]), row["trend"]) == ("2017-10", "38.71", "first month")
+
+
+def test_registered_tables_and_location_reports(spark, folders, capsys):
+    store = ["--store", str(folders / "named")]
+    assert main(["load", "--data", str(folders / "data"), *store], spark) == 0
+    assert main(["build", "--database", "shop", *store], spark) == 0
+    assert main(["build", "--database", "shop", *store], spark) == 0
+    assert spark.table("shop.fct_orders").count() == spark.table("shop.orders").count() == 1
+    assert spark.catalog.getTable("shop.payments").description == TABLES["payments"].comment
+    capsys.readouterr()
+    assert main(["report", "geo_customers", *store], spark) == 0
+    assert capsys.readouterr().out.splitlines()[1].endswith("-23.500000\t-46.600000")
+
+
+def test_files_of_a_table_as_they_arrive(spark, folders, capsys):
+    store = ["--store", str(folders / "streamed")]
+    assert main(["load", "--data", str(folders / "data"), *store], spark) == 0
+    (folders / "arriving").mkdir()
+    header = ",".join(TABLES["payments"].columns)
+    (folders / "arriving" / "one.csv").write_text(f"{header}\no1,1,voucher,1,5.00\no1,2,voucher,1,5.00\no9,1,voucher,1,5.00\n")
+    stream = ["stream", "--table", "payments", "--data", str(folders / "arriving"), "--progress", str(folders / "seen")]
+    capsys.readouterr()
+    assert main([*stream, *store], spark) == 0
+    assert capsys.readouterr().out.splitlines()[-1] == "payments\t2 rows stored"
