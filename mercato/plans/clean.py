@@ -13,7 +13,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField
+from pyspark.sql.types import IntegralType, NumericType, StructField
 
 from mercato.functions.numbers import rounded_to_whole, to_number, to_whole
 from mercato.functions.text import strip, zero_fill
@@ -38,8 +38,8 @@ from mercato.schemas import (
 
 Parents = Mapping[str, DataFrame]
 ZIP_WIDTH = 5
-#: What numbers in text are read as before they are judged.
-WIDE, WIDE_WHOLE = "decimal(38,10)", "decimal(38,0)"
+#: What numbers are read as before they are judged: numbers in text or floating point, whole ones, given whole numbers.
+WIDE, WIDE_WHOLE, WIDE_INTEGER = "decimal(38,10)", "decimal(38,0)", "bigint"
 
 
 @dataclass(frozen=True)
@@ -56,11 +56,9 @@ def _coerced(df: DataFrame, table: Table, how: Callable, *columns: str) -> DataF
         if how is to_utc:
             changes[name] = to_utc(F.col(name), given)
             continue
-        target = table.type_of(name)
-        if isinstance(given, StringType) and target.startswith(("decimal", "int", "smallint", "bigint")):
-            # Wide, so that the rules see the value that was given and not what fits the column.
-            target = WIDE if how is to_number else WIDE_WHOLE
-        changes[name] = how(F.col(name), given, target)
+        # Wide, so that the rules see the value that was given and not what fits the column.
+        whole = WIDE_INTEGER if isinstance(given, IntegralType) else WIDE_WHOLE
+        changes[name] = how(F.col(name), given, WIDE if how is to_number else whole)
     return df.withColumns(changes)
 
 
@@ -72,7 +70,8 @@ def _fits(table: Table, *columns: str) -> Keep:
 
 def _narrowed(df: DataFrame, table: Table) -> DataFrame:
     """Wide columns in their declared types, once the rules have passed."""
-    wide = [name for name, kind in df.dtypes if kind in (WIDE, WIDE_WHOLE) and name in table.columns]
+    numbers = [field.name for field in table.schema.fields if isinstance(field.dataType, NumericType)]
+    wide = [name for name, kind in df.dtypes if kind in (WIDE, WIDE_WHOLE, WIDE_INTEGER) and name in numbers]
     return df.withColumns({name: F.col(name).try_cast(table.type_of(name)) for name in wide})
 
 

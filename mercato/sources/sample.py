@@ -1,7 +1,8 @@
 """The raw marketplace tables, derived from a TPC-H-like set of Parquet tables.
 
 Ids keep their numeric type. Money becomes decimal before any arithmetic. Each table carries its
-arrival order, and some bad rows: duplicate keys, orphans, unknown statuses, values out of range.
+arrival order. Every row of the given tables is read; bad rows come from values changed on some of
+them: repeated keys, unknown parents, missing values, unknown statuses and types, values out of range.
 """
 
 from __future__ import annotations
@@ -32,41 +33,45 @@ def _city(nation: str) -> Column:
     return F.concat(F.lit("CITY_"), F.col(nation).cast("string"))
 
 
+#: A zip that no place has.
+UNKNOWN_ZIP = "777"
+
+
+def _key(column: str) -> Column:
+    """The key, but one row in 40 takes that of the row before it: a key comes twice, the next has no row."""
+    return F.when(F.col(column) % 40 == 3, F.col(column) - 1).otherwise(F.col(column))
+
+
 def geolocation(spark: SparkSession, folder: str) -> DataFrame:
-    balance = F.col("c_acctbal").cast("decimal(12,2)") / 1000
-    return (
-        _read(spark, folder, "customer")
-        .where("c_nationkey < 20")
-        .select(
-            F.col("c_nationkey").cast("string").alias("geolocation_zip_code_prefix"),
-            balance.cast("decimal(12,6)").alias("geolocation_lat"),
-            (-balance).cast("decimal(12,6)").alias("geolocation_lng"),
-            _city("c_nationkey").alias("geolocation_city"),
-            _state("c_nationkey").alias("geolocation_state"),
-            *arrival("c_custkey"),
-        )
+    place, balance = F.col("c_custkey"), F.col("c_acctbal").cast("decimal(12,2)") / 1000
+    return _read(spark, folder, "customer").select(
+        F.when(place % 50 != 9, F.col("c_nationkey").cast("string")).alias("geolocation_zip_code_prefix"),
+        F.when(place % 5 != 4, balance.cast("decimal(12,6)")).alias("geolocation_lat"),
+        (-balance).cast("decimal(12,6)").alias("geolocation_lng"),
+        F.when(place % 6 != 1, _city("c_nationkey")).alias("geolocation_city"),
+        _state("c_nationkey").alias("geolocation_state"),
+        *arrival("c_custkey"),
     )
 
 
 def product_category_name_translation(spark: SparkSession, folder: str) -> DataFrame:
-    return (
-        _read(spark, folder, "part")
-        .where("p_type <> 'ECONOMY'")
-        .select("p_type")
-        .distinct()
-        .select(
-            F.col("p_type").alias("product_category_name"),
-            F.lower("p_type").alias("product_category_name_english"),
-            *arrival("p_type"),
-        )
+    name, other = F.col("p_type"), F.when(F.col("p_size") % 2 == 0, "").otherwise(" goods")
+    pairs = _read(spark, folder, "part").select(
+        name.alias("product_category_name"),
+        F.when(name != "ECONOMY", F.concat(F.lower(name), other)).alias("product_category_name_english"),
     )
+    order = arrival("product_category_name", "product_category_name_english")
+    return pairs.distinct().select("*", *order)
 
 
 def customers(spark: SparkSession, folder: str) -> DataFrame:
+    key = F.col("c_custkey")
     return _read(spark, folder, "customer").select(
-        F.col("c_custkey").alias("customer_id"),
-        F.when(F.col("c_custkey") % 50 != 0, F.col("c_name")).alias("customer_unique_id"),
-        F.col("c_nationkey").cast("string").alias("customer_zip_code_prefix"),
+        _key("c_custkey").alias("customer_id"),
+        F.when(key % 50 != 0, F.col("c_name")).alias("customer_unique_id"),
+        F.when(key % 10 == 4, UNKNOWN_ZIP)
+        .when(key % 50 != 9, F.col("c_nationkey").cast("string"))
+        .alias("customer_zip_code_prefix"),
         _city("c_nationkey").alias("customer_city"),
         _state("c_nationkey").alias("customer_state"),
         *arrival("c_custkey"),
@@ -74,9 +79,10 @@ def customers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sellers(spark: SparkSession, folder: str) -> DataFrame:
+    key = F.col("s_suppkey")
     return _read(spark, folder, "supplier").select(
-        F.col("s_suppkey").alias("seller_id"),
-        F.col("s_nationkey").cast("string").alias("seller_zip_code_prefix"),
+        F.when(key % 100 != 9, _key("s_suppkey")).alias("seller_id"),
+        F.when(key % 10 == 5, UNKNOWN_ZIP).otherwise(F.col("s_nationkey").cast("string")).alias("seller_zip_code_prefix"),
         _city("s_nationkey").alias("seller_city"),
         _state("s_nationkey").alias("seller_state"),
         *arrival("s_suppkey"),
@@ -84,15 +90,17 @@ def sellers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def products(spark: SparkSession, folder: str) -> DataFrame:
+    key, kind = F.col("p_partkey"), F.col("p_partkey") % 50
+    height = (F.col("p_size") % 20 + 1).cast("decimal(8,2)")
     return _read(spark, folder, "part").select(
-        F.col("p_partkey").alias("product_id"),
-        F.col("p_type").alias("product_category_name"),
-        F.length("p_name").alias("product_name_lenght"),
+        F.when(key % 100 != 29, _key("p_partkey")).alias("product_id"),
+        F.when(key % 9 == 4, "UNLISTED").when(key % 9 != 5, F.col("p_type")).alias("product_category_name"),
+        F.when(kind == 38, 0).when(kind == 39, 40000).otherwise(F.length("p_name")).alias("product_name_lenght"),
         (F.length("p_name") * 10).alias("product_description_lenght"),
-        (F.col("p_size") % 5).alias("product_photos_qty"),
+        F.when(kind == 37, -1).otherwise(F.col("p_size") % 5).alias("product_photos_qty"),
         (F.col("p_size") - 1).cast("decimal(12,2)").alias("product_weight_g"),
         F.col("p_size").cast("decimal(8,2)").alias("product_length_cm"),
-        (F.col("p_size") % 20 + 1).cast("decimal(8,2)").alias("product_height_cm"),
+        F.when(kind == 36, -height).otherwise(height).alias("product_height_cm"),
         (F.col("p_size") % 30 + 1).cast("decimal(8,2)").alias("product_width_cm"),
         *arrival("p_partkey"),
     )
@@ -103,9 +111,10 @@ def orders(spark: SparkSession, folder: str) -> DataFrame:
     day = F.col("o_orderdate").cast("timestamp")
     purchase = _plus(day, hours=key % 24)
     return _read(spark, folder, "orders").select(
-        key.alias("order_id"),
+        _key("o_orderkey").alias("order_id"),
         F.col("o_custkey").alias("customer_id"),
-        F.when(status == "F", "delivered")
+        F.when(key % 40 == 17, None)
+        .when(status == "F", "delivered")
         .when(status == "O", "shipped")
         .when(key % 10 == 0, "bogus")
         .otherwise("processing")
@@ -120,28 +129,32 @@ def orders(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def order_items(spark: SparkSession, folder: str) -> DataFrame:
-    price = F.col("l_extendedprice").cast("decimal(12,2)")
+    kind, price = F.col("l_partkey") % 50, F.col("l_extendedprice").cast("decimal(12,2)")
     freight = F.round(price * F.col("l_tax").cast("decimal(4,2)"), 2).cast("decimal(12,2)")
     return _read(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_linenumber").alias("order_item_id"),
-        F.col("l_partkey").alias("product_id"),
+        F.when(kind != 14, F.col("l_partkey")).alias("product_id"),
         F.col("l_suppkey").alias("seller_id"),
         F.col("l_shipdate").cast("timestamp").alias("shipping_limit_date"),
-        price.alias("price"),
-        freight.alias("freight_value"),
+        F.when(kind == 13, -price).when(kind != 11, price).alias("price"),
+        F.when(kind != 12, freight).alias("freight_value"),
         *_line_arrival(),
     )
 
 
 def payments(spark: SparkSession, folder: str) -> DataFrame:
-    flag = F.col("l_returnflag")
+    kind, flag, value = F.col("l_partkey") % 50, F.col("l_returnflag"), F.col("l_extendedprice").cast("decimal(12,2)")
     return _read(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_linenumber").alias("payment_sequential"),
-        F.when(flag == "R", "credit_card").when(flag == "A", "boleto").otherwise("voucher").alias("payment_type"),
+        F.when(kind == 15, "cheque")
+        .when(flag == "R", "credit_card")
+        .when(flag == "A", "boleto")
+        .otherwise("voucher")
+        .alias("payment_type"),
         (F.col("l_quantity").cast("int") % 11).alias("payment_installments"),
-        F.col("l_extendedprice").cast("decimal(12,2)").alias("payment_value"),
+        F.when(kind == 17, -value).when(kind != 16, value).alias("payment_value"),
         *_line_arrival(),
     )
 
@@ -164,9 +177,9 @@ def _line_arrival() -> list[Column]:
 def order_reviews(spark: SparkSession, folder: str) -> DataFrame:
     key, written = F.col("event_id"), F.col("ts").cast("timestamp")
     return _read(spark, folder, "events").select(
-        key.alias("review_id"),
+        F.when(key % 40 == 9, key - 1).otherwise(key).alias("review_id"),
         (key - key % 3).alias("order_id"),
-        (F.floor("value").cast("int") % 6).alias("review_score"),
+        F.when(key % 40 != 7, F.floor("value").cast("int") % 6).alias("review_score"),
         F.col("event_type").alias("review_comment_title"),
         F.col("props").alias("review_comment_message"),
         written.alias("review_creation_date"),
