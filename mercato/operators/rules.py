@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercato.operators.keys import keep_first, semi_filter
+from mercato.operators.keys import arrival_columns, keep_first, semi_filter
 
 
 @dataclass(frozen=True)
@@ -56,47 +56,45 @@ def apply_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return df
 
 
-def _survivors(df: DataFrame, start: int, rules: Sequence[Keep | HasParent]) -> DataFrame:
-    """One row with an array (step, rows left after it), from one aggregation over ``df``."""
-    passes = []
-    for n, rule in enumerate(rules):
-        if isinstance(rule, Keep):
-            passes.append(F.coalesce(rule.predicate, F.lit(False)))
-        else:
-            flag = f"_parent_{n}"
-            parents = rule.parents.select(F.col(rule.parent_column).alias(flag))
-            df = df.join(parents, df[rule.column] == parents[flag], "left")
-            passes.append(F.col(flag).isNotNull())
-    left = [F.count(F.lit(1))]
-    for n in range(1, len(passes) + 1):
-        left.append(F.count_if(reduce(lambda a, b: a & b, passes[:n])))
-    steps = [F.struct(F.lit(start + n).alias("step"), c.alias("rows_left")) for n, c in enumerate(left)]
-    return df.agg(F.array(*steps).alias("steps"))
-
-
 def count_rejects(df: DataFrame, table: str, rules: Sequence[Rule]) -> DataFrame:
     """Rows left and rows dropped after each rule: (table_name, step, rule, rows_left, rows_dropped).
 
-    Between two ``FirstOf`` rules everything is counted in one aggregation with one flag per rule.
+    The table is read once. A row carries a mark for each rule that it has passed. At a ``FirstOf`` rule the rows of
+    a key become one, with the sums of their marks and the first row that is still alive, which partial aggregation
+    finds before the shuffle; so a key with many copies costs one row a task here too.
     """
-    counted, start, segment = [], 0, []
-    passed = df
+    columns, order, alive = df.columns, arrival_columns(df), F.col("_alive")
+    if not order and any(isinstance(rule, FirstOf) for rule in rules):
+        raise ValueError("no order: which row comes first would be left to chance")
+    df = df.withColumns({"_alive": F.lit(True), "_left_0": F.lit(1).cast("bigint")})
     for n, rule in enumerate(rules, 1):
-        if isinstance(rule, FirstOf):
-            counted.append(_survivors(passed, start, segment))
-            passed = apply_rules(passed, [*segment, rule])
-            start, segment = n, []
+        if isinstance(rule, Keep):
+            df = df.withColumn("_alive", alive & F.coalesce(rule.predicate, F.lit(False)))
+        elif isinstance(rule, HasParent):
+            parents = rule.parents.select(F.col(rule.parent_column).alias("_parent"))
+            known = df.join(parents, alive & (F.col(rule.column) == F.col("_parent")), "left")
+            df = known.withColumn("_alive", F.col("_parent").isNotNull()).drop("_parent")
         else:
-            segment.append(rule)
-    counted.append(_survivors(passed, start, segment))
+            keys = [F.col(key).alias(f"_key_{m}") for m, key in enumerate(rule.keys)]
+            marks = [f"_left_{m}" for m in range(n)]
+            first = F.min_by(F.struct(*columns), F.when(alive, F.struct(*order))).alias("_row")
+            df = df.groupBy(*keys).agg(first, *[F.sum(mark).alias(mark) for mark in marks])
+            df = df.select("_row.*", *marks, F.col("_row").isNotNull().alias("_alive"))
+        df = df.withColumn(f"_left_{n}", alive.cast("bigint"))
+    names = ["input", *[rule.name for rule in rules]]
+    counts = [
+        F.struct(
+            F.lit(n).alias("step"), F.lit(name).alias("rule"), F.coalesce(F.sum(f"_left_{n}"), F.lit(0)).alias("rows_left")
+        )
+        for n, name in enumerate(names)
+    ]
     # One row per step from here on: a handful per table.
-    steps = reduce(DataFrame.unionByName, counted).select(F.explode("steps").alias("s")).select("s.*")
+    steps = df.agg(F.array(*counts).alias("steps")).select(F.explode("steps").alias("s")).select("s.*")
     before = F.lag("rows_left", 1).over(Window.orderBy("step"))
-    names = F.array(*[F.lit(name) for name in ["input", *[rule.name for rule in rules]]])
     return steps.select(
         F.lit(table).alias("table_name"),
         "step",
-        F.element_at(names, F.col("step") + 1).alias("rule"),
+        "rule",
         "rows_left",
         F.coalesce(before - F.col("rows_left"), F.lit(0)).alias("rows_dropped"),
     )

@@ -7,6 +7,8 @@ them: repeated keys, unknown parents, missing values, unknown statuses and types
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,11 +37,13 @@ def _city(nation: str) -> Column:
 
 #: A zip that no place has.
 UNKNOWN_ZIP = "777"
+#: An amount that no amount column holds.
+TOO_LARGE = Decimal("123456789.00")
 
 
 def _key(column: str) -> Column:
-    """The key, but one row in 40 takes that of the row before it: a key comes twice, the next has no row."""
-    return F.when(F.col(column) % 40 == 3, F.col(column) - 1).otherwise(F.col(column))
+    """The key, but one row in 200 takes that of the row before it: a key comes twice, the next has no row."""
+    return F.when(F.col(column) % 200 == 3, F.col(column) - 1).otherwise(F.col(column))
 
 
 def geolocation(spark: SparkSession, folder: str) -> DataFrame:
@@ -90,18 +94,18 @@ def sellers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def products(spark: SparkSession, folder: str) -> DataFrame:
-    key, kind = F.col("p_partkey"), F.col("p_partkey") % 50
+    key, kind = F.col("p_partkey"), F.col("p_partkey") % 200
     height = (F.col("p_size") % 20 + 1).cast("decimal(8,2)")
     return _read(spark, folder, "part").select(
         F.when(key % 100 != 29, _key("p_partkey")).alias("product_id"),
         F.when(key % 9 == 4, "UNLISTED").when(key % 9 != 5, F.col("p_type")).alias("product_category_name"),
         F.when(kind == 38, 0).when(kind == 39, 40000).otherwise(F.length("p_name")).alias("product_name_lenght"),
-        (F.length("p_name") * 10).alias("product_description_lenght"),
+        F.when(kind == 35, -10).otherwise(F.length("p_name") * 10).alias("product_description_lenght"),
         F.when(kind == 37, -1).otherwise(F.col("p_size") % 5).alias("product_photos_qty"),
         (F.col("p_size") - 1).cast("decimal(12,2)").alias("product_weight_g"),
-        F.col("p_size").cast("decimal(8,2)").alias("product_length_cm"),
+        F.when(kind == 34, 0).otherwise(F.col("p_size")).cast("decimal(8,2)").alias("product_length_cm"),
         F.when(kind == 36, -height).otherwise(height).alias("product_height_cm"),
-        (F.col("p_size") % 30 + 1).cast("decimal(8,2)").alias("product_width_cm"),
+        F.when(kind == 33, 0).otherwise(F.col("p_size") % 30 + 1).cast("decimal(8,2)").alias("product_width_cm"),
         *arrival("p_partkey"),
     )
 
@@ -113,7 +117,7 @@ def orders(spark: SparkSession, folder: str) -> DataFrame:
     return _read(spark, folder, "orders").select(
         _key("o_orderkey").alias("order_id"),
         F.col("o_custkey").alias("customer_id"),
-        F.when(key % 40 == 17, None)
+        F.when(key % 200 == 17, None)
         .when(status == "F", "delivered")
         .when(status == "O", "shipped")
         .when(key % 10 == 0, "bogus")
@@ -129,7 +133,7 @@ def orders(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def order_items(spark: SparkSession, folder: str) -> DataFrame:
-    kind, price = F.col("l_partkey") % 50, F.col("l_extendedprice").cast("decimal(12,2)")
+    kind, price = F.col("l_partkey") % 200, F.col("l_extendedprice").cast("decimal(12,2)")
     freight = F.round(price * F.col("l_tax").cast("decimal(4,2)"), 2).cast("decimal(12,2)")
     return _read(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("order_id"),
@@ -137,14 +141,14 @@ def order_items(spark: SparkSession, folder: str) -> DataFrame:
         F.when(kind != 14, F.col("l_partkey")).alias("product_id"),
         F.col("l_suppkey").alias("seller_id"),
         F.col("l_shipdate").cast("timestamp").alias("shipping_limit_date"),
-        F.when(kind == 13, -price).when(kind != 11, price).alias("price"),
-        F.when(kind != 12, freight).alias("freight_value"),
+        F.when(kind == 10, TOO_LARGE).when(kind == 13, -price).when(kind != 11, price).alias("price"),
+        F.when(kind == 19, -freight - 1).when(kind != 12, freight).alias("freight_value"),
         *_line_arrival(),
     )
 
 
 def payments(spark: SparkSession, folder: str) -> DataFrame:
-    kind, flag, value = F.col("l_partkey") % 50, F.col("l_returnflag"), F.col("l_extendedprice").cast("decimal(12,2)")
+    kind, flag, value = F.col("l_partkey") % 200, F.col("l_returnflag"), F.col("l_extendedprice").cast("decimal(12,2)")
     return _read(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_linenumber").alias("payment_sequential"),
@@ -154,7 +158,7 @@ def payments(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise("voucher")
         .alias("payment_type"),
         (F.col("l_quantity").cast("int") % 11).alias("payment_installments"),
-        F.when(kind == 17, -value).when(kind != 16, value).alias("payment_value"),
+        F.when(kind == 18, TOO_LARGE).when(kind == 17, -value).when(kind != 16, value).alias("payment_value"),
         *_line_arrival(),
     )
 

@@ -34,7 +34,7 @@ BLOCKS = {
                end as product_category_name_english
         from part""",
     "raw_customers": """
-        select case when c_custkey % 40 = 3 then c_custkey - 1 else c_custkey end as customer_id,
+        select case when c_custkey % 200 = 3 then c_custkey - 1 else c_custkey end as customer_id,
                case when c_custkey % 50 <> 0 then c_name end as customer_unique_id,
                case when c_custkey % 10 = 4 then '777'
                     when c_custkey % 50 <> 9 then cast(c_nationkey as varchar) end as customer_zip_code_prefix,
@@ -42,27 +42,27 @@ BLOCKS = {
                lpad(cast(c_nationkey as varchar), 2, '0') as customer_state, c_custkey as arrival
         from customer""",
     "raw_sellers": """
-        select case when s_suppkey % 100 = 9 then null when s_suppkey % 40 = 3 then s_suppkey - 1
+        select case when s_suppkey % 100 = 9 then null when s_suppkey % 200 = 3 then s_suppkey - 1
                     else s_suppkey end as seller_id,
                case when s_suppkey % 10 = 5 then '777' else cast(s_nationkey as varchar) end as seller_zip_code_prefix,
                'CITY_' || s_nationkey as seller_city, lpad(cast(s_nationkey as varchar), 2, '0') as seller_state,
                s_suppkey as arrival
         from supplier""",
     "raw_products": """
-        select case when p_partkey % 100 = 29 then null when p_partkey % 40 = 3 then p_partkey - 1
+        select case when p_partkey % 100 = 29 then null when p_partkey % 200 = 3 then p_partkey - 1
                     else p_partkey end as product_id,
                case p_partkey % 9 when 4 then 'UNLISTED' when 5 then null else p_type end as product_category_name,
-               case p_partkey % 50 when 38 then 0 when 39 then 40000 else length(p_name) end as product_name_lenght,
-               length(p_name) * 10 as product_description_lenght,
-               case when p_partkey % 50 = 37 then -1 else p_size % 5 end as product_photos_qty,
-               p_size - 1 as product_weight_g, p_size as product_length_cm,
-               case when p_partkey % 50 = 36 then -(p_size % 20 + 1) else p_size % 20 + 1 end as product_height_cm,
-               p_size % 30 + 1 as product_width_cm, p_partkey as arrival
+               case p_partkey % 200 when 38 then 0 when 39 then 40000 else length(p_name) end as product_name_lenght,
+               case when p_partkey % 200 = 35 then -10 else length(p_name) * 10 end as product_description_lenght,
+               case when p_partkey % 200 = 37 then -1 else p_size % 5 end as product_photos_qty,
+               p_size - 1 as product_weight_g, case when p_partkey % 200 = 34 then 0 else p_size end as product_length_cm,
+               case when p_partkey % 200 = 36 then -(p_size % 20 + 1) else p_size % 20 + 1 end as product_height_cm,
+               case when p_partkey % 200 = 33 then 0 else p_size % 30 + 1 end as product_width_cm, p_partkey as arrival
         from part""",
     "raw_orders": """
-        select case when o_orderkey % 40 = 3 then o_orderkey - 1 else o_orderkey end as order_id,
+        select case when o_orderkey % 200 = 3 then o_orderkey - 1 else o_orderkey end as order_id,
                o_custkey as customer_id,
-               case when o_orderkey % 40 = 17 then null else case o_orderstatus when 'F' then 'delivered' when 'O' then 'shipped'
+               case when o_orderkey % 200 = 17 then null else case o_orderstatus when 'F' then 'delivered' when 'O' then 'shipped'
                     else case when o_orderkey % 10 = 0 then 'bogus' else 'processing' end end end as order_status,
                o_orderdate + to_hours(o_orderkey % 24) as order_purchase_timestamp,
                o_orderdate + to_hours(o_orderkey % 24) + to_hours(o_orderkey % 48) as order_approved_at,
@@ -75,23 +75,26 @@ BLOCKS = {
         from orders""",
     "raw_order_items": """
         select l_orderkey as order_id, l_linenumber as order_item_id,
-               case when l_partkey % 50 <> 14 then l_partkey end as product_id, l_suppkey as seller_id,
+               case when l_partkey % 200 <> 14 then l_partkey end as product_id, l_suppkey as seller_id,
                l_shipdate as shipping_limit_date,
-               case l_partkey % 50 when 13 then -cast(l_extendedprice as decimal(12,2)) when 11 then null
+               case l_partkey % 200 when 10 then 123456789 when 13 then -cast(l_extendedprice as decimal(12,2))
+                    when 11 then null
                     else cast(l_extendedprice as decimal(12,2)) end as price,
-               case when l_partkey % 50 <> 12
+               case when l_partkey % 200 <> 12
                     then cast(round(cast(l_extendedprice as decimal(12,2)) * cast(l_tax as decimal(4,2)), 2)
-                              as decimal(12,2)) end as freight_value,
+                              as decimal(12,2)) * case when l_partkey % 200 = 19 then -1 else 1 end
+                         - case when l_partkey % 200 = 19 then 1 else 0 end end as freight_value,
                row_number() over (partition by l_orderkey, l_linenumber
                     order by l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax,
                              l_returnflag, l_linestatus) as arrival
         from lineitem""",
     "raw_payments": """
         select l_orderkey as order_id, l_linenumber as payment_sequential,
-               case when l_partkey % 50 = 15 then 'cheque' when l_returnflag = 'R' then 'credit_card'
+               case when l_partkey % 200 = 15 then 'cheque' when l_returnflag = 'R' then 'credit_card'
                     when l_returnflag = 'A' then 'boleto' else 'voucher' end as payment_type,
                cast(l_quantity as integer) % 11 as payment_installments,
-               case l_partkey % 50 when 17 then -cast(l_extendedprice as decimal(12,2)) when 16 then null
+               case l_partkey % 200 when 18 then 123456789 when 17 then -cast(l_extendedprice as decimal(12,2))
+                    when 16 then null
                     else cast(l_extendedprice as decimal(12,2)) end as payment_value,
                row_number() over (partition by l_orderkey, l_linenumber
                     order by l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax,
@@ -133,7 +136,8 @@ BLOCKS = {
         qualify row_number() over (partition by product_id order by arrival) = 1""",
     "checked_products": """
         select * from first_products
-        where product_name_lenght > 0 and product_photos_qty >= 0 and product_height_cm > 0""",
+        where product_name_lenght > 0 and product_description_lenght >= 0 and product_photos_qty >= 0
+          and product_length_cm > 0 and product_height_cm > 0 and product_width_cm > 0""",
     "products": """
         select p.* replace (case when p.product_category_name in (select product_category_name from translation)
                             then p.product_category_name end as product_category_name)
@@ -151,12 +155,14 @@ BLOCKS = {
         select * from first_items
         where order_id in (select order_id from ord)
           and product_id in (select product_id from products) and seller_id in (select seller_id from sellers)""",
-    "items": "select * from known_items where price >= 0 and freight_value >= 0",
+    "valid_items": "select * from known_items where price >= 0 and freight_value >= 0",
+    "items": "select * from valid_items where price < 100000000",
     "valid_payments": f"""
         select * from raw_payments
         where payment_type in {PAYMENT_TYPES} and payment_installments >= 1 and payment_value >= 0""",
     "payments": """
-        select * exclude (arrival) from valid_payments where order_id in (select order_id from ord)
+        select * exclude (arrival) from valid_payments
+        where payment_value < 100000000 and order_id in (select order_id from ord)
         qualify row_number() over (partition by order_id, payment_sequential order by arrival) = 1""",
     "one_per_review": """
         select * from raw_reviews
@@ -197,12 +203,12 @@ BLOCKS = {
         where customer_id in (select customer_id from csv_customers) and order_status <> 'bogus'""",
     "csv_items": """
         select * from first_items
-        where price >= 0 and freight_value >= 0 and order_id in (select order_id from csv_ord)
+        where price >= 0 and price < 100000000 and freight_value >= 0 and order_id in (select order_id from csv_ord)
           and product_id in (select product_id from csv_products) and product_id % 40 not in (0, 1, 2, 3, 6)
           and seller_id in (select seller_id from csv_sellers) and seller_id % 30 <> 0""",
     "csv_payments": """
         select * from valid_payments
-        where order_id in (select order_id from csv_ord)
+        where payment_value < 100000000 and order_id in (select order_id from csv_ord)
           and cast(payment_value * 100 as bigint) % 40 not in (0, 1, 2, 3, 7, 8)
         qualify row_number() over (partition by order_id, payment_sequential order by arrival) = 1""",
     "csv_one_per_review": """
@@ -489,7 +495,7 @@ REJECTS = " union all ".join(
                 "missing price, freight_value",
                 "select count(*) from known_items where price is not null and freight_value is not null",
             ),
-            ("negative amount", "select count(*) from items"),
+            ("negative amount", "select count(*) from valid_items"),
             ("does not fit its column", "select count(*) from items"),
         ),
         _chain(
@@ -501,8 +507,11 @@ REJECTS = " union all ".join(
             ),
             ("unknown type", f"select count(payment_value) from raw_payments where payment_type in {PAYMENT_TYPES}"),
             ("out of range", "select count(*) from valid_payments"),
-            ("does not fit its column", "select count(*) from valid_payments"),
-            ("unknown order_id", f"select count(*) from valid_payments where {_KNOWN_ORDER}"),
+            ("does not fit its column", "select count(*) from valid_payments where payment_value < 100000000"),
+            (
+                "unknown order_id",
+                f"select count(*) from valid_payments where payment_value < 100000000 and {_KNOWN_ORDER}",
+            ),
             ("repeated payment", "select count(*) from payments"),
         ),
         _chain(

@@ -31,7 +31,7 @@ def test_every_query_has_its_sql():
 
 
 def test_flagship(spark):
-    assert contract.entry(spark).count() == 10
+    assert contract.entry(spark).count() == 8
 
 
 @pytest.mark.parametrize(
