@@ -5,7 +5,8 @@ and its edges) predicts each sign. A text is decoded by the logistic losses of i
 against every codeword; the language with the least loss wins, and a text whose two best are close is flagged.
 
 The classifiers are fitted on a bounded sample: at most ``SAMPLE`` documents, the same number for each language at
-most, those with the smallest hashes of their texts. All documents are predicted, over whole texts.
+most, those with the smallest hashes of their texts; texts under ``LEAST_BYTES`` only where longer ones do not
+suffice. All documents are predicted, over whole texts.
 
 Defined results: ``und`` with score 0 for null and for texts without a letter, or if nothing can be learned. Texts in
 one learned language only are given that language. A null doc_id is not held out.
@@ -25,7 +26,7 @@ from pyspark.sql.window import Window
 from mercato.llm.common import fingerprint, held_out, need, small_batches
 from mercato.session import written
 
-#: Documents that classifiers are fitted on, and the fewest bytes of one.
+#: Documents that classifiers are fitted on, and the bytes under which a text is taken last.
 SAMPLE, LEAST_BYTES = 1200, 100
 #: Hashed n-grams, and the bytes of the longest.
 FEATURE_BITS = 11
@@ -96,14 +97,16 @@ def sample(docs: DataFrame, rows: int = SAMPLE) -> DataFrame:
     Only texts whose hash is small enough for their language are ranked: some four times as many as can be taken, so
     the ranking does not grow with the documents.
     """
-    usable = docs.where((F.octet_length("text") >= LEAST_BYTES) & F.col("lang").isNotNull())
-    usable = usable.withColumn("print", fingerprint(F.col("text")))
+    short = F.octet_length("text") < LEAST_BYTES
+    usable = docs.where(F.col("lang").isNotNull() & (~short | F.col("text").rlike(r"\p{L}")))
+    usable = usable.withColumns({"print": fingerprint(F.col("text")), "short": short})
     sizes = written(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
     each = max(rows // max(sizes.count(), 1), 1)
     share = F.shiftrightunsigned("print", 11) / F.lit(float(1 << 53))
-    keys = usable.select("lang", "print").join(sizes, "lang").where(share * F.col("n") <= 4 * each)
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("print"))
-    chosen = keys.select("lang", "print").distinct().withColumn("nth", nth).where(F.col("nth") <= each).drop("nth")
+    small = share * F.col("n") <= 4 * each
+    keys = usable.select("lang", "short", "print").join(sizes, "lang").where(small).drop("n")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("short", "print"))
+    chosen = keys.distinct().withColumn("nth", nth).where(F.col("nth") <= each).select("lang", "print")
     # At most ``rows`` keys, or one for each language.
     texts = usable.join(F.broadcast(chosen), ["lang", "print"])
     once = texts.groupBy("lang", "print").agg(F.first("text").alias("text"))

@@ -36,6 +36,15 @@ def test_language_cases(spark):
     assert language.identify(documents(spark, [])).collect() == []
 
 
+def test_short_texts_teach_where_there_are_no_others(spark):
+    rows = [(n, f"the house of number {n}", "en", None, None) for n in range(40)]
+    rows += [(100 + n, f"das haus und ein tier {n}", "de", None, None) for n in range(40)]
+    rows += [(200, "12 34", "xx", None, None), (201, "", "en", None, None)]
+    found = {r["doc_id"]: r["lang_pred"] for r in language.identify(documents(spark, rows)).collect()}
+    assert {found[n] for n in range(40)} == {"en"} and {found[100 + n] for n in range(40)} == {"de"}
+    assert found[200] == found[201] == "und"
+
+
 def test_codewords_differ():
     for n in (1, 2, 4, 40):
         code = language.codewords(n)
