@@ -218,7 +218,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id, then the smallest row hash."""
-    found = classes(hashed(docs), radius)
+    return first_of_each(docs, classes(hashed(docs), radius))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with the first row of each component. ``found`` holds doc_id, row and root of all rows."""
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     keep = found.groupBy("root").agg(F.min(first).alias("k")).select("k.none", "k.doc_id", "k.row")
     rows = docs.select(
