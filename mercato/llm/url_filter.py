@@ -60,7 +60,8 @@ def _strength(groups: DataFrame) -> Column:
     """Pseudo-counts of a level's prior from its groups (n, bad, mean of the parent), as an aggregate."""
     noise = F.col("mean") * (1 - F.col("mean"))
     spread = F.sum((F.col("bad") - F.col("n") * F.col("mean")) ** 2 / F.col("n")) - F.sum(noise)
-    rho = spread / F.sum((F.col("n") - 1) * noise)
+    # Without a group of two labelled pages nothing tells how much groups differ: null, taken as alike.
+    rho = spread / F.nullif(F.sum((F.col("n") - 1) * noise), F.lit(0.0))
     # Between a prior worth 10,000 pages (groups alike) and one worth a hundredth of a page.
     rho = F.greatest(F.least(F.coalesce(rho, F.lit(0.0)), F.lit(0.99)), F.lit(0.0001))
     return (1 / rho - 1).alias("strength")

@@ -179,6 +179,15 @@ def test_reputation_shrinks_hosts_to_domains(spark):
     assert found[1001]["verdict"] == found[1002]["verdict"] == "allow"
 
 
+@pytest.mark.parametrize("n", [1, 5], ids=["one labelled page", "one label a host"])
+def test_groups_of_one_labelled_page(spark, n):
+    urls = [(k, f"http://a{k}.b{k}.c{k}/x", None) for k in range(6)]
+    labels = spark.createDataFrame([(k, 1) for k in range(n)], "page_id bigint, bad int")
+    found = {r["page_id"]: r for r in url_filter.judge(pages(spark, urls), labels).collect()}
+    assert len(found) == 6
+    assert all(r["bad_share"] == pytest.approx((n + 1) / (n + 2), abs=1e-3) for r in found.values())
+
+
 def test_no_pages(spark):
     assert url_filter.judge(pages(spark, []), no_labels(spark)).collect() == []
     assert extraction.extract(pages(spark, [])).collect() == []
