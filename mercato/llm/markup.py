@@ -16,6 +16,8 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never text of the page.
 SKIPPED = frozenset("iframe noembed noframes noscript script style svg template textarea title xmp".split())
+#: Elements that can stand in a head; any other one, or text, ends a head that is open.
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: Elements that end an open element of the same group.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}}
 #: Ancestors that a path names at most, nearest ones.
@@ -41,15 +43,22 @@ class _Page:
     stack: list[tuple[str, tuple[str, ...]]] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
     linked: int = 0
+    head: bool = False
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
-        if text and not any(tag == "head" for tag, _ in self.stack):
+        if text:
             path = tuple(name for _, names in self.stack[-DEPTH:] for name in names)
             self.blocks.append(Block(text, path, min(self.linked, len(text))))
         self.parts.clear()
         self.linked = 0
 
+    def leave_head(self) -> None:
+        for at in range(len(self.stack) - 1, -1, -1):
+            if self.stack[at][0] == "head":
+                del self.stack[at:]
+        self.head = False
+
     def open(self, tag: str, attributes: str) -> None:
         if tag == "br":
             self.parts.append(" ")
@@ -69,6 +78,7 @@ class _Page:
                 words = _WORD.findall(value.lower()) if key.lower() != "hidden" else ["hidden"]
                 names += [f".{w}" for w in words]
             self.stack.append((tag, tuple(names)))
+            self.head |= tag == "head"
 
     def close(self, tag: str) -> None:
         if tag in BLOCKS:
@@ -92,16 +102,22 @@ def blocks(html: str | None) -> list[Block]:
         if not tag:
             if token[0][0] != "<" or token[0] == "<":
                 text = unescape(token[0])
+                if page.head and text.strip():
+                    page.leave_head()
                 page.parts.append(text)
                 if any(name == "a" for name, _ in page.stack[-3:]):
                     page.linked += len(text.strip())
         elif closing:
             page.close(tag)
         elif tag in SKIPPED:
+            if page.head and tag not in HEAD:
+                page.leave_head()
             if not token[3].endswith("/") or tag != "svg":
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
                 at = end.end() if end else len(html)
         else:
+            if page.head and tag not in HEAD:
+                page.leave_head()
             page.open(tag, token[3])
     page.flush()
     return page.blocks

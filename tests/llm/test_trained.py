@@ -211,6 +211,13 @@ def test_blocks():
     assert blocks(None) == blocks("") == blocks("<!-- open") == blocks("<script>never closed <p>x</p>") == []
 
 
+def test_head_without_an_end_tag():
+    start = "<html><head><meta charset=x><title>T</title><style>p{}</style><script>1</script> "
+    for page in ("<body><p>One</p>", "<p>One</p>", "<svg></svg>One", "One", "<b>One</b>", "</head><body><p>One"):
+        assert [b.text for b in blocks(start + page)] == ["One"], page
+    assert [(b.text, b.path) for b in blocks(start + "<body class=x><div><p>One")] == [("One", ("html", "body", ".x", "div", "p"))]
+
+
 def test_extracted_articles(spark):
     import re
     from html import unescape
