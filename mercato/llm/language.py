@@ -94,19 +94,26 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def sample(docs: DataFrame, rows: int = SAMPLE) -> DataFrame:
     """lang and n-gram counts of ``rows`` documents at most. First the keys are chosen, then their texts are read.
 
-    Only texts whose hash is small enough for their language are ranked: some four times as many as can be taken, so
-    the ranking does not grow with the documents.
+    Of each language's different texts, long and short ones apart, only those whose hash is small enough are ranked:
+    some four times as many as can be taken, so the ranking does not grow with the documents. Where fewer than can be
+    taken have such a hash, all are ranked. So the smallest hashes are taken, however often a text is repeated.
     """
     short = F.octet_length("text") < LEAST_BYTES
     usable = docs.where(F.col("lang").isNotNull() & (~short | F.col("text").rlike(r"\p{L}")))
     usable = usable.withColumns({"print": fingerprint(F.col("text")), "short": short})
-    sizes = written(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
-    each = max(rows // max(sizes.count(), 1), 1)
-    share = F.shiftrightunsigned("print", 11) / F.lit(float(1 << 53))
-    small = share * F.col("n") <= 4 * each
-    keys = usable.select("lang", "short", "print").join(sizes, "lang").where(small).drop("n")
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("short", "print"))
-    chosen = keys.distinct().withColumn("nth", nth).where(F.col("nth") <= each).select("lang", "print")
+    keys = written(usable.select("lang", "short", "print").distinct(), "language-keys")
+    kinds = keys.groupBy("lang", "short").agg(F.count(F.lit(1)).alias("n"))
+    kinds = written(kinds, "language-kinds")
+    each = max(rows // max(kinds.select("lang").distinct().count(), 1), 1)
+    place = F.shiftrightunsigned("print", 11)
+    small = place / F.lit(float(1 << 53)) * F.col("n") <= 4 * each
+    marked = keys.join(kinds, ["lang", "short"]).withColumn("small", small)
+    few = marked.groupBy("lang", "short").agg(F.count_if("small").alias("found"), F.first("n").alias("n"))
+    few = few.where(F.col("found") < F.least("n", F.lit(each))).select("lang", "short", F.lit(True).alias("few"))
+    few = written(few, "languages-with-few")
+    ranked = marked.join(few, ["lang", "short"], "left").where(F.col("small") | F.col("few"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("short", place, "print"))
+    chosen = ranked.withColumn("nth", nth).where(F.col("nth") <= each).select("lang", "print")
     # At most ``rows`` keys, or one for each language.
     texts = usable.join(F.broadcast(chosen), ["lang", "print"])
     once = texts.groupBy("lang", "print").agg(F.first("text").alias("text"))

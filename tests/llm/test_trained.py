@@ -45,6 +45,20 @@ def test_short_texts_teach_where_there_are_no_others(spark):
     assert found[200] == found[201] == "und"
 
 
+def test_copies_do_not_push_a_language_out_of_the_sample(spark):
+    rows = [(n, f"the house of number {n}", "en", None, None) for n in range(40)]
+    rows += [(100 + n, f"das haus und ein tier {n}", "de", None, None) for n in range(40)]
+    copies = spark.range(1_000_000).selectExpr("id + 1000", "'das tier'", "'de'", "null", "id")
+    found = language.sample(documents(spark, rows).union(copies)).collect()
+    assert Counter(r["lang"] for r in found) == {"en": 40, "de": 41}
+
+
+def test_each_of_many_languages_is_in_the_sample(spark):
+    rows = [(n, f"text {n} of language", f"l{n % 200}", None, None) for n in range(4000)]
+    found = language.sample(documents(spark, rows), 200).collect()
+    assert Counter(r["lang"] for r in found) == {f"l{n}": 1 for n in range(200)}
+
+
 def test_codewords_differ():
     for n in (1, 2, 4, 40):
         code = language.codewords(n)
