@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mercato.llm import decontamination, mixing, near_copies, quality, sharding
+from mercato.llm import decontamination, mixing, quality, sharding, simhash
 from mercato.llm.common import table
 from mercato.session import configure, written
 
@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return near_copies.dedup(docs)
+    """One document of each group whose fingerprints over three-word shingles link at two or fewer bits."""
+    return simhash.dedup(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
