@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm import decontamination, extraction, language, line_dedup, mixing, perplexity, quality, sharding, simhash
-from mercato.llm import url_filter
+from mercato.llm import decontamination, extraction, language, line_dedup, merkle, mixing, perplexity, quality, sharding
+from mercato.llm import simhash, url_filter
 from mercato.llm import sql
-from mercato.llm.common import table
+from mercato.llm.common import ascii_lower, table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +71,27 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.withColumn("n_chars", F.length("text").cast("bigint"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row carries the leaf it would have after tampering, next to its own, and is checked with that one."""
+    docs, text = table(spark, sf_dir, "documents"), F.col("text").cast("string")
+    touched = F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 3 == 0, F.lit(False))
+    changed = F.when(touched, merkle.leaf_of({"text": ascii_lower(text)}))
+    manifest = merkle.build(docs, keep={"changed": changed})
+    folded = merkle.fold(F.coalesce("changed", "digest"), F.col("path"))
+    return (
+        manifest.proofs()
+        .select(
+            "doc_id",
+            F.col("digest").alias("leaf"),
+            "subroot",
+            F.lit(manifest.root).cast("string").alias("root"),
+            merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+            folded.alias("folded_root"),
+        )
+        .withColumn("verified", F.col("folded_root") == F.col("root"))
+    )
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
@@ -82,6 +103,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_url_filters": op9_url_filters,
     "op10_html_extraction": op10_html_extraction,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 SQL = {
@@ -90,4 +112,5 @@ SQL = {
     "op7_mixing": sql.OP7,
     "op8_quality_rules": sql.OP8,
     "op9_url_filters": sql.OP9,
+    "op11_merkle_manifest": sql.OP11,
 }

@@ -194,3 +194,70 @@ select page_id, host, path, rule, case
   when lower_bound > 0.5 then 'block' else 'allow' end as verdict
 from ruled
 """
+
+
+def _hashed(column: str) -> str:
+    """A column as a leaf takes it."""
+    return f"coalesce(strlen(cast({column} as varchar)) || ':' || cast({column} as varchar), '-')"
+
+
+_HEAD = "||".join(_hashed(c) for c in ("doc_id", "source", "lang", "n_chars"))
+# crc32 of the digits, bit by bit.
+_BIT = "case when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end"
+_CRC = f"""xor(4294967295, list_reduce(
+  [4294967295::bigint] || list_transform(string_split(cast(doc_id as varchar), ''), lambda c: ascii(c)::bigint),
+  lambda x, y: list_reduce([xor(x, y)] || range(8), lambda a, i: {_BIT})))"""
+
+OP11 = f"""
+with recursive docs as (
+  select doc_id, lang, sha256({_HEAD} || {_hashed("text")}) as leaf,
+    case when {_CRC} % 3 = 0 then sha256({_HEAD} || {_hashed(f"translate(text, {_LOWER})")}) end as changed
+  from documents
+),
+leaves as (
+  select *, dense_rank() over (order by lang nulls first) - 1 as tree, count(*) over (partition by lang) as n,
+    row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as place
+  from docs
+),
+up as (
+  select 0 as level, tree, place, n, leaf as digest from leaves
+  union all
+  select level + 1, tree, place // 8, (n + 7) // 8, sha256(string_agg(digest, '' order by place))
+  from up where n > 1 group by level, tree, place // 8, n
+),
+roots as (select tree, digest as subroot, count(*) over () as n from up where n = 1),
+top as (
+  select 0 as level, tree as place, n, subroot as digest from roots
+  union all
+  select level + 1, place // 8, (n + 7) // 8, sha256(string_agg(digest, '' order by place))
+  from top where n > 1 group by level, place // 8, n
+),
+steps as (
+  select level, tree, place, n,
+    coalesce(string_agg(digest, '') over (run rows between unbounded preceding and 1 preceding), '') as before,
+    coalesce(string_agg(digest, '') over (run rows between 1 following and unbounded following), '') as after
+  from (
+    select * from up where n > 1
+    union all select level + 1000, -1, place, n, digest from top where n > 1
+  ) window run as (partition by level, tree, place // 8 order by place)
+),
+folded as (
+  select 0 as level, tree, tree as own, place, n, row_number() over () as id,
+    coalesce(changed, leaf) as digest, '' as proof from leaves
+  union all
+  select case when f.n = 1 then 1000 else f.level + 1 end,
+    case when f.n = 1 then -1 else f.tree end, own,
+    case when f.n = 1 then f.own else f.place // 8 end,
+    case when f.n = 1 then (select count(*) from roots) else (f.n + 7) // 8 end,
+    id,
+    case when f.n = 1 then f.digest else sha256(s.before || f.digest || s.after) end,
+    case when f.n = 1 then f.proof else f.proof || s.before || s.after end
+  from folded f left join steps s on s.level = f.level and s.tree = f.tree and s.place = f.place
+  where not (f.n = 1 and f.tree = -1)
+),
+ended as (select * from folded where n = 1 and tree = -1),
+numbered as (select *, row_number() over () as id from leaves)
+select doc_id, leaf, subroot, (select digest from top where n = 1) as root, sha256(proof) as proof_sha256,
+  e.digest as folded_root, e.digest = (select digest from top where n = 1) as verified
+from numbered l join ended e using (id) join roots r on r.tree = l.tree
+"""
