@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm import decontamination, extraction, language, line_dedup, merkle, mixing, perplexity, quality, sharding
-from mercato.llm import simhash, url_filter
+from mercato.llm import decontamination, extraction, id_files, language, line_dedup, merkle, mixing, perplexity
+from mercato.llm import quality, sharding, simhash, url_filter
 from mercato.llm import sql
 from mercato.llm.common import ascii_lower, table
+from mercato.session import fresh_path
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +94,13 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_path(spark, "token-ids")
+    index = id_files.write_ids(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    found = id_files.read_ids(spark, folder, index)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
@@ -104,6 +113,7 @@ QUERIES = {
     "op9_url_filters": op9_url_filters,
     "op10_html_extraction": op10_html_extraction,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_token_ids": op12_token_ids,
 }
 
 SQL = {
