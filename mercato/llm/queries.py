@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercato.llm import decontamination, extraction, id_files, language, line_dedup, merkle, mixing, perplexity
-from mercato.llm import quality, sharding, simhash, url_filter
+from mercato.llm import quality, ranked_search, sharding, simhash, url_filter
 from mercato.llm import sql
 from mercato.llm.common import ascii_lower, table
 from mercato.session import fresh_path
@@ -101,6 +101,10 @@ def op12_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
@@ -114,6 +118,7 @@ QUERIES = {
     "op10_html_extraction": op10_html_extraction,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_token_ids": op12_token_ids,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 SQL = {
@@ -123,4 +128,5 @@ SQL = {
     "op8_quality_rules": sql.OP8,
     "op9_url_filters": sql.OP9,
     "op11_merkle_manifest": sql.OP11,
+    "op13_ranked_search": sql.OP13,
 }

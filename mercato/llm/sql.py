@@ -261,3 +261,36 @@ select doc_id, leaf, subroot, (select digest from top where n = 1) as root, sha2
   e.digest as folded_root, e.digest = (select digest from top where n = 1) as verified
 from numbered l join ended e using (id) join roots r on r.tree = l.tree
 """
+
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP13 = f"""
+with docs as (select doc_id, row_number() over (order by doc_id, text) as r, {_TERMS} as terms from documents),
+counted as (select *, cast(len(terms) as bigint) as n from docs where len(terms) > 0),
+totals as (select cast(count(*) as bigint) as n_docs, cast(sum(n) as bigint) as n_terms from counted),
+items as (select row_number() over () as q, * from (select distinct item_id, text from benchmark)),
+wanted as (
+  select q, item_id, term, cast(count(*) as bigint) as times
+  from (select q, item_id, unnest({_TERMS}) as term from items) group by all
+),
+tf as (
+  select r, doc_id, n, term, cast(count(*) as bigint) as tf
+  from (select r, doc_id, n, unnest(terms) as term from counted) group by all
+),
+df as (select term, count(*) as df from tf group by term),
+weights as (
+  select term, cast(floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)::double)) as bigint) as w from df, totals
+),
+impacts as (
+  select r, doc_id, term,
+    w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * n_docs) // n_terms)))) as impact
+  from tf join weights using (term), totals
+),
+scores as (
+  select q, item_id, r, doc_id, cast(sum(times * impact) as bigint) as score
+  from wanted join impacts using (term) group by all
+)
+select item_id, cast(row_number() over best as int) as rank, doc_id, score from scores where score > 0
+window best as (partition by q order by score desc, doc_id, r)
+qualify row_number() over best <= 20
+"""
