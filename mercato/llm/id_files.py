@@ -16,9 +16,8 @@ files, itself a written table, names only files of attempts that succeeded, so l
 leave files that nothing reads, but never a wrong one. Files are written through pyarrow, which needs a folder it can
 reach, and read through Spark.
 
-Memory: a batch of texts, which Spark bounds in bytes, the library's results for ``STRETCH`` characters, one compressed
-file, and the ids of one document. A longer text is cut in front of a blank between a letter or sign and a letter, where
-byte-level tokenizers always start a new piece, so its ids are those of the whole text.
+Memory: a batch of texts, which Spark bounds in bytes, the pieces of ``STRETCH`` characters, ``REMEMBERED`` pieces, one
+compressed file, and the ids of one document.
 
 Defined results: null and empty texts are the end id alone. A null doc_id comes first; rows that share a doc_id stand in
 order of their texts' hashes. Repeated rows are written each. An empty table has an index without files. Only doc_id and
@@ -29,19 +28,22 @@ from __future__ import annotations
 
 import io
 import os
-import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache
+from itertools import batched
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
+import regex
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from mercato.llm.common import fingerprint, need, partitions
 from mercato.session import written
@@ -50,8 +52,14 @@ MAGIC = b"IDPLANE1"
 #: Ids of a block, ids after which a file ends, and zstandard's level.
 BLOCK, FILE_IDS, LEVEL = 1 << 16, 1 << 22, 3
 END_ID = 0
-#: Characters that the library encodes at once, and where a longer text can be cut.
-STRETCH, CUT = 1 << 20, re.compile(r"(?<=[!-~]) (?=[A-Za-z])")
+#: Characters that are encoded at once, and pieces that a worker remembers (some 100 MB).
+STRETCH, REMEMBERED = 1 << 20, 500_000
+# How the library describes byte-level tokenizers that cut by the pattern, and the pattern.
+BYTE_LEVEL = (
+    "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)",
+    "ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=True)",
+)
+PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 BYTE, BIT = 4, 32
 _TAIL = struct.Struct("<QQQQII8s")
 _INDEX = "part int, file int, name string, n_docs bigint, n_ids bigint, n_bytes bigint"
@@ -157,44 +165,55 @@ class IdFile:
         return found[start - first * self.block : stop - first * self.block]
 
 
-@cache
-def _tokenizer(path: str):
-    # A task has one core; the library would take all of the machine.
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
-def _stretches(text: str, cut: bool) -> list[str]:
-    out, start = [], 0
-    while cut and len(text) - start > STRETCH and (found := CUT.search(text, start + STRETCH)):
-        out.append(text[start : found.start()])
-        start = found.start()
-    return [*out, text[start:]]
-
-
-def encode_texts(texts: list[str], tokenizer: str) -> Iterator[np.ndarray]:
-    """The ids of each text."""
-    encoder = _tokenizer(tokenizer)
-    cut = str(encoder.pre_tokenizer).startswith("ByteLevel(")
-    group, size = [], 0
-    for text in texts:
-        parts = _stretches(text, cut)
-        if group and size + len(text) > STRETCH:  # a cut text always ends the group before it
-            yield from _encoded(encoder, group)
-            group, size = [], 0
-        if len(parts) > 1:
-            yield np.concatenate([next(_encoded(encoder, [part])) for part in parts])
-        else:
+class Encoder:
+    """The ids of texts, each piece of a text encoded once.
+
+    A byte-level tokenizer cuts a text into pieces by a fixed pattern and encodes each on its own, so pieces can be
+    remembered: words come again. Other tokenizers, and texts that name a special token, take whole texts.
+    """
+
+    def __init__(self, path: str):
+        # A task has one core; the library would take all of the machine.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.library, self.memory = Tokenizer.from_file(path), {}
+        self.special = [token.content for token in self.library.get_added_tokens_decoder().values()]
+        self.by_pieces = self.library.normalizer is None and str(self.library.pre_tokenizer) in BYTE_LEVEL
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        group, size = [], 0
+        for text in texts:
+            if group and size + len(text) > STRETCH:
+                yield from self._group(group)
+                group, size = [], 0
             group.append(text)
             size += len(text)
-    yield from _encoded(encoder, group)
+        yield from self._group(group)
+
+    def _group(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The texts have ``STRETCH`` characters together, or there is one that has more."""
+        if not self.by_pieces or any(token in text for token in self.special for text in texts):
+            for found in self.library.encode_batch_fast(texts, add_special_tokens=False):
+                yield np.array(found.ids, "<u4")
+        elif len(texts) == 1 and len(texts[0]) > STRETCH:
+            pieces = batched(map(itemgetter(0), PIECE.finditer(texts[0])), STRETCH // 4)
+            yield np.concatenate([found for some in pieces for found in self._pieces([some])])
+        else:
+            yield from self._pieces([PIECE.findall(text) for text in texts])
 
+    def _pieces(self, texts: list[Sequence[str]]) -> Iterator[np.ndarray]:
+        if len(self.memory) > REMEMBERED:
+            self.memory.clear()
+        missing = [piece for piece in set().union(*texts) if piece not in self.memory]
+        for some in batched(missing, 10_000):
+            for piece, found in zip(some, self.library.encode_batch_fast(list(some), add_special_tokens=False)):
+                self.memory[piece] = np.array(found.ids, "<u4").tobytes()
+        for pieces in texts:
+            yield np.frombuffer(b"".join(map(self.memory.__getitem__, pieces)), "<u4")
 
-def _encoded(encoder, texts: list[str]) -> Iterator[np.ndarray]:
-    for found in encoder.encode_batch_fast(texts, add_special_tokens=False):
-        yield np.array(found.ids, "<u4")
+
+@cache
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def write_ids(
@@ -218,7 +237,7 @@ def write_ids(
         part, attempt = task.partitionId(), task.taskAttemptId()
         number, out, end = 0, None, np.array([END_ID], "<u4")
         for batch in batches:
-            encoded = encode_texts([t or "" for t in batch["text"]], tokenizer)
+            encoded = _encoder(tokenizer).encode([t or "" for t in batch["text"]])
             for doc_id, none, ids in zip(batch["doc_id"], batch["none"], encoded):
                 out = out or IdWriter(planes, block)
                 out.add(None if none else int(doc_id), np.concatenate([ids, end]))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zlib
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -53,14 +54,40 @@ def test_damage_is_seen():
         id_files.IdFile(io.BytesIO(b"\0" * 100 + content[100:])).ids(0, 10)
 
 
-def test_long_texts_are_cut_where_it_changes_nothing(monkeypatch):
-    encoder = Tokenizer.from_file(PATH)
-    odd = "don't 12 3.4  two  blanks \n\n line\t tab Äpfel größer 漢字 wörter... <|endoftext|> it's we'll\r\n x" * 40
-    texts = [odd, "", "a" * 500, " " * 300, odd[7:]]
-    monkeypatch.setattr(id_files, "STRETCH", 60)
-    assert len(id_files._stretches(odd, True)) > 20
-    found = [ids.tolist() for ids in id_files.encode_texts(texts, PATH)]
-    assert found == [encoder.encode(t, add_special_tokens=False).ids for t in texts]
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("stretch", [60, 1 << 20])
+def test_pieces_give_the_ids_of_the_text(monkeypatch, name, stretch):
+    path = public_tokenizers.path(name)
+    library = Tokenizer.from_file(path)
+    odd = "don't 12 3.4  two  blanks \n\n line\t tab Äpfel größer 漢字 wörter... it's we'll\r\n x" * 40
+    texts = [odd, "", "a" * 500, " " * 300, odd[7:], "a <|endoftext|> b", "'s'S 'LL\x1c\x85\xa0\u3000x\u200by \ufeff"]
+    monkeypatch.setattr(id_files, "STRETCH", stretch)
+    monkeypatch.setattr(id_files, "REMEMBERED", 3)
+    found = [ids.tolist() for ids in id_files.Encoder(path).encode(texts)]
+    assert found == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@given(st.lists(st.text(max_size=60), max_size=8))
+@settings(max_examples=300, deadline=None)
+def test_any_text(texts):
+    found = [ids.tolist() for ids in id_files._encoder(PATH).encode(texts)]
+    assert found == [e.ids for e in _library().encode_batch(texts, add_special_tokens=False)]
+
+
+@cache
+def _library():
+    return Tokenizer.from_file(PATH)
+
+
+def test_every_character_is_cut_alike():
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{chr(c)}1{chr(c)}!{chr(c)} {chr(c)}\n" for c in codes[k : k + 200]) for k in range(0, len(codes), 200)]
+    found = id_files.Encoder(PATH).encode(texts)
+    wrong = []
+    for k, (ids, e) in enumerate(zip(found, _library().encode_batch_fast(texts, add_special_tokens=False))):
+        if ids.tolist() != e.ids:
+            wrong.append(k)
+    assert not wrong
 
 
 def brute(rows):
