@@ -17,7 +17,7 @@ leave files that nothing reads, but never a wrong one. Files are written through
 reach, and read through Spark.
 
 Memory: a batch of texts, which Spark bounds in bytes, the pieces of ``STRETCH`` characters, ``REMEMBERED`` pieces, one
-compressed file, and the ids of one document.
+compressed file, and the ids of one document; a piece is a word, and one without an end is as long as its text.
 
 Defined results: null and empty texts are the end id alone. A null doc_id comes first; rows that share a doc_id stand in
 order of their texts' hashes. Repeated rows are written each. An empty table has an index without files. Only doc_id and
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator, Sequence
@@ -52,14 +53,21 @@ MAGIC = b"IDPLANE1"
 #: Ids of a block, ids after which a file ends, and zstandard's level.
 BLOCK, FILE_IDS, LEVEL = 1 << 16, 1 << 22, 3
 END_ID = 0
-#: Characters that are encoded at once, and pieces that a worker remembers (some 100 MB).
-STRETCH, REMEMBERED = 1 << 20, 500_000
+#: Characters of a text whose pieces are listed at once, and pieces that a worker remembers (some 200 MB).
+STRETCH, REMEMBERED = 1 << 20, 1_000_000
 # How the library describes byte-level tokenizers that cut by the pattern, and the pattern.
 BYTE_LEVEL = (
     "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)",
     "ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=True)",
 )
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: The same for texts that are all ASCII.
+ASCII_PIECE = re.compile(
+    r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
+)
+# Byte-level models write a byte as a letter: itself where Latin-1 has a visible one, else the next one from 256 on.
+_HIDDEN = [*range(33), 127, *range(128, 161), 173]
+BYTE_LETTERS = {byte: 256 + n for n, byte in enumerate(_HIDDEN)}
 BYTE, BIT = 4, 32
 _TAIL = struct.Struct("<QQQQII8s")
 _INDEX = "part int, file int, name string, n_docs bigint, n_ids bigint, n_bytes bigint"
@@ -165,6 +173,19 @@ class IdFile:
         return found[start - first * self.block : stop - first * self.block]
 
 
+class _Pieces(dict):
+    """The ids, as bytes, of the pieces met so far; a new one is encoded by the tokenizer's model."""
+
+    def __init__(self, model):
+        self.model = model
+
+    def __missing__(self, piece: str) -> bytes:
+        letters = piece.encode("utf-8").decode("latin-1").translate(BYTE_LETTERS)
+        ids = [token.id for token in self.model.tokenize(letters)]
+        found = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
+
+
 class Encoder:
     """The ids of texts, each piece of a text encoded once.
 
@@ -175,40 +196,26 @@ class Encoder:
     def __init__(self, path: str):
         # A task has one core; the library would take all of the machine.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.library, self.memory = Tokenizer.from_file(path), {}
+        self.library = Tokenizer.from_file(path)
+        self.known = _Pieces(self.library.model)
         self.special = [token.content for token in self.library.get_added_tokens_decoder().values()]
         self.by_pieces = self.library.normalizer is None and str(self.library.pre_tokenizer) in BYTE_LEVEL
 
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        group, size = [], 0
+    def encode(self, texts: Sequence[str]) -> Iterator[np.ndarray]:
         for text in texts:
-            if group and size + len(text) > STRETCH:
-                yield from self._group(group)
-                group, size = [], 0
-            group.append(text)
-            size += len(text)
-        yield from self._group(group)
-
-    def _group(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The texts have ``STRETCH`` characters together, or there is one that has more."""
-        if not self.by_pieces or any(token in text for token in self.special for text in texts):
-            for found in self.library.encode_batch_fast(texts, add_special_tokens=False):
+            if not self.by_pieces or any(token in text for token in self.special):
+                found = self.library.encode_batch_fast([text], add_special_tokens=False)[0]
                 yield np.array(found.ids, "<u4")
-        elif len(texts) == 1 and len(texts[0]) > STRETCH:
-            pieces = batched(map(itemgetter(0), PIECE.finditer(texts[0])), STRETCH // 4)
-            yield np.concatenate([found for some in pieces for found in self._pieces([some])])
-        else:
-            yield from self._pieces([PIECE.findall(text) for text in texts])
-
-    def _pieces(self, texts: list[Sequence[str]]) -> Iterator[np.ndarray]:
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
-        missing = [piece for piece in set().union(*texts) if piece not in self.memory]
-        for some in batched(missing, 10_000):
-            for piece, found in zip(some, self.library.encode_batch_fast(list(some), add_special_tokens=False)):
-                self.memory[piece] = np.array(found.ids, "<u4").tobytes()
-        for pieces in texts:
-            yield np.frombuffer(b"".join(map(self.memory.__getitem__, pieces)), "<u4")
+                continue
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            pattern = ASCII_PIECE if text.isascii() else PIECE
+            if len(text) <= STRETCH:
+                ids = b"".join(map(self.known.__getitem__, pattern.findall(text)))
+            else:
+                pieces = map(itemgetter(0), pattern.finditer(text))
+                ids = b"".join([b"".join(map(self.known.__getitem__, some)) for some in batched(pieces, STRETCH)])
+            yield np.frombuffer(ids, "<u4")
 
 
 @cache
