@@ -418,7 +418,6 @@ _QUERIES: dict[str, Query] = {
     "fct_orders_bucketed": _bucketed(fct_orders),
     # Reports.
     "seller_geographic_reach": _over_lake(analytics.seller_geographic_reach),
-    "seller_geographic_reach_ranged": _over_lake(analytics.seller_geographic_reach),
     "seller_geographic_reach_bucketed": _bucketed(analytics.seller_geographic_reach),
     "payment_installments_by_state": _over_lake(analytics.payment_installments_by_state),
     "monthly_revenue_trend": _over_lake(analytics.monthly_revenue_trend),

@@ -66,7 +66,6 @@ def main() -> None:
 
     actions: dict[str, Callable[[], object]] = {
         "seller_geographic_reach": lambda: run(analytics.seller_geographic_reach(store)),
-        "seller_geographic_reach_ranged": lambda: run(analytics.seller_geographic_reach(store)),
         "seller_geographic_reach_bucketed": lambda: run(analytics.seller_geographic_reach(bucketed)),
         "payment_installments_by_state": lambda: run(analytics.payment_installments_by_state(store)),
         "monthly_revenue_trend": lambda: run(analytics.monthly_revenue_trend(store)),

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercato.functions.numbers import exact_ratio, percent
-from mercato.operators.ranking import rank_in_ranges
-from mercato.session import written
+from mercato.operators.ranking import counted_ranks
 
 Tables = Mapping[str, DataFrame]
 
@@ -47,47 +46,52 @@ def seller_footprint(tables: Tables, min_orders: int = 3) -> DataFrame:
         .agg(
             F.countDistinct("customer_state").alias("states_reached"),
             F.count(F.lit(1)).alias("total_orders"),
-            F.round(F.sum("amount"), 2).alias("total_revenue"),
-            F.round(exact_ratio(F.sum("amount"), F.sum("lines")), 2).alias("avg_order_value"),
+            F.sum("amount").alias("amount"),
+            F.sum("lines").alias("lines"),
         )
         .where(F.col("total_orders") >= min_orders)
+        .select(
+            "seller_id",
+            "states_reached",
+            "total_orders",
+            # Null without a line that has an amount, as the sum is. Said by the number of lines, so that every reader
+            # of the footprint needs the same columns and Spark shuffles for all of them once.
+            F.when(F.col("lines") > 0, F.round("amount", 2)).alias("total_revenue"),
+            F.round(exact_ratio(F.col("amount"), F.col("lines")), 2).alias("avg_order_value"),
+        )
     )
 
 
 def seller_geographic_reach(tables: Tables, min_orders: int = 3, top: int = 50) -> DataFrame:
     """The sellers that ship to most states, against their rank by revenue.
 
-    A positive gap is a wide reach with little revenue. Ties at the cut go by seller id. The footprint is written
-    while the plan is built, since ranking reads it several times.
+    A positive gap is a wide reach with little revenue. Ties at the cut go by seller id. Only the sellers shown are
+    ranked, by counting those above them.
     """
     sellers = tables["sellers"].select("seller_id", "seller_city", "seller_state")
-    ranks = {"geo_rank": "states_reached", "rev_rank": "total_revenue"}
-    ranked = rank_in_ranges(written(seller_footprint(tables, min_orders), "footprint"), ranks)
+    footprint = seller_footprint(tables, min_orders)
+    widest = [F.col("states_reached").desc_nulls_first(), F.col("seller_id")]
+    shown = footprint.join(sellers, "seller_id").orderBy(*widest).limit(top)
+    ranked = counted_ranks(footprint, shown, {"geo_rank": "states_reached", "rev_rank": "total_revenue"})
     states = F.col("states_reached")
     tier = (
         F.when(states > REGIONAL_STATES, "national")
         .when(states > LOCAL_STATES, "regional")
         .when(states == LOCAL_STATES, "local")
     )
-    return (
-        ranked.join(sellers, "seller_id")
-        .withColumns({"seller_tier": tier, "efficiency_gap": F.col("rev_rank") - F.col("geo_rank")})
-        .select(
-            "seller_id",
-            "seller_city",
-            "seller_state",
-            "states_reached",
-            "total_orders",
-            "total_revenue",
-            "avg_order_value",
-            "seller_tier",
-            "geo_rank",
-            "rev_rank",
-            "efficiency_gap",
-        )
-        .orderBy("geo_rank", "seller_id")
-        .limit(top)
-    )
+    return ranked.select(
+        "seller_id",
+        "seller_city",
+        "seller_state",
+        "states_reached",
+        "total_orders",
+        "total_revenue",
+        "avg_order_value",
+        tier.alias("seller_tier"),
+        "geo_rank",
+        "rev_rank",
+        (F.col("rev_rank") - F.col("geo_rank")).alias("efficiency_gap"),
+    ).orderBy("geo_rank", "seller_id")
 
 
 def payment_installments_by_state(tables: Tables, min_orders: int = 100) -> DataFrame:

@@ -806,7 +806,6 @@ QUERIES = {
     "dim_dates": DATES,
     # Reports.
     "seller_geographic_reach": REACH,
-    "seller_geographic_reach_ranged": REACH,
     "seller_geographic_reach_bucketed": REACH,
     "payment_installments_by_state": INSTALLMENTS,
     "monthly_revenue_trend": TREND,

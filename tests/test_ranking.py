@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from conftest import executed_plan
 from helpers import tuples
-from mercato.operators.ranking import rank_in_ranges
+from mercato.operators.ranking import counted_ranks, rank_in_ranges
 
-SLOW = settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+SLOW = settings(max_examples=50, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
 
 @SLOW
@@ -24,6 +24,34 @@ def test_ranges_give_the_rank(spark, values, slices):
     assert sorted(tuples(ranked.select("n", "r"))) == sorted(tuples(expected))
 
 
+pairs = st.lists(st.tuples(st.one_of(st.none(), st.integers(-9, 9)), st.one_of(st.none(), st.integers(0, 3))), max_size=40)
+
+
+@SLOW
+@given(values=pairs, top=st.integers(0, 8))
+def test_counting_gives_the_rank_of_the_rows_shown(spark, values, top):
+    df = spark.createDataFrame([(n, a, b) for n, (a, b) in enumerate(values)], "n int, a int, b int")
+    by = {c: F.rank().over(Window.orderBy(F.col(c).desc_nulls_first())) for c in "ab"}
+    every = {r["n"]: tuple(r) for r in df.select("n", "a", "b", by["a"], by["b"]).collect()}
+    shown = df.orderBy(F.desc("b"), "n").limit(top)
+    ranked = counted_ranks(df, shown, {"rank_a": "a", "rank_b": "b"})
+    assert ranked.columns == ["n", "a", "b", "rank_a", "rank_b"]
+    assert sorted(tuples(ranked)) == sorted(every[r["n"]] for r in shown.collect())
+
+
+def test_counting_runs_nothing_while_the_plan_is_built(spark, lake):
+    from mercato.plans.analytics import seller_geographic_reach
+
+    tables = {name: lake[name] for name in ("orders", "order_items", "customers", "sellers")}
+    spark.sparkContext.setJobGroup("planning", "planning")
+    report = seller_geographic_reach(tables)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
+    spark.sparkContext.setJobGroup("done", "done")
+    report.collect()
+    plan = executed_plan(report)
+    assert "Window" not in plan and "rangepartitioning" not in plan.replace("rangepartitioning(geo_rank", "")
+
+
 def test_one_value_holding_a_third_of_all_rows(spark):
     df = spark.range(30_000).select(
         "id", F.when(F.col("id") % 3 == 0, 500).otherwise(F.col("id") % 1_000).cast("decimal(10,2)").alias("v")
