@@ -20,10 +20,10 @@ from mercato.operators.upsert import insert_if_absent
 from mercato.plans import analytics, extensions, quality
 from mercato.plans.clean import builders, clean, rejects
 from mercato.plans.catalog import register
-from mercato.plans.ingest import ingest, ingest_folder
+from mercato.plans.ingest import ingest, ingest_folder, load
 from mercato.plans.marts import MARTS, fct_orders
 from mercato.plans.staging import STAGING
-from mercato.schemas import LOAD_ORDER, ORDER_REVIEWS, ORDER_STATUSES, PAYMENTS
+from mercato.schemas import CUSTOMERS, LOAD_ORDER, ORDER_REVIEWS, ORDER_STATUSES, PAYMENTS
 from mercato.session import configure, fresh_path
 from mercato.sources.csv import read_csv
 from mercato.sources.layout import bucket_by_order, write_by_month
@@ -104,9 +104,10 @@ def _coerce_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(line == 6, F.concat(digits, F.lit("e1")))
         .otherwise("")
     )
-    number, whole = to_number(text, T.StringType(), "decimal(20,2)"), to_whole(text, T.StringType())
+    number, whole = to_number(F.col("text"), T.StringType(), "decimal(20,2)"), to_whole(F.col("text"), T.StringType())
     return (
         _parquet(spark, sf_dir, "lineitem")
+        .select("l_linenumber", text.alias("text"))
         .groupBy("l_linenumber")
         .agg(
             F.count(F.lit(1)).alias("lines"),
@@ -276,6 +277,45 @@ def _stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store["payments"]
 
 
+def _load_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule dropped, counted while the raw tables were loaded."""
+    loaded = load(_raw(spark, sf_dir), Store(spark, fresh_path(spark, "load_report")))
+    return loaded.report(spark)
+
+
+def _csv_unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as CSV lines, some with 1 field, with 12, or with a quote that is not closed; what each rule drops."""
+    key, columns = F.col("customer_id"), CUSTOMERS.columns
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    line = F.concat_ws(",", *texts)
+    broken = (
+        F.when(key % 10 == 1, texts[0])
+        .when(key % 10 == 3, F.concat(line, F.lit("," * (12 - len(columns)))))
+        .when(key % 10 == 6, F.concat(texts[0], F.lit(',"'), F.concat_ws(",", *texts[1:])))
+        .otherwise(line)
+    )
+    # Two files, each with the header first.
+    folder, lines = fresh_path(spark, "broken_csv"), _raw(spark, sf_dir)["customers"].select(broken, "_arrival_0")
+    for part in range(2):
+        header = spark.createDataFrame([(",".join(columns), -1)], "line string, n bigint")
+        whole = header.union(lines.where(F.col("_arrival_0") % 2 == part)).coalesce(1).sortWithinPartitions("n")
+        whole.select("line").write.mode("append").text(folder)
+    return rejects("customers", read_csv(spark, folder, CUSTOMERS), {})
+
+
+def _stream_children_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw payments streamed in before the orders that they belong to: they wait, and are stored as orders arrive."""
+    raw, lake = _raw(spark, sf_dir), _lake(spark, sf_dir)
+    store = Store(spark, fresh_path(spark, "children_first"))
+    store.append(lake["customers"], "customers")
+    for table in ("payments", "orders"):
+        folder = fresh_path(spark, f"arriving_{table}")
+        raw[table].write.parquet(folder)
+        files = spark.readStream.schema(raw[table].schema).parquet(folder)
+        stream_into(files, table, None, store, fresh_path(spark, "progress")).awaitTermination()
+    return store["payments"]
+
+
 def _reject_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw, lake = _raw(spark, sf_dir), _lake(spark, sf_dir)
     return reduce(DataFrame.unionByName, [rejects(t.name, raw[t.name], lake) for t in LOAD_ORDER])
@@ -401,6 +441,9 @@ _QUERIES: dict[str, Query] = {
     **{f"ingest_csv_{t.name}": _ingest_csv(t.name) for t in LOAD_ORDER},
     "catalog_tables": _catalog_tables,
     "stream_ingest": _stream_ingest,
+    "stream_children_first": _stream_children_first,
+    "load_report": _load_report,
+    "csv_unreadable": _csv_unreadable,
     "reject_report": _reject_report,
     # Clean tables.
     "clean_geolocation": _clean("geolocation"),

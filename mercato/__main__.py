@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
 from mercato.plans import analytics, extensions, quality  # noqa: E402
 from mercato.plans.catalog import register  # noqa: E402
-from mercato.plans.ingest import BATCH, BATCH_AND_STORED, ingest_folder  # noqa: E402
+from mercato.plans.ingest import BATCH, BATCH_AND_STORED, load_folder  # noqa: E402
 from mercato.plans.marts import MARTS, fct_orders  # noqa: E402
 from mercato.schemas import LOAD_ORDER, TABLES  # noqa: E402
 from mercato.session import configure  # noqa: E402
@@ -89,13 +89,16 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     spark = configure(spark or SparkSession.builder.appName("mercato").getOrCreate())
     store = Store(spark, given.store)
     if given.step == "load":
-        for table, rows in ingest_folder(spark, given.data, given.store, given.parents).items():
+        loaded = load_folder(spark, given.data, given.store, given.parents)
+        for table, rows in loaded.inserted.items():
             print(f"{table}\t{rows} rows inserted")
+        for table, _, rule, _, dropped in loaded.losses:
+            if dropped:
+                print(f"{table}\t{dropped} rows dropped: {rule}")
         return 0
     if given.step == "stream":
         files = stream_csv(spark, given.data, TABLES[given.table])
-        parents = {fk.parent: store[fk.parent] for fk in TABLES[given.table].references}
-        stream_into(files, given.table, parents, store, given.progress).awaitTermination()
+        stream_into(files, given.table, None, store, given.progress).awaitTermination()
         print(f"{given.table}\t{store[given.table].count()} rows stored")
         return 0
     if given.step == "build":

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +12,11 @@ from mercato.functions.text import strip
 
 # Spark casts '12f' and 'NaN' to numbers; only plain decimal notation is a number here.
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+_NONZERO, _FAR = r"^[+-]?[0.]*[1-9]", r"[eE][+-]?0*[1-9][0-9]{3}"
+
+#: What numbers in text and floating point are read as before they are judged, and its greatest and least values.
+WIDE = "decimal(38,10)"
+_GREATEST, _LEAST = Decimal("9" * 28 + "." + "9" * 10), Decimal("0.0000000001")
 
 
 def to_number(value: Column, given: T.DataType, target: str) -> Column:
@@ -25,19 +32,43 @@ def to_number(value: Column, given: T.DataType, target: str) -> Column:
     return value
 
 
+def to_wide(value: Column, given: T.DataType) -> Column:
+    """Coerce to ``WIDE`` so that a rule can judge the number that was given; null for whatever is not a number.
+
+    A number beyond the type becomes the greatest one with its sign, and one that would round to zero the least: neither is
+    taken for missing or for zero. A source that is already exact keeps its own type.
+    """
+    ends = [F.lit(n).cast(WIDE) for end in (_GREATEST, _LEAST) for n in (end, end.copy_negate())]
+
+    def end(minus: Column, small: Column) -> Column:
+        return F.element_at(F.array(*ends), 1 + minus.cast("int") + 2 * small.cast("int"))
+
+    if isinstance(given, T.StringType):
+        text = strip(value)
+        # A long exponent is not cast: that would spell out its zeros.
+        number = F.when(~text.rlike(_FAR), text).try_cast(WIDE)
+        beyond = end(text.startswith("-"), F.abs(text.try_cast("double")) < 1)
+        odd = F.when(text.rlike(_NUMBER), F.when(text.rlike(_NONZERO), beyond).otherwise(F.lit(Decimal(0)).cast(WIDE)))
+        return F.coalesce(F.nullif(number, F.lit(0)), odd)
+    if isinstance(given, (T.DoubleType, T.FloatType)):
+        beyond = F.when(value == 0, F.lit(Decimal(0)).cast(WIDE)).otherwise(end(value < 0, F.abs(value) < 1))
+        return F.when(value.isNotNull() & ~F.isnan(value), F.coalesce(F.nullif(value.try_cast(WIDE), F.lit(0)), beyond))
+    return value
+
+
 def to_whole(value: Column, given: T.DataType, target: str = "int") -> Column:
     """Coerce to a whole number: '4.0' is 4, a fraction is null."""
     if isinstance(given, T.IntegralType):
         return value.try_cast(target)
-    number = to_number(value, given, "decimal(38,10)")
-    return F.when(number == F.floor(number), number).try_cast(target)
+    number = to_wide(value, given)
+    return F.when(number % 1 == 0, number).try_cast(target)
 
 
 def rounded_to_whole(value: Column, given: T.DataType, target: str = "int") -> Column:
     """Coerce to a whole number, halves away from zero, as storing into an integer column does."""
     if isinstance(given, T.IntegralType):
         return value.try_cast(target)
-    return F.round(to_number(value, given, "decimal(38,10)"), 0).try_cast(target)
+    return F.round(to_wide(value, given), 0).try_cast(target)
 
 
 def exact_ratio(total: Column, count: Column) -> Column:

@@ -6,10 +6,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from mercato.operators.keys import arrival_columns, keep_first, semi_filter
+from mercato.operators.keys import anti_filter, arrival_columns, keep_first, semi_filter
 
 
 @dataclass(frozen=True)
@@ -40,12 +41,51 @@ class FirstOf:
 
 Rule = Keep | HasParent | FirstOf
 
+#: Column of a raw table that marks the rows its source could not parse.
+UNREADABLE = "_unreadable"
+
+
+def readable(df: DataFrame) -> list[Rule]:
+    """The rule against rows that could not be parsed, if the source marks them."""
+    return [Keep("unreadable row", ~F.col(UNREADABLE))] if UNREADABLE in df.columns else []
+
+
+class Losses:
+    """Counts the rows left after each rule while a table is written, without reading it again.
+
+    Spark counts in the tasks that do the work. A task that ran twice because an executor was lost may count twice;
+    ``count_rejects`` then gives the exact figures.
+    """
+
+    def __init__(self, table: str):
+        self.table = table
+        self.seen: list[tuple[str, Observation]] = []
+
+    def after(self, rule: str, df: DataFrame) -> DataFrame:
+        seen = Observation()
+        self.seen.append((rule, seen))
+        return df.observe(seen, F.count(F.lit(1)).alias("rows"))
+
+    def rows(self) -> list[tuple[str, int, str, int, int]] | None:
+        """(table_name, step, rule, rows_left, rows_dropped), once the table has been written.
+
+        None where Spark has found a part of the plan empty beforehand and left its counts out.
+        """
+        out: list[tuple[str, int, str, int, int]] = []
+        for step, (rule, seen) in enumerate(self.seen):
+            try:
+                left = seen.get["rows"]
+            except (KeyError, Py4JJavaError):
+                return None
+            out.append((self.table, step, rule, left, out[-1][3] - left if out else 0))
+        return out
+
 
 def required(*columns: str) -> Keep:
     return Keep("missing " + ", ".join(columns), reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns]))
 
 
-def apply_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def apply_rules(df: DataFrame, rules: Sequence[Rule], losses: Losses | None = None) -> DataFrame:
     for rule in rules:
         if isinstance(rule, Keep):
             df = df.where(rule.predicate)
@@ -53,9 +93,21 @@ def apply_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
             df = semi_filter(df, rule.column, rule.parents, rule.parent_column)
         else:
             df = keep_first(df, rule.keys)
+        if losses:
+            df = losses.after(rule.name, df)
     return df
 
 
+def waiting_rows(df: DataFrame, rules: Sequence[Rule]) -> DataFrame | None:
+    """Rows that pass every rule up to one that asks for a parent, and have none yet."""
+    out: list[DataFrame] = []
+    for n, rule in enumerate(rules):
+        if isinstance(rule, HasParent):
+            keys = rule.parents.select(F.col(rule.parent_column).alias(rule.column))
+            out.append(anti_filter(apply_rules(df, rules[:n]), [rule.column], keys))
+    return reduce(DataFrame.unionByName, out) if out else None
+
+
 def count_rejects(df: DataFrame, table: str, rules: Sequence[Rule]) -> DataFrame:
     """Rows left and rows dropped after each rule: (table_name, step, rule, rows_left, rows_dropped).
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from mercato.operators.keys import anti_filter
+from mercato.session import written
 from mercato.sources.store import Store
 
 
@@ -17,16 +18,36 @@ def insert_if_absent(
     table: str,
     key: Sequence[str],
     unique: Sequence[Sequence[str]] = (),
+    keys: DataFrame | None = None,
 ) -> int:
     """Append the rows whose key is not stored yet and return how many there were.
 
-    Stored rows are never changed. ``new`` holds each key once and has no null keys. ``unique``
-    lists further column sets that must stay unique in the store.
+    Stored rows are never changed. ``new`` holds each key once and has no null keys. ``unique`` lists further column
+    sets that must stay unique in the store.
+
+    Where the table exists already, the keys of ``new`` are written first and looked up in the buckets of the key index
+    that they fall in, so a small batch reads a small part of the stored keys. Rows are worked out only if a key is
+    absent: a batch that is stored already costs its keys. ``keys``: these keys, if they are written already.
     """
+    indexes = [store.key_index(table, columns) for columns in (key, *unique)]
     if table in store:
-        stored = store[table]
-        for columns in (key, *unique):
-            new = anti_filter(new, columns, stored)
+        if keys is None:
+            columns = dict.fromkeys(c for index in indexes for c in index.columns)
+            keys = written(new.select(*columns), f"keys_{table}")
+        absent = keys
+        for index in indexes:
+            absent = anti_filter(absent, index.columns, index.keys_near(keys))
+        absent = written(absent, f"absent_{table}")
+        count = absent.count()
+        if not count:
+            return 0
+        new = new.join(absent.select(*key), list(key), "left_semi").select(*new.columns)
+    else:
+        absent = None
+    for index in indexes:
+        index.begin()
     inserted = Observation()
     store.append(new.observe(inserted, F.count(F.lit(1)).alias("rows")), table)
+    for index in indexes:
+        index.add(store[table] if absent is None else absent)
     return inserted.get["rows"]

@@ -15,11 +15,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, NumericType, StructField
 
-from mercato.functions.numbers import rounded_to_whole, to_number, to_whole
+from mercato.functions.numbers import WIDE, rounded_to_whole, to_whole, to_wide
 from mercato.functions.text import strip, zero_fill
 from mercato.functions.times import to_utc
 from mercato.operators.keys import null_orphans
-from mercato.operators.rules import FirstOf, HasParent, Keep, Rule, apply_rules, count_rejects, required
+from mercato.operators.rules import (
+    FirstOf,
+    HasParent,
+    Keep,
+    Losses,
+    Rule,
+    apply_rules,
+    count_rejects,
+    readable,
+    required,
+    waiting_rows,
+)
 from mercato.schemas import (
     CATEGORY_TRANSLATION,
     CUSTOMERS,
@@ -38,8 +49,8 @@ from mercato.schemas import (
 
 Parents = Mapping[str, DataFrame]
 ZIP_WIDTH = 5
-#: What numbers are read as before they are judged: numbers in text or floating point, whole ones, given whole numbers.
-WIDE, WIDE_WHOLE, WIDE_INTEGER = "decimal(38,10)", "decimal(38,0)", "bigint"
+#: What whole numbers are read as before they are judged: in text or floating point, and as whole numbers.
+WIDE_WHOLE, WIDE_INTEGER = "decimal(38,0)", "bigint"
 
 
 @dataclass(frozen=True)
@@ -53,12 +64,11 @@ def _coerced(df: DataFrame, table: Table, how: Callable, *columns: str) -> DataF
     changes: dict[str, Column] = {}
     for name in columns:
         given = df.schema[name].dataType
-        if how is to_utc:
-            changes[name] = to_utc(F.col(name), given)
+        if how in (to_utc, to_wide):
+            changes[name] = how(F.col(name), given)
             continue
         # Wide, so that the rules see the value that was given and not what fits the column.
-        whole = WIDE_INTEGER if isinstance(given, IntegralType) else WIDE_WHOLE
-        changes[name] = how(F.col(name), given, WIDE if how is to_number else whole)
+        changes[name] = how(F.col(name), given, WIDE_INTEGER if isinstance(given, IntegralType) else WIDE_WHOLE)
     return df.withColumns(changes)
 
 
@@ -82,7 +92,7 @@ def _is_child(table: Table, column: str, parents: Parents) -> HasParent:
 
 def _geolocation(df: DataFrame) -> DataFrame:
     df = df.withColumn("geolocation_zip_code_prefix", zero_fill(F.col("geolocation_zip_code_prefix"), ZIP_WIDTH))
-    return _coerced(df, GEOLOCATION, to_number, "geolocation_lat", "geolocation_lng")
+    return _coerced(df, GEOLOCATION, to_wide, "geolocation_lat", "geolocation_lng")
 
 
 def _geolocation_rules(parents: Parents) -> list[Rule]:
@@ -91,6 +101,7 @@ def _geolocation_rules(parents: Parents) -> list[Rule]:
         required("geolocation_lat", "geolocation_lng"),
         FirstOf("repeated zip", GEOLOCATION.key),
         required("geolocation_city", "geolocation_state"),
+        _fits(GEOLOCATION, "geolocation_lat", "geolocation_lng"),
     ]
 
 
@@ -126,7 +137,7 @@ def _products(df: DataFrame) -> DataFrame:
         df = df.withColumn("product_id", strip(F.col("product_id")))
     df = df.withColumn("product_category_name", strip(F.col("product_category_name")))
     df = _coerced(df, PRODUCTS, rounded_to_whole, *PRODUCT_WHOLES)
-    return _coerced(df, PRODUCTS, to_number, *PRODUCT_NUMBERS)
+    return _coerced(df, PRODUCTS, to_wide, *PRODUCT_NUMBERS)
 
 
 def _product_rules(parents: Parents) -> list[Rule]:
@@ -166,7 +177,7 @@ def _order_rules(parents: Parents) -> list[Rule]:
 
 def _order_items(df: DataFrame) -> DataFrame:
     df = _coerced(df, ORDER_ITEMS, to_whole, "order_item_id")
-    df = _coerced(df, ORDER_ITEMS, to_number, "price", "freight_value")
+    df = _coerced(df, ORDER_ITEMS, to_wide, "price", "freight_value")
     return _coerced(df, ORDER_ITEMS, to_utc, "shipping_limit_date")
 
 
@@ -185,7 +196,7 @@ def _order_item_rules(parents: Parents) -> list[Rule]:
 
 def _payments(df: DataFrame) -> DataFrame:
     df = _coerced(df, PAYMENTS, to_whole, "payment_sequential", "payment_installments")
-    return _coerced(df, PAYMENTS, to_number, "payment_value")
+    return _coerced(df, PAYMENTS, to_wide, "payment_value")
 
 
 def _payment_rules(parents: Parents) -> list[Rule]:
@@ -232,15 +243,32 @@ CLEANERS = {
 }
 
 
-def clean(name: str, raw: DataFrame, parents: Parents) -> DataFrame:
+def clean(name: str, raw: DataFrame, parents: Parents, losses: Losses | None = None) -> DataFrame:
     """The clean form of a raw table. ``parents`` holds the clean tables it refers to."""
     cleaner = CLEANERS[name]
-    df = apply_rules(cleaner.coerce(raw), cleaner.rules(parents))
-    for fk in cleaner.table.references:
+    df = losses.after("input", raw) if losses else raw
+    return _shaped(apply_rules(cleaner.coerce(df), _rules(cleaner, raw, parents), losses), cleaner.table, parents)
+
+
+def clean_and_waiting(name: str, raw: DataFrame, parents: Parents) -> tuple[DataFrame, DataFrame | None]:
+    """The clean form of a raw table, and its raw rows that only lack a parent."""
+    cleaner = CLEANERS[name]
+    waiting = waiting_rows(
+        cleaner.coerce(raw.withColumn("_raw", F.struct(*raw.columns))), _rules(cleaner, raw, parents)
+    )
+    return clean(name, raw, parents), waiting.select("_raw.*") if waiting is not None else None
+
+
+def _rules(cleaner: Cleaner, raw: DataFrame, parents: Parents) -> list[Rule]:
+    return [*readable(raw), *cleaner.rules(parents)]
+
+
+def _shaped(df: DataFrame, table: Table, parents: Parents) -> DataFrame:
+    """Rows that passed the rules as the table declares them."""
+    for fk in table.references:
         if fk.on_delete == "set null":
             df = null_orphans(df, fk.column, parents[fk.parent], fk.parent_column)
-    df = _narrowed(df, cleaner.table)
-    return df.select(*[_described(field) for field in cleaner.table.schema.fields])
+    return _narrowed(df, table).select(*[_described(field) for field in table.schema.fields])
 
 
 def _described(field: StructField) -> Column:
@@ -251,7 +279,7 @@ def _described(field: StructField) -> Column:
 def rejects(name: str, raw: DataFrame, parents: Parents) -> DataFrame:
     """How many rows each rule of a table drops."""
     cleaner = CLEANERS[name]
-    return count_rejects(cleaner.coerce(raw), name, cleaner.rules(parents))
+    return count_rejects(cleaner.coerce(raw), name, _rules(cleaner, raw, parents))
 
 
 def builders(raw: Mapping[str, DataFrame]) -> dict[str, Callable[[Parents], DataFrame]]:

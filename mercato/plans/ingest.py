@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mercato.operators.rules import Losses
 from mercato.operators.upsert import insert_if_absent
-from mercato.plans.clean import clean
+from mercato.plans.clean import clean, rejects
 from mercato.schemas import LOAD_ORDER, Table
 from mercato.session import written
 from mercato.sources.csv import read_csv_folder
@@ -18,8 +20,21 @@ BATCH, BATCH_AND_STORED = "batch", "batch+stored"
 _PARENTS = {fk.parent for t in LOAD_ORDER for fk in t.references}
 
 
-def ingest(raw: Mapping[str, DataFrame], store: Store, parents: str = BATCH) -> dict[str, int]:
-    """Load all tables, parents first; return how many rows each one gained.
+@dataclass(frozen=True)
+class Load:
+    """What a load did: rows gained by each table, and (table_name, step, rule, rows_left, rows_dropped) of its rules."""
+
+    inserted: dict[str, int]
+    losses: list[tuple[str, int, str, int, int]]
+
+    def report(self, spark: SparkSession) -> DataFrame:
+        """The losses in the form of the reject report; one row for each rule."""
+        schema = "table_name string, step int, rule string, rows_left bigint, rows_dropped bigint"
+        return spark.createDataFrame(self.losses, schema)
+
+
+def load(raw: Mapping[str, DataFrame], store: Store, parents: str = BATCH) -> Load:
+    """Load all tables, parents first, and count on the way what each rule drops.
 
     ``parents="batch"`` accepts a child only if its parent is part of the same batch, even when
     the store holds the parent. ``"batch+stored"`` looks at both.
@@ -27,26 +42,36 @@ def ingest(raw: Mapping[str, DataFrame], store: Store, parents: str = BATCH) ->
     if parents not in (BATCH, BATCH_AND_STORED):
         raise ValueError(f"parents must be {BATCH!r} or {BATCH_AND_STORED!r}, not {parents!r}")
     known: dict[str, DataFrame] = {}
+    losses: dict[str, list[tuple]] = {}
 
-    def load(table: Table) -> int:
-        rows = clean(table.name, raw[table.name], known)
-        if table.name not in _PARENTS:
-            return insert_if_absent(rows, store, table.name, table.key, table.unique)
+    def load_table(table: Table) -> int:
+        counted = Losses(table.name)
+        rows, keys = clean(table.name, raw[table.name], known, counted), None
         is_new = table.name not in store
-        if not is_new and parents == BATCH:
-            # Read by the insert and by every child: worked out once.
-            rows = written(rows, f"batch_{table.name}")
-        inserted = insert_if_absent(rows, store, table.name, table.key, table.unique)
+        if table.name in _PARENTS and not is_new and parents == BATCH:
+            # Looked up by the insert and by every child.
+            keys = written(rows.select(*table.key), f"batch_{table.name}")
+        inserted = insert_if_absent(rows, store, table.name, table.key, table.unique, keys)
+        found = counted.rows()
+        if found is None:
+            found = [tuple(r) for r in rejects(table.name, raw[table.name], known).orderBy("step").collect()]
+        losses[table.name] = found
         # By now the store holds this batch. It holds nothing else if the table is new.
-        known[table.name] = rows if not is_new and parents == BATCH else store[table.name]
+        known[table.name] = keys if keys is not None else store[table.name]
         return inserted
 
     inserted: dict[str, int] = {}
     for level in _levels():
         # Tables of a level do not refer to each other: their jobs share the cluster.
         with ThreadPoolExecutor(len(level)) as pool:
-            inserted.update(zip([t.name for t in level], pool.map(load, level)))
-    return {t.name: inserted[t.name] for t in LOAD_ORDER}
+            inserted.update(zip([t.name for t in level], pool.map(load_table, level)))
+    every = [row for t in LOAD_ORDER for row in losses[t.name]]
+    return Load({t.name: inserted[t.name] for t in LOAD_ORDER}, every)
+
+
+def ingest(raw: Mapping[str, DataFrame], store: Store, parents: str = BATCH) -> dict[str, int]:
+    """Load all tables; return how many rows each one gained."""
+    return load(raw, store, parents).inserted
 
 
 def _levels() -> list[list[Table]]:
@@ -63,6 +88,11 @@ def reset(store: Store) -> None:
         store.drop(table.name)
 
 
-def ingest_folder(spark: SparkSession, folder: str, store_root: str, parents: str = BATCH) -> dict[str, int]:
+def load_folder(spark: SparkSession, folder: str, store_root: str, parents: str = BATCH) -> Load:
     """Load the raw CSV files of a folder into the store at ``store_root``."""
-    return ingest(read_csv_folder(spark, folder), Store(spark, store_root), parents)
+    return load(read_csv_folder(spark, folder), Store(spark, store_root), parents)
+
+
+def ingest_folder(spark: SparkSession, folder: str, store_root: str, parents: str = BATCH) -> dict[str, int]:
+    """Load a folder; return how many rows each table gained."""
+    return load_folder(spark, folder, store_root, parents).inserted

@@ -10,6 +10,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from mercato.functions.text import without_missing_tokens
 from mercato.operators.keys import arrival
+from mercato.operators.rules import UNREADABLE
 from mercato.schemas import LOAD_ORDER, Table
 
 
@@ -18,16 +19,37 @@ def file_order() -> list[Column]:
     return arrival("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
 
 
+#: Where the reader puts the text of a row that it cannot parse.
+_TEXT = "_unparsed"
+
+
+def _text_columns(names: list[str]) -> StructType:
+    return StructType([StructField(c, StringType()) for c in [*names, _TEXT]])
+
+
+def _rows(reader, path: str, table: Table, order: list[Column]) -> DataFrame:
+    """The rows, each marked whether it has too few or too many fields, as a quote that is not closed also gives.
+
+    In the last field of a line such a quote ends with the line and loses nothing. In a table whose texts may hold line
+    breaks it takes in what follows, up to the next quote.
+    """
+    reader = reader.option("header", True).option("enforceSchema", False).option("columnNameOfCorruptRecord", _TEXT)
+    # A row's fields are counted whatever columns a query needs in the end.
+    reader = reader.option("columnPruning", False)
+    rows = reader.option("escape", '"').option("multiLine", table.multiline).csv(path)
+    unreadable = F.col(_TEXT).isNotNull().alias(UNREADABLE)
+    return without_missing_tokens(rows.select(*table.columns, unreadable, *order))
+
+
 def read_csv(spark: SparkSession, path: str, table: Table) -> DataFrame:
-    """One raw table, every column as text, with its arrival order.
+    """One raw table, every column as text, with its arrival order and a mark on rows that cannot be parsed.
 
-    Columns are found by their names in the first file's header; a file with another header is an error. Texts that may hold line breaks make a file unsplittable: such a table should come as many
-    files, or be read once into the store.
+    Columns are found by their names in the first file's header; a file with another header is an error. Texts that
+    may hold line breaks make a file unsplittable: such a table should come as many files, or be read once into the
+    store.
     """
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", table.multiline)
-    header = reader.csv(path).schema
-    rows = reader.schema(header).option("enforceSchema", False).csv(path)
-    return without_missing_tokens(rows.select(*table.columns, *file_order()))
+    header = spark.read.option("header", True).option("escape", '"').option("multiLine", table.multiline).csv(path)
+    return _rows(spark.read.schema(_text_columns(header.columns)), path, table, file_order())
 
 
 def stream_csv(spark: SparkSession, folder: str, table: Table) -> DataFrame:
@@ -35,11 +57,8 @@ def stream_csv(spark: SparkSession, folder: str, table: Table) -> DataFrame:
 
     A stream needs its columns beforehand: a file whose header is not the declared one is an error.
     """
-    text = StructType([StructField(c, StringType()) for c in table.columns])
-    reader = spark.readStream.schema(text).option("header", True).option("enforceSchema", False)
-    rows = reader.option("escape", '"').option("multiLine", table.multiline).csv(folder)
     order = arrival("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start")
-    return without_missing_tokens(rows.select(*table.columns, *order))
+    return _rows(spark.readStream.schema(_text_columns(table.columns)), folder, table, order)
 
 
 def read_csv_folder(spark: SparkSession, folder: str, files: Mapping[str, str] | None = None) -> dict[str, DataFrame]:

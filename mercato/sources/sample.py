@@ -48,9 +48,11 @@ def _key(column: str) -> Column:
 
 def geolocation(spark: SparkSession, folder: str) -> DataFrame:
     place, balance = F.col("c_custkey"), F.col("c_acctbal").cast("decimal(12,2)") / 1000
+    # The positions of one prefix are no degrees.
+    latitude = F.when(F.col("c_nationkey") == 7, balance + 5000).otherwise(balance)
     return _read(spark, folder, "customer").select(
         F.when(place % 50 != 9, F.col("c_nationkey").cast("string")).alias("geolocation_zip_code_prefix"),
-        F.when(place % 5 != 4, balance.cast("decimal(12,6)")).alias("geolocation_lat"),
+        F.when(place % 5 != 4, latitude.cast("decimal(12,6)")).alias("geolocation_lat"),
         (-balance).cast("decimal(12,6)").alias("geolocation_lng"),
         F.when(place % 6 != 1, _city("c_nationkey")).alias("geolocation_city"),
         _state("c_nationkey").alias("geolocation_state"),
@@ -217,10 +219,10 @@ def _messy_numbers(column: str, kind: Column) -> Column:
     """The number as text, spoilt for kinds 0 to 3 and written in an unusual way for 4 and 5."""
     text = F.col(column).cast("string")
     return (
-        F.when(kind == 0, "-0.004")
+        F.when(kind == 0, "-1e-12")
         .when(kind == 1, "12f")
         .when(kind == 2, "NA")
-        .when(kind == 3, "123456789")
+        .when(kind == 3, "1e40")
         .when(kind == 4, F.concat(F.lit("\t"), text, F.lit(" ")))
         .when(kind == 5, F.concat(F.lit("+"), text))
         .otherwise(text)
@@ -260,9 +262,9 @@ def _messy_columns() -> dict[str, dict[str, Column]]:
             "product_photos_qty": F.when(product % 10 == 3, "abc").otherwise(
                 F.col("product_photos_qty").cast("string")
             ),
-            "product_weight_g": F.when(product % 10 == 5, "123456789").otherwise(
-                F.col("product_weight_g").cast("string")
-            ),
+            "product_weight_g": F.when(product % 20 == 5, "123456789")
+            .when(product % 20 == 15, "1e40")
+            .otherwise(F.col("product_weight_g").cast("string")),
         },
         "orders": {"order_approved_at": F.when(order % 10 == 1, "on monday").otherwise(approved)},
         "order_items": {

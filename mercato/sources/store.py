@@ -2,25 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from threading import RLock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-
-def _located(spark: SparkSession, path: str):
-    """The file system of a path, and the path as it takes it."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+from mercato.sources.key_index import BUCKETS, KeyIndex, located
 
 
 class Store(Mapping):
     """A folder of Parquet tables, used like a dictionary of DataFrames."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, key_buckets: int = BUCKETS):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.key_buckets = key_buckets
         # Schemas of the tables seen so far: a reader that is told the schema opens no file for it.
         self._known: dict[str, StructType] = {}
 
@@ -39,7 +36,7 @@ class Store(Mapping):
 
     def _is_written(self, table: str) -> bool:
         """Whether the table's folder holds data: one that a failed write left empty is no table."""
-        files, path = _located(self.spark, self.path(table))
+        files, path = located(self.spark, self.path(table))
         if not files.exists(path):
             return False
         names = [status.getPath().getName() for status in files.listStatus(path)]
@@ -60,11 +57,22 @@ class Store(Mapping):
         self._known[table] = df.schema
 
     def drop(self, table: str) -> None:
-        """Remove a table with its files, if it is there."""
-        files, path = _located(self.spark, self.path(table))
-        files.delete(path, True)
+        """Remove a table with its files and keys, if it is there."""
+        for folder in (self.path(table), self._index_folder(table)):
+            files, path = located(self.spark, folder)
+            files.delete(path, True)
         self._known.pop(table, None)
 
+    def _index_folder(self, table: str) -> str:
+        return f"{self.root}/key_index/{table}"
+
+    def key_index(self, table: str, columns: Sequence[str]) -> KeyIndex:
+        """The index of the table's keys, made from the table where it is missing or not whole."""
+        index = KeyIndex(self.spark, self._index_folder(table), columns, self.key_buckets)
+        if table in self and not index.is_whole():
+            index.rebuild(self[table])
+        return index
+
 
 class DerivedStore(Store):
     """A store that builds a table, from the others, when it is first asked for."""

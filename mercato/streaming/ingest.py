@@ -14,16 +14,20 @@ from mercato.plans.clean import clean
 from mercato.schemas import TABLES
 from mercato.session import configure
 from mercato.sources.store import Store
+from mercato.streaming.parked import insert_or_park
 
 
 def stream_into(
-    arriving: DataFrame, table: str, parents: Mapping[str, DataFrame], store: Store, checkpoint: str
+    arriving: DataFrame, table: str, parents: Mapping[str, DataFrame] | None, store: Store, checkpoint: str
 ) -> StreamingQuery:
     """Clean and insert every micro-batch of a raw streaming table, then stop.
 
     ``arriving`` carries the arrival order of its files; inside a file the order of rows is added
     here, where a micro-batch still has the partitions of its scan. A batch that is replayed after a failure
     inserts nothing twice: its keys are in the store by then.
+
+    With ``parents`` a row without one is dropped. Without, the parents are those that the store holds when the batch
+    comes, and a row that lacks one is parked until it is there, so the tables can arrive in any order.
     """
     declared = TABLES[table]
 
@@ -32,7 +36,10 @@ def stream_into(
         configure(batch.sparkSession)
         last = f"{ARRIVAL}{len(arrival_columns(batch))}"
         batch = batch.withColumn(last, F.monotonically_increasing_id())
-        insert_if_absent(clean(table, batch, parents), store, table, declared.key, declared.unique)
+        if parents is None:
+            insert_or_park(batch, table, store)
+        else:
+            insert_if_absent(clean(table, batch, parents), store, table, declared.key, declared.unique)
 
     return (
         arriving.writeStream.foreachBatch(load)

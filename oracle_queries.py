@@ -22,7 +22,8 @@ BLOCKS = {
     "raw_geolocation": """
         select case when c_custkey % 50 <> 9 then cast(c_nationkey as varchar) end as geolocation_zip_code_prefix,
                case when c_custkey % 5 <> 4
-                    then cast(cast(c_acctbal as decimal(12,2)) / 1000 as decimal(12,6)) end as geolocation_lat,
+                    then cast(cast(c_acctbal as decimal(12,2)) / 1000 as decimal(12,6))
+                         + case when c_nationkey = 7 then 5000 else 0 end end as geolocation_lat,
                cast(-cast(c_acctbal as decimal(12,2)) / 1000 as decimal(12,6)) as geolocation_lng,
                case when c_custkey % 6 <> 1 then 'CITY_' || c_nationkey end as geolocation_city,
                lpad(cast(c_nationkey as varchar), 2, '0') as geolocation_state,
@@ -114,7 +115,7 @@ BLOCKS = {
         qualify row_number() over (partition by geolocation_zip_code_prefix order by arrival) = 1""",
     "geo": """
         select * replace (lpad(geolocation_zip_code_prefix, 5, '0') as geolocation_zip_code_prefix)
-        from first_geo where geolocation_city is not null""",
+        from first_geo where geolocation_city is not null and geolocation_lat < 1000""",
     "translation": """
         select * from raw_translation where product_category_name_english is not null
         qualify row_number() over (partition by product_category_name order by product_category_name_english) = 1""",
@@ -177,7 +178,7 @@ BLOCKS = {
             select * from raw_geolocation
             where arrival % 7 <> 0 and geolocation_zip_code_prefix is not null and geolocation_lat is not null
             qualify row_number() over (partition by geolocation_zip_code_prefix order by arrival) = 1)
-        where arrival % 11 <> 0 and geolocation_city is not null""",
+        where arrival % 11 <> 0 and geolocation_city is not null and geolocation_lat < 1000""",
     "csv_translation": "select * from translation where product_category_name not like 'S%'",
     "csv_customers": """
         select customer_id, customer_unique_id, lpad(geolocation_zip_code_prefix, 5, '0') as customer_zip_code_prefix,
@@ -426,6 +427,7 @@ def _chain(table: str, *steps: tuple[str, str]) -> str:
         coalesce(lag(rows_left) over (order by step) - rows_left, 0) as rows_dropped from ({union})"""
 
 
+_READABLE = "customer_id % 10 not in (1, 3, 6)"
 _KNOWN_ORDER = "order_id in (select order_id from ord)"
 _KNOWN_CUSTOMER = "customer_id in (select customer_id from customers)"
 REJECTS = " union all ".join(
@@ -439,7 +441,11 @@ REJECTS = " union all ".join(
                 "select count(geolocation_zip_code_prefix) from raw_geolocation where geolocation_lat is not null",
             ),
             ("repeated zip", "select count(*) from first_geo"),
-            ("missing geolocation_city, geolocation_state", "select count(*) from geo"),
+            (
+                "missing geolocation_city, geolocation_state",
+                "select count(*) from first_geo where geolocation_city is not null",
+            ),
+            ("does not fit its column", "select count(*) from geo"),
         ),
         _chain(
             "product_category_name_translation",
@@ -773,7 +779,23 @@ QUERIES = {
         for t, block in zip(LOAD_ORDER, _CLEAN_BLOCKS)
     ),
     "stream_ingest": PAYMENTS,
+    "stream_children_first": PAYMENTS,
     "reject_report": REJECTS,
+    "load_report": REJECTS,
+    "csv_unreadable": _chain(
+        "customers",
+        ("input", "select count(*) from raw_customers"),
+        ("unreadable row", f"select count(*) from raw_customers where {_READABLE}"),
+        (
+            "missing customer_id, customer_unique_id",
+            f"select count(customer_unique_id) from raw_customers where {_READABLE}",
+        ),
+        (
+            "repeated customer",
+            f"select count(distinct customer_id) from raw_customers"
+            f" where {_READABLE} and customer_unique_id is not null",
+        ),
+    ),
     # Clean tables.
     "clean_geolocation": GEO,
     "clean_category_translation": "select * from translation",

@@ -2,8 +2,9 @@ from __future__ import annotations
 
 import pytest
 
-from helpers import column, tuples
+from helpers import column, tuples, typed
 from mercato.operators.keys import arrival_columns, keep_first
+from mercato.plans.clean import clean, rejects
 from mercato.schemas import CATEGORY_TRANSLATION, CUSTOMERS, LOAD_ORDER, ORDER_REVIEWS, SELLERS
 from mercato.sources.csv import read_csv, read_csv_folder
 
@@ -75,3 +76,34 @@ def test_files_with_columns_in_another_order_are_refused(spark, tmp_path):
         read_csv(spark, str(tmp_path / "*.csv"), table).collect()
     swapped = read_csv(spark, str(tmp_path / "b.csv"), table).select(first, second).collect()
     assert [tuple(r) for r in swapped] == [("x2", "y2")]
+
+
+def test_rows_that_cannot_be_parsed_are_marked_and_counted(spark, tmp_path):
+    lines = [
+        ",".join(CUSTOMERS.columns),
+        "1,n1,00001,c1,SP",
+        "2",
+        '3,"n3,00003,c3,SP',
+        "4,n4,00004,c4,SP" + ",x" * 7,
+        '5,"a ""b"", c",00005,c5,SP',
+        "6,n6,00006,c6,SP",
+        "6,again,00006,c6,SP",
+    ]
+    (tmp_path / "customers.csv").write_text("\n".join(lines) + "\n")
+    raw = read_csv(spark, str(tmp_path / "customers.csv"), CUSTOMERS)
+    marks = {r["customer_id"]: r["_unreadable"] for r in raw.collect() if r["customer_unique_id"] != "again"}
+    assert marks == {"1": False, "2": True, "3": True, "4": True, "5": False, "6": False}
+    dropped = {r["rule"]: r["rows_dropped"] for r in rejects("customers", raw, {}).collect()}
+    assert dropped["unreadable row"] == 3 and dropped["repeated customer"] == 1
+    places = typed(spark, "geolocation", [])
+    got = clean("customers", raw, {"geolocation": places}).select("customer_id", "customer_unique_id")
+    assert sorted(tuples(got)) == [("1", "n1"), ("5", 'a "b", c'), ("6", "n6")]
+
+
+def test_a_quote_left_open_in_a_file_with_line_breaks(spark, tmp_path):
+    header = ",".join(ORDER_REVIEWS.columns)
+    rest = ",2018-01-01,2018-01-02"
+    lines = [header, 'r1,o1,5,t,"two\nlines"' + rest, 'r2,o2,5,"t,open' + rest, "r3,o3,5,t,m" + rest]
+    (tmp_path / "reviews.csv").write_text("\n".join(lines) + "\n")
+    raw = read_csv(spark, str(tmp_path / "reviews.csv"), ORDER_REVIEWS)
+    assert [(r["review_id"], r["_unreadable"]) for r in raw.collect()] == [("r1", False), ("r2", True)]

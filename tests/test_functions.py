@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helpers import column, tuples
-from mercato.functions.numbers import exact_average, percent, rounded_to_whole, to_number, to_whole
+from mercato.functions.numbers import exact_average, percent, rounded_to_whole, to_number, to_whole, to_wide
 from mercato.functions.text import MISSING_TOKENS, WHITE_SPACE, strip, without_missing_tokens, zero_fill
 from mercato.functions.times import day_name, day_of_week, days_between, month_name, to_utc
 
@@ -98,3 +98,21 @@ def test_calendar(spark):
 def test_days_between_keeps_the_fraction(spark):
     df = spark.sql("select timestamp'2017-01-01 12:00:00' as a, timestamp'2017-01-03 00:00:00' as b")
     assert df.select(days_between(F.col("a"), F.col("b")), days_between(F.col("b"), F.col("a"))).first() == (-1.5, 1.5)
+
+
+def test_numbers_beyond_the_type_keep_size_and_sign(spark):
+    most, least = Decimal("9" * 28 + "." + "9" * 10), Decimal("1e-10")
+    given = {
+        "1e40": most, "-1e40": most.copy_negate(), "1e-12": least, "-1e-12": -least, "-0.00000000004": -least, "0e99999": 0,
+        "-0.0": 0, "7e-99999999": least, "-7E+99999999": most.copy_negate(), "1e3": 1000, " -4.5 ": Decimal("-4.5"),
+        "12f": None, "": None, "1e": None, "e5": None,
+    }
+    got = column(texts(spark, list(given)).select(to_wide(F.col("v"), TEXT)))
+    assert got == list(given.values())
+    numbers = [1e40, -1e300, 1e-12, -1e-12, 0.0, 2.5, float("nan"), float("inf"), float("-inf"), None]
+    lowest = most.copy_negate()
+    want = [most, lowest, least, -least, 0, Decimal("2.5"), None, most, lowest, None]
+    doubles = spark.createDataFrame([(n,) for n in numbers], "v double").coalesce(1)
+    assert column(doubles.select(to_wide(F.col("v"), T.DoubleType()))) == want
+    assert column(texts(spark, ["1e-12", "1e30"]).select(to_whole(F.col("v"), TEXT))) == [None, None]
+    assert column(texts(spark, ["1e30"]).select(rounded_to_whole(F.col("v"), TEXT, "decimal(38,0)"))) == [10**28]

@@ -4,7 +4,8 @@ import pytest
 
 from helpers import column, raw_text, tuples, typed
 from mercato.operators.upsert import insert_if_absent
-from mercato.plans.ingest import BATCH, BATCH_AND_STORED, _levels, ingest, ingest_folder, reset
+from mercato.plans.clean import rejects
+from mercato.plans.ingest import BATCH, BATCH_AND_STORED, _levels, ingest, ingest_folder, load, reset
 from mercato.schemas import LOAD_ORDER
 from mercato.sources.store import DerivedStore, Store
 
@@ -152,3 +153,21 @@ def test_a_folder_left_by_a_failed_write_is_no_table(spark, tmp_path):
     assert "t" not in again
     again.append(spark.range(3), "t")
     assert Store(spark, str(tmp_path / "store"))["t"].count() == 3
+
+
+def test_losses_are_counted_during_the_load(spark, raw, lake, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    loaded = load(raw, store)
+    exact = {tuple(r) for t in LOAD_ORDER for r in rejects(t.name, raw[t.name], lake).collect()}
+    assert set(loaded.losses) == exact and len(loaded.losses) == len(exact)
+    again = load(raw, store)
+    assert set(again.losses) == exact and not any(again.inserted.values())
+    assert sorted(tuples(loaded.report(spark)), key=repr) == sorted(exact, key=repr)
+
+
+def test_losses_where_nothing_is_left(spark, raw, tmp_path):
+    none = {name: df.limit(0) for name, df in raw.items()} | {"payments": raw["payments"]}
+    loaded = load(none, Store(spark, str(tmp_path / "store")))
+    rows = {rule: (left, dropped) for table, _, rule, left, dropped in loaded.losses if table == "payments"}
+    assert rows["input"][0] == raw["payments"].count() and rows["unknown order_id"][0] == 0
+    assert rows["unknown order_id"][1] > 0 and sum(loaded.inserted.values()) == 0
