@@ -22,9 +22,11 @@ from mercato.plans.clean import builders, clean, rejects
 from mercato.plans.catalog import register
 from mercato.plans.ingest import ingest, ingest_folder, load
 from mercato.plans.marts import MARTS, fct_orders
+from mercato.plans.refresh import build_fact, changed_orders, refresh_fact, snapshot
+from mercato.plans.removal import delete_rows
 from mercato.plans.staging import STAGING
-from mercato.schemas import CUSTOMERS, LOAD_ORDER, ORDER_REVIEWS, ORDER_STATUSES, PAYMENTS
-from mercato.session import configure, fresh_path
+from mercato.schemas import CUSTOMERS, LOAD_ORDER, ORDER_REVIEWS, ORDER_STATUSES, PAYMENTS, TABLES
+from mercato.session import configure, fresh_path, written
 from mercato.sources.csv import read_csv
 from mercato.sources.layout import bucket_by_order, write_by_month
 from mercato.sources.sample import raw_tables, write_messy_csv
@@ -36,6 +38,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _LAKES: dict[tuple[str, str], DerivedStore] = {}
 _FROM_CSV: dict[tuple[str, str], Store] = {}
+_AFTER_DELETE: dict[tuple[str, str, str], Store] = {}
 _BUCKETED: dict[str, dict[str, DataFrame]] = {}
 _LOCK = Lock()
 
@@ -421,6 +424,61 @@ def _delete_southern_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
+def _after_delete(parent: str, doomed: str, table: str) -> Query:
+    """A stored table after a delete was applied to its store; each delete runs once in an application."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lake = _lake(spark, sf_dir)
+        with _LOCK:
+            key = (spark.sparkContext.applicationId, sf_dir, parent)
+            if key not in _AFTER_DELETE:
+                store = Store(spark, fresh_path(spark, "deletes"))
+                for t in LOAD_ORDER:
+                    # Several files, of which a delete need not touch all.
+                    store.append(lake[t.name].repartitionByRange(4, *t.key), t.name)
+                delete_rows(store, parent, store[parent].where(doomed))
+                _AFTER_DELETE[key] = store
+        return _AFTER_DELETE[key][table]
+
+    return query
+
+
+def _fct_orders_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact by month, built without the last year's orders and half of an earlier month's payments, then refreshed."""
+    lake = _lake(spark, sf_dir)
+    store, path = Store(spark, fresh_path(spark, "refreshed")), fresh_path(spark, "fact_by_month")
+    late = F.col("order_purchase_timestamp") >= "1998-01-01"
+    early = F.col("order_purchase_timestamp").between("1995-03-01", "1995-03-20")
+    orders = lake["orders"]
+    held = orders.where(late | early).select("order_id")
+    payments = (lake["payments"], F.col("payment_sequential") == 2)
+    store.append(orders.where(~late | late.isNull()), "orders")
+    for name, (rows, also) in {
+        "payments": payments,
+        "order_items": (lake["order_items"], F.lit(True)),
+        "order_reviews": (lake["order_reviews"], F.lit(True)),
+    }.items():
+        store.append(rows.join(held, "order_id", "left_anti"), name)
+        store.append(rows.join(held, "order_id", "left_semi").where(~also), name)
+    build_fact(store, path)
+    before = snapshot(store)
+    store.append(orders.where(late), "orders")
+    for name in ("payments", "order_items", "order_reviews"):
+        insert_if_absent(lake[name], store, name, TABLES[name].key, TABLES[name].unique)
+    refresh_fact(store, path, changed_orders(store, before))
+    return spark.read.parquet(path).drop("purchase_month")
+
+
+def _cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix over all orders, its state carried over two loads of which the second brings the earlier orders."""
+    lake = _lake(spark, sf_dir)
+    tables = {name: lake[name] for name in ("orders", "customers", "geolocation")}
+    late = F.col("order_purchase_timestamp") >= "1995-01-01"
+    state = written(extensions.first_purchases({**tables, "orders": tables["orders"].where(late)}), "cohort_state")
+    state = extensions.first_purchases({**tables, "orders": tables["orders"].where(~late)}, state)
+    return extensions.cohorts(tables, written(state, "cohort_state"))
+
+
 _QUERIES: dict[str, Query] = {
     # Expressions.
     "missing_tokens": _missing_tokens,
@@ -459,6 +517,7 @@ _QUERIES: dict[str, Query] = {
     **{name: _over_lake(model) for name, model in STAGING.items()},
     **{name: _over_lake(model) for name, model in MARTS.items()},
     "fct_orders_bucketed": _bucketed(fct_orders),
+    "fct_orders_refreshed": _fct_orders_refreshed,
     # Reports.
     "seller_geographic_reach": _over_lake(analytics.seller_geographic_reach),
     "seller_geographic_reach_bucketed": _bucketed(analytics.seller_geographic_reach),
@@ -477,6 +536,14 @@ _QUERIES: dict[str, Query] = {
     "audit_not_null": _over_raw(quality.audit_not_null),
     "propagate_deletes_cascade": _delete_shipped_orders,
     "propagate_deletes_set_null": _delete_southern_places,
+    **{
+        f"after_delete_{name}": _after_delete("orders", "order_status = 'shipped'", name)
+        for name in ("orders", "order_items", "payments", "order_reviews")
+    },
+    **{
+        f"after_delete_{name}": _after_delete("geolocation", "geolocation_lat < 0", name)
+        for name in ("geolocation", "customers", "sellers")
+    },
     # Further reports.
     "delay_impact_on_reviews": _over_lake(lambda lake: extensions.delay_impact_on_reviews(lake["fct_orders"])),
     "revenue_by_category": _over_lake(extensions.revenue_by_category),
@@ -487,6 +554,9 @@ _QUERIES: dict[str, Query] = {
     "geo_sellers": _over_lake(extensions.geo_sellers),
     "trade_between_states": _over_lake(extensions.trade_between_states),
     "returning_shoppers": _over_lake(extensions.returning_shoppers),
+    "cohorts": _cohorts,
+    "distance_by_state_pair": _over_lake(extensions.distance_by_state_pair),
+    "nearest_sellers": _over_lake(extensions.nearest_sellers),
 }
 
 

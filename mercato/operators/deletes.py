@@ -47,3 +47,19 @@ def propagate_deletes(tables: Mapping[str, DataFrame], parent: str, keys: DataFr
             kept = F.when(F.col("_gone").isNull(), F.col(fk.column))
             changed[child] = joined.withColumn(fk.column, kept).select(*rows.columns)
     return changed
+
+
+def rows_that_change(tables: Mapping[str, DataFrame], parent: str, keys: DataFrame) -> dict[str, DataFrame]:
+    """The rows of each table that go or lose a reference with the rows of ``parent`` that have these keys."""
+    key = list(TABLES[parent].key)
+    keys = keys.select(*key).distinct()
+    found = {parent: tables[parent].join(keys, key, "left_semi")}
+    for child, fk in _references(parent):
+        if fk.on_delete == RESTRICT:
+            continue
+        doomed = keys.select(F.col(fk.parent_column).alias("_gone"))
+        rows = tables[child].join(doomed, tables[child][fk.column] == doomed["_gone"], "left_semi")
+        below = rows_that_change(tables, child, rows) if fk.on_delete == CASCADE and _references(child) else {child: rows}
+        for name, more in below.items():
+            found[name] = found[name].unionByName(more) if name in found else more
+    return found

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -19,6 +19,7 @@ def insert_if_absent(
     key: Sequence[str],
     unique: Sequence[Sequence[str]] = (),
     keys: DataFrame | None = None,
+    stored: Callable[[], None] = lambda: None,
 ) -> int:
     """Append the rows whose key is not stored yet and return how many there were.
 
@@ -27,7 +28,8 @@ def insert_if_absent(
 
     Where the table exists already, the keys of ``new`` are written first and looked up in the buckets of the key index
     that they fall in, so a small batch reads a small part of the stored keys. Rows are worked out only if a key is
-    absent: a batch that is stored already costs its keys. ``keys``: these keys, if they are written already.
+    absent: a batch that is stored already costs its keys. ``keys``: these keys, if they are written already. ``stored`` is
+    called once the table holds the rows, before the index has their keys.
     """
     indexes = [store.key_index(table, columns) for columns in (key, *unique)]
     if table in store:
@@ -37,9 +39,10 @@ def insert_if_absent(
         absent = keys
         for index in indexes:
             absent = anti_filter(absent, index.columns, index.keys_near(keys))
-        absent = written(absent, f"absent_{table}")
-        count = absent.count()
-        if not count:
+        count = Observation()
+        absent = written(absent.observe(count, F.count(F.lit(1)).alias("rows")), f"absent_{table}")
+        if not count.get["rows"]:
+            stored()
             return 0
         new = new.join(absent.select(*key), list(key), "left_semi").select(*new.columns)
     else:
@@ -48,6 +51,7 @@ def insert_if_absent(
         index.begin()
     inserted = Observation()
     store.append(new.observe(inserted, F.count(F.lit(1)).alias("rows")), table)
+    stored()
     for index in indexes:
         index.add(store[table] if absent is None else absent)
     return inserted.get["rows"]

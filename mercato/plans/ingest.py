@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,32 +41,43 @@ def load(raw: Mapping[str, DataFrame], store: Store, parents: str = BATCH) -> Lo
     """
     if parents not in (BATCH, BATCH_AND_STORED):
         raise ValueError(f"parents must be {BATCH!r} or {BATCH_AND_STORED!r}, not {parents!r}")
-    known: dict[str, DataFrame] = {}
-    losses: dict[str, list[tuple]] = {}
+    ready: dict[str, Future[DataFrame]] = {t.name: Future() for t in LOAD_ORDER}
 
-    def load_table(table: Table) -> int:
+    def load_table(table: Table) -> tuple[int, list[tuple]]:
+        # Parents come first in the pool, which has a thread for each table.
+        known = {fk.parent: ready[fk.parent].result() for fk in table.references}
         counted = Losses(table.name)
         rows, keys = clean(table.name, raw[table.name], known, counted), None
         is_new = table.name not in store
         if table.name in _PARENTS and not is_new and parents == BATCH:
             # Looked up by the insert and by every child.
             keys = written(rows.select(*table.key), f"batch_{table.name}")
-        inserted = insert_if_absent(rows, store, table.name, table.key, table.unique, keys)
+            ready[table.name].set_result(keys)
+
+        def stored() -> None:
+            """By now the store holds this batch. It holds nothing else if the table is new."""
+            if keys is None:
+                ready[table.name].set_result(store[table.name])
+
+        inserted = insert_if_absent(rows, store, table.name, table.key, table.unique, keys, stored)
         found = counted.rows()
         if found is None:
             found = [tuple(r) for r in rejects(table.name, raw[table.name], known).orderBy("step").collect()]
-        losses[table.name] = found
-        # By now the store holds this batch. It holds nothing else if the table is new.
-        known[table.name] = keys if keys is not None else store[table.name]
-        return inserted
+        return inserted, found
+
+    def guarded(table: Table) -> tuple[int, list[tuple]]:
+        try:
+            return load_table(table)
+        except BaseException as failure:
+            if not ready[table.name].done():
+                ready[table.name].set_exception(failure)
+            raise
 
-    inserted: dict[str, int] = {}
-    for level in _levels():
-        # Tables of a level do not refer to each other: their jobs share the cluster.
-        with ThreadPoolExecutor(len(level)) as pool:
-            inserted.update(zip([t.name for t in level], pool.map(load_table, level)))
-    every = [row for t in LOAD_ORDER for row in losses[t.name]]
-    return Load({t.name: inserted[t.name] for t in LOAD_ORDER}, every)
+    # A table starts when its parents' rows are there; tables that do not refer to each other share the cluster.
+    with ThreadPoolExecutor(len(LOAD_ORDER)) as pool:
+        done = dict(zip([t.name for t in LOAD_ORDER], pool.map(guarded, LOAD_ORDER)))
+    inserted = {name: rows for name, (rows, _) in done.items()}
+    return Load(inserted, [row for _, losses in done.values() for row in losses])
 
 
 def ingest(raw: Mapping[str, DataFrame], store: Store, parents: str = BATCH) -> dict[str, int]:
@@ -74,14 +85,6 @@ def ingest(raw: Mapping[str, DataFrame], store: Store, parents: str = BATCH) ->
     return load(raw, store, parents).inserted
 
 
-def _levels() -> list[list[Table]]:
-    """The tables in groups, each after all the parents of its tables."""
-    depth: dict[str, int] = {}
-    for table in LOAD_ORDER:
-        depth[table.name] = 1 + max((depth[fk.parent] for fk in table.references), default=-1)
-    return [[t for t in LOAD_ORDER if depth[t.name] == n] for n in range(max(depth.values()) + 1)]
-
-
 def reset(store: Store) -> None:
     """Remove all tables, children before parents, for a load from scratch."""
     for table in reversed(LOAD_ORDER):

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Buckets that the keys of a table are dealt into by their hash; a larger store takes more.
-BUCKETS = 64
+BUCKETS = 16
 _BUCKET = "key_bucket"
 
 

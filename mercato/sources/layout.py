@@ -45,13 +45,16 @@ def bucket_by_order(
     return {**others, **bucketed}
 
 
-def write_by_month(df: DataFrame, path: str, moment: str, sort: str, month: str = "purchase_month") -> DataFrame:
-    """Save with one folder per month, sorted by ``sort`` within files.
+def write_by_month(
+    df: DataFrame, path: str, moment: str, sort: str, month: str = "purchase_month", only_months: bool = False
+) -> DataFrame:
+    """Save with one folder per month, sorted by ``sort`` within files; ``only_months``: other months stay.
 
     A range of months reads only its folders, a value of ``sort`` only its row groups. The
     rebalance hint gives each month a few full files and splits a month that is too large.
     """
     spark = df.sparkSession
     by_month = df.withColumn(month, F.date_format(moment, "yyyy-MM")).hint("rebalance", F.col(month))
-    by_month.sortWithinPartitions(month, sort).write.mode("overwrite").partitionBy(month).parquet(path)
+    writer = by_month.sortWithinPartitions(month, sort).write.mode("overwrite").partitionBy(month)
+    writer.option("partitionOverwriteMode", "dynamic" if only_months else "static").parquet(path)
     return spark.read.option("basePath", path).parquet(path)

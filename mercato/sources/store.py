@@ -48,6 +48,14 @@ class Store(Mapping):
     def __len__(self) -> int:
         return len(self._known)
 
+    def files(self, table: str) -> set[str]:
+        """The data files of a table; none if it is not there."""
+        files, path = located(self.spark, self.path(table))
+        if not files.exists(path):
+            return set()
+        names = [status.getPath() for status in files.listStatus(path)]
+        return {str(name.toString()) for name in names if not name.getName().startswith(("_", "."))}
+
     def append(self, df: DataFrame, table: str) -> None:
         df.write.mode("append").parquet(self.path(table))
         self._known.setdefault(table, df.schema)

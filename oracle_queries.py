@@ -299,6 +299,8 @@ def sql(query: str) -> str:
 
     need(query)
     blocks = ",\n".join(f"{name} as ({BLOCKS[name]})" for name in needed)
+    if needed and query.lstrip().startswith("with "):
+        return f"with {blocks},\n{query.lstrip()[5:]}"
     return f"with {blocks}\n{query}" if needed else query
 
 
@@ -820,6 +822,7 @@ QUERIES = {
     "stg_order_reviews": REVIEWS.replace(" from reviews", ", sentiment from stg_reviews"),
     "fct_orders": FCT,
     "fct_orders_bucketed": FCT,
+    "fct_orders_refreshed": FCT,
     "dim_customers": "select * from stg_customers",
     "dim_sellers": "select * from stg_sellers",
     "dim_products": f"""select product_id, product_category_name, category_name_english,
@@ -862,6 +865,23 @@ QUERIES = {
                where geolocation_lat < 0) then 1 end) from stg_sellers
         union all
         select 'geolocation', count(*), count(*) from geo where geolocation_lat >= 0""",
+    **{
+        f"after_delete_{table}": f"""select * from ({query})
+            where order_id not in (select order_id from ord where order_status = 'shipped')"""
+        for table, query in (
+            ("orders", ORDERS),
+            ("order_items", ITEMS),
+            ("payments", PAYMENTS),
+            ("order_reviews", REVIEWS),
+        )
+    },
+    "after_delete_geolocation": f"select * from ({GEO}) where geolocation_lat >= 0",
+    **{
+        f"after_delete_{table}": f"""select * replace (case when {zip} not in
+            (select geolocation_zip_code_prefix from geo where geolocation_lat < 0) then {zip} end as {zip})
+            from {table}"""
+        for table, zip in (("customers", "customer_zip_code_prefix"), ("sellers", "seller_zip_code_prefix"))
+    },
     # Further reports.
     "delay_impact_on_reviews": DELAY,
     "revenue_by_category": """select coalesce(category_name_english, 'no category') as category,
@@ -905,5 +925,41 @@ QUERIES = {
 }
 
 
+def _metres(a: str, b: str) -> str:
+    """Great-circle distance between two places of the block geo."""
+    half = f"""pow(sin(radians({b}.geolocation_lat::double - {a}.geolocation_lat::double) / 2), 2)
+        + cos(radians({a}.geolocation_lat::double)) * cos(radians({b}.geolocation_lat::double))
+        * pow(sin(radians({b}.geolocation_lng::double - {a}.geolocation_lng::double) / 2), 2)"""
+    return f"cast(round(2 * 6371000 * asin(sqrt(least({half}, 1.0)))) as bigint)"
+
+
+QUERIES["cohorts"] = f"""
+with active as (
+    select customer_unique_id, date_trunc('month', purchased_at) as month, count(*) as orders
+    from stg_orders o join stg_customers c on o.customer_id = c.customer_id where purchased_at is not null group by 1, 2),
+first as (select customer_unique_id, min(month) as cohort from active group by 1),
+matrix as (
+    select cohort, date_diff('month', cohort, month) as months_since, count(*) as shoppers,
+           cast(sum(orders) as bigint) as orders
+    from active join first using (customer_unique_id) group by 1, 2)
+select strftime(cohort, '%Y-%m') as cohort_month, months_since, shoppers, orders,
+       {share("shoppers", "first_value(shoppers) over (partition by cohort order by months_since)")} as pct_of_cohort
+from matrix"""
+QUERIES["distance_by_state_pair"] = f"""
+with pairs as (
+    select s.state as seller_state, c.state as customer_state, {_metres("a", "b")} as metres
+    from stg_items i join stg_orders o on i.order_id = o.order_id join stg_customers c on o.customer_id = c.customer_id
+    join stg_sellers s on i.seller_id = s.seller_id join geo a on a.geolocation_zip_code_prefix = s.zip_code
+    join geo b on b.geolocation_zip_code_prefix = c.zip_code)
+select seller_state, customer_state, count(*) as total_items, cast(sum(metres) // count(*) as bigint) as avg_metres,
+       min(metres) as min_metres, max(metres) as max_metres
+from pairs group by 1, 2"""
+QUERIES["nearest_sellers"] = f"""
+select a.geolocation_zip_code_prefix as zip_code,
+       arg_min(b.geolocation_zip_code_prefix, ({_metres("a", "b")}, b.geolocation_zip_code_prefix)) as nearest_zip,
+       min({_metres("a", "b")}) as metres
+from geo a, geo b where b.geolocation_zip_code_prefix in (select zip_code from stg_sellers) group by 1"""
+
+
 def oracle() -> dict[str, str]:
     return {name: sql(query) for name, query in QUERIES.items()}

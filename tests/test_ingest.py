@@ -5,7 +5,7 @@ import pytest
 from helpers import column, raw_text, tuples, typed
 from mercato.operators.upsert import insert_if_absent
 from mercato.plans.clean import rejects
-from mercato.plans.ingest import BATCH, BATCH_AND_STORED, _levels, ingest, ingest_folder, load, reset
+from mercato.plans.ingest import BATCH, BATCH_AND_STORED, ingest, ingest_folder, load, reset
 from mercato.schemas import LOAD_ORDER
 from mercato.sources.store import DerivedStore, Store
 
@@ -65,14 +65,10 @@ def test_reset(spark, store):
     assert "orders" not in store and "orders" not in Store(spark, store.root)
 
 
-def test_levels_put_parents_first():
-    names = [{t.name for t in level} for level in _levels()]
-    assert names[2] == {"orders"}
-    seen = set()
-    for level in _levels():
-        assert all(fk.parent in seen for t in level for fk in t.references)
-        seen |= {t.name for t in level}
-    assert len(seen) == 9
+def test_a_failing_parent_fails_its_children(spark, raw, tmp_path):
+    broken = {**raw, "customers": raw["customers"].drop("customer_id")}
+    with pytest.raises(Exception, match="customer_id"):
+        load(broken, Store(spark, str(tmp_path / "store")))
 
 
 def batch(spark, orders, payments):
