@@ -37,6 +37,8 @@ EPOCHS, BATCH, RATE = 6, 32, 0.01
 REMEMBERED = 1 << 18
 #: Blocks that are labelled at once.
 AT_ONCE = 1 << 14
+#: Blocks whose vectors are held at once.
+STRETCH = 1 << 12
 
 #: Names that speak against the article or for it. Fixed values.
 ASIDE = frozenset(
@@ -169,10 +171,13 @@ class Labeller:
             self.p |= {f"W{way}": draw(DENSE, 4 * HIDDEN), f"U{way}": draw(HIDDEN, 4 * HIDDEN), f"b{way}": bias}
 
     def forward(self, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, dict]:
-        """Log odds (pages, blocks) for vectors (pages, blocks, size); masked blocks leave the state as it is."""
+        """Log odds (pages, blocks) for vectors (pages, blocks, size), and what the gradient needs."""
+        return self.odds(np.tanh(x @ self.p["E"]), mask, kept={})
+
+    def odds(self, dense: np.ndarray, mask: np.ndarray, kept: dict | None = None) -> tuple[np.ndarray, dict | None]:
+        """Log odds for projected vectors; masked blocks leave the state as it is. Only ``kept`` remembers each step."""
         p, (pages, steps) = self.p, mask.shape
-        dense = np.tanh(x @ p["E"])
-        states, kept = np.zeros((pages, steps, 2 * HIDDEN), np.float32), {"dense": dense}
+        states = np.zeros((pages, steps, 2 * HIDDEN), np.float32)
         for k, way in enumerate("fb"):
             inputs = dense @ p[f"W{way}"] + p[f"b{way}"]
             h = c = np.zeros((pages, HIDDEN), np.float32)
@@ -184,13 +189,21 @@ class Labeller:
                 m = mask[:, t, None]
                 after = f * c + i * g
                 tanh = np.tanh(after)
-                trail.append((t, h, c, i, f, o, g, tanh, m))
+                if kept is not None:
+                    trail.append((t, h, c, i, f, o, g, tanh, m))
                 c, h = m * after + (1 - m) * c, m * o * tanh + (1 - m) * h
                 states[:, t, k * HIDDEN : (k + 1) * HIDDEN] = h
-            kept[way] = trail
-        kept["states"] = states
+            if kept is not None:
+                kept[way] = trail
+        if kept is not None:
+            kept |= {"dense": dense, "states": states}
         return (states @ p["V"] + p["v"])[:, :, 0], kept
 
+    def dense(self, page: list[Block]) -> np.ndarray:
+        """The projected vectors of a page, worked out some blocks at a time."""
+        parts = [page[n : n + STRETCH] for n in range(0, len(page), STRETCH)]
+        return np.concatenate([np.tanh(vectors(part) @ self.p["E"]) for part in parts])
+
     def gradients(self, x: np.ndarray, mask: np.ndarray, labels: np.ndarray) -> dict:
         p = self.p
         odds, kept = self.forward(x, mask)
@@ -244,8 +257,8 @@ class Labeller:
             longest = len(pages[waiting[-1]])
             part = waiting[-max(AT_ONCE // longest, 1) :]
             del waiting[-len(part) :]
-            x, mask, _ = padded([vectors(pages[n]) for n in part])
-            odds, _ = self.forward(x, mask)
+            dense, mask, _ = padded([self.dense(pages[n]) for n in part])
+            odds, _ = self.odds(dense, mask)
             for n, row in zip(part, odds):
                 out[n] = row[: len(pages[n])] > 0
         return out

@@ -20,13 +20,15 @@ SKIPPED = frozenset("iframe noembed noframes noscript script style svg template
 HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: Elements that end an open element of the same group.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}}
-#: Ancestors that a path names at most, nearest ones.
-DEPTH = 10
-
+# A quote opens a value only right after the equals sign; elsewhere it is an ordinary character. One that is never
+# closed ends where the tag does.
+_VALUE = r"""\s*+=\s*+("[^"]*+"|'[^']*+'|["'][^>]*+|[^\s>]++)?"""
+_ATTRIBUTE = re.compile(rf"([^\s/>=]++)(?:{_VALUE})?|=")
+_ATTRIBUTES = rf"(?:[\s/]++|[^\s/>=]++(?:{_VALUE})?|=)*+"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|[^<]++|<", re.S
+    rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)({_ATTRIBUTES})(?:>|\Z)|[^<]++|<", re.S
 )
-_ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=\s|/|$)""", re.I)
+_NAMING = frozenset(("class", "id", "role", "hidden"))
 _WORD = re.compile(r"[A-Za-z]+|\d+")
 
 
@@ -44,16 +46,20 @@ class _Page:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     head: bool = False
+    #: The names of all open elements, each once, from the root; blocks of one element share it.
+    path: tuple[str, ...] | None = None
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            path = tuple(name for _, names in self.stack[-DEPTH:] for name in names)
-            self.blocks.append(Block(text, path, min(self.linked, len(text))))
+            if self.path is None:
+                self.path = tuple(dict.fromkeys(name for _, names in self.stack for name in names))
+            self.blocks.append(Block(text, self.path, min(self.linked, len(text))))
         self.parts.clear()
         self.linked = 0
 
     def leave_head(self) -> None:
+        self.path = None
         for at in range(len(self.stack) - 1, -1, -1):
             if self.stack[at][0] == "head":
                 del self.stack[at:]
@@ -64,6 +70,7 @@ class _Page:
             self.parts.append(" ")
         if tag in BLOCKS:
             self.flush()
+            self.path = None
             # An open paragraph, or sibling of a list or table, ends here; what is open inside it ends too.
             ends = {"p"} | SIBLINGS.get(tag, set())
             for at in range(len(self.stack) - 1, -1, -1):
@@ -75,9 +82,11 @@ class _Page:
         if tag not in VOID:
             names = [tag]
             for key, value in _ATTRIBUTE.findall(attributes):
-                words = _WORD.findall(value.lower()) if key.lower() != "hidden" else ["hidden"]
-                names += [f".{w}" for w in words]
+                if key.lower() in _NAMING:
+                    words = _WORD.findall(value.lower()) if key.lower() != "hidden" else ["hidden"]
+                    names += [f".{w}" for w in words]
             self.stack.append((tag, tuple(names)))
+            self.path = None
             self.head |= tag == "head"
 
     def close(self, tag: str) -> None:
@@ -86,6 +95,7 @@ class _Page:
         for at in range(len(self.stack) - 1, -1, -1):
             if self.stack[at][0] == tag:
                 del self.stack[at:]
+                self.path = None
                 break
             # An end tag inside a block does not end an element around it.
             if tag not in BLOCKS and self.stack[at][0] in BLOCKS:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 from collections import Counter
 from zlib import crc32
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from cases import ROWS, clashing, documents, rows_of
 from cases import SMALL
 from mercato.llm import extraction, language, perplexity, url_filter
-from mercato.llm.markup import blocks
+from mercato.llm.markup import Block, blocks
 from mercato.llm.queries import QUERIES
 
 
@@ -225,6 +226,45 @@ def test_blocks():
     assert blocks(None) == blocks("") == blocks("<!-- open") == blocks("<script>never closed <p>x</p>") == []
 
 
+@pytest.mark.parametrize(
+    "page, texts",
+    [
+        ("<article><p title='it's'>Hello world</p>", ["Hello world"]),
+        ('a <a href=x"y>link</a> b', ["a link b"]),
+        ('<p title="a>Hello', ["Hello"]),
+        ("<p title='a>Hello</p><p>more", ["Hello", "more"]),
+        ('<p title="a>b" class=x>Hello</p>', ["Hello"]),
+        ('<p "quoted" it\'s class=x>Hello</p>', ["Hello"]),
+        ("<p title=>Hello<p title = 'x' y>more<p/title=x/>end", ["Hello", "more", "end"]),
+        ("<p =x>Hello<p ==>more", ["Hello", "more"]),
+        ("1 < 2 <3 <p>Hello</p> <p class='x", ["1 < 2 <3", "Hello"]),
+        ("Hello <!doctype", ["Hello"]),
+    ],
+)
+def test_stray_quotes_and_open_values(page, texts):
+    assert [b.text for b in blocks(page)] == texts
+
+
+def test_attributes_name_the_path():
+    page = "<div CLASS='main post' data-class=no id=top role = \"x y\" it's hidden>Hello"
+    assert blocks(page)[0].path == ("div", ".main", ".post", ".top", ".x", ".y", ".hidden")
+
+
+def test_a_path_names_all_containers():
+    deep = "<section class=comments>" + "<div>" * 30 + "Hello" + "</div>" * 30 + "after</section>"
+    assert [b.path for b in blocks(deep)] == [("section", ".comments", "div"), ("section", ".comments")]
+
+
+def test_a_page_of_very_many_blocks():
+    page = [Block(f"block {n}", ("html", "body", "article", "p")) for n in range(200_000)]
+    labeller = extraction.Labeller()
+    tracemalloc.start()
+    labels = labeller.label([page, page[:3]])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [len(found) for found in labels] == [200_000, 3] and most < 500 << 20
+
+
 def test_head_without_an_end_tag():
     start = "<html><head><meta charset=x><title>T</title><style>p{}</style><script>1</script> "
     for page in ("<body><p>One</p>", "<p>One</p>", "<svg></svg>One", "One", "<b>One</b>", "</head><body><p>One"):
