@@ -565,12 +565,16 @@ def _corpus_queries() -> tuple[dict[str, Query], dict[str, str]]:
     found, sql = {}, {}
     try:
         from mercato.llm import queries as corpus
-    except ImportError:
+    except ImportError as missing:
+        if missing.name not in ("mercato.llm", "mercato.llm.queries"):
+            raise
         return found, sql
     found, sql = dict(corpus.QUERIES), dict(corpus.SQL)
     try:
         import corpus_pipeline
-    except ImportError:
+    except ImportError as missing:
+        if missing.name != "corpus_pipeline":
+            raise
         return found, sql
     found["pipeline"] = corpus_pipeline.run
     if corpus_pipeline.ORACLE_SQL:
