@@ -83,6 +83,37 @@ def test_cascade_agrees_with_the_verdict_in_any_order(spark):
     assert not bad & kept
 
 
+def test_rules_have_one_order_however_the_table_is_cut(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    orders = {tuple(r.name for r in quality.order_rules(docs.repartition(n % 7 + 1))) for n in range(10)}
+    assert len(orders) == 1
+
+
+def test_order_by_what_earlier_rules_left(spark):
+    """Of two rules that reject the same documents the second has nothing left to reject and goes last."""
+    many, few = (lambda m: m("n_symbols") > 0), (lambda m: m("n_shouts") > 0)
+    rules = (
+        quality.Rule("few", ("n_shouts",), few),
+        quality.Rule("again", ("n_symbols", "n_shouts"), many),
+        quality.Rule("many", ("n_symbols",), many),
+        quality.Rule("none", ("n_words",), lambda m: m("n_words") < 0),
+    )
+    texts = ["# sign"] * 30 + ["so!!"] * 10 + ["plain words"] * 60
+    docs = documents(spark, [(n, t, "en", "a", 1) for n, t in enumerate(texts)])
+    found = quality.estimates(docs, rules)
+    assert [(e.rule.name, e.reached, e.rejected) for e in found] == [
+        ("many", 100, 30), ("few", 70, 10), ("none", 60, 0), ("again", 60, 0),
+    ]
+    rejected = {r["doc_id"]: r["rejected_by"] for r in quality.judge(docs, rules).collect()}
+    assert rejected == {n: "many" if n < 30 else "few" if n < 40 else None for n in range(100)}
+
+
+def test_measures_are_worked_out_once(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    plan = quality.measured(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[#*$%&|<>]") == 1 and plan.count("array_join") == 1 and plan.count("[A-Z]") == 1
+
+
 def filled(sizes, weights=(1, 2, 3), most=3):
     """Targets by sharing out again and again."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
