@@ -147,14 +147,18 @@ class Estimate:
 
 
 def estimates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> list[Estimate]:
-    """The cascade for ``docs``, from the ``rows`` documents with the smallest hashes of doc_id and text.
+    """The cascade for ``docs``, from the ``rows`` different documents with the smallest hashes of doc_id and text.
 
     Each next rule rejects most for its cost among the documents that the earlier ones left; where none rejects any, the
-    cheaper goes first. The driver sees one row for each set of rules that reject a document of the sample together.
+    cheaper goes first. The greatest hash of the sample is found first, from the hashes alone, so no text is
+    shuffled but the sample's. The driver sees one row for each set of rules that reject a document of it together.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.where(F.octet_length("text") <= SAMPLE_BYTES)
-    sample = texts.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(rows)
+    texts = texts.select(F.xxhash64("doc_id", "text").alias("print"), "text")
+    last = texts.select("print").distinct().orderBy("print").limit(rows).agg(F.max("print")).first()[0]
+    sample = texts.where(F.col("print") <= F.lit(last).cast("bigint"))
+    sample = sample.groupBy("print").agg(F.first("text").alias("text"))
     text, w = F.col("text"), F.col("w")
     judged = sample.select("text", words(text).alias("w")).select(
         F.array(*[rule.rejects(fresh(text, w)) for rule in rules]).alias("rejects"),
