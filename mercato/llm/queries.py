@@ -61,10 +61,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages have no labels of their own: the label of the document with a page's id stands for its outcome."""
-    bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
-    judged = url_filter.judge(table(spark, sf_dir, "pages"), labels)
+    """A page's outcome is read from the page itself."""
+    pages = table(spark, sf_dir, "pages")
+    judged = url_filter.judge(pages, url_filter.page_outcomes(pages))
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 

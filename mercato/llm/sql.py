@@ -116,7 +116,7 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from judged
 """
 
-_SECOND = "ac|co|com|edu|gov|net|org"
+_SECOND = "ac|co|com|edu|go|gob|gov|govt|gouv|ltd|me|mil|ne|net|nom|or|org|plc|sch"
 
 
 def _level(name: str, source: str, own: str) -> str:
@@ -136,26 +136,34 @@ def _level(name: str, source: str, own: str) -> str:
 )"""
 
 
+_MARKUP = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>|&#?[a-z0-9]{1,32};"
+
 OP9 = rf"""
 with urls as (
-  select page_id,
+  select *, regexp_replace(regexp_replace(host, '^.*@', ''), '\.?(?::[0-9]*)?\z', '') as name from (select page_id,
     translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), {_LOWER}) as host,
     regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) as path
-  from pages
+  from pages)
 ),
 known as (
-  select doc_id as page_id, max(case when quality = 0 or toxic = 1 then 1 else 0 end) as outcome
-  from labels where doc_id is not null group by doc_id
+  select doc_id as page_id, max(case when kept then 0 else 1 end) as outcome from (
+    with documents as (
+      select page_id as doc_id, regexp_replace(coalesce(html, ''), '{_MARKUP}', ' ', 'g') as text from pages
+    ), {OP8.strip().removeprefix("with ")}
+  ) where doc_id is not null group by doc_id
 ),
 counted as (
-  select host, count(outcome) as n, coalesce(cast(sum(outcome) as bigint), 0) as bad
-  from urls left join known using (page_id) group by host
+  select name, count(outcome) as n, coalesce(cast(sum(outcome) as bigint), 0) as bad
+  from urls left join known using (page_id) group by name
 ),
 hosts as (
-  select *, case when regexp_extract(host, '(?:^|\.)([^.]+\.(?:(?:{_SECOND})\.[a-z][a-z]|[^.]+))$', 1) = '' then host
-    else regexp_extract(host, '(?:^|\.)([^.]+\.(?:(?:{_SECOND})\.[a-z][a-z]|[^.]+))$', 1) end as domain,
-    regexp_extract(host, '(?:^|\.)((?:{_SECOND})\.[a-z][a-z]|[^.]+)$', 1) as suffix
-  from counted
+  select *, case when address or found = '' then name else found end as domain,
+    case when address then '[]' else regexp_extract(name, '(?:^|\.)((?:{_SECOND})\.[a-z][a-z]|[^.]+)$', 1) end as suffix
+  from (
+    select *, regexp_matches(name, '^(?:[0-9]+(?:\.[0-9]+){{3}}|\[.*\])\z') as address,
+      regexp_extract(name, '(?:^|\.)([^.]+\.(?:(?:{_SECOND})\.[a-z][a-z]|[^.]+))$', 1) as found
+    from counted
+  )
 ),
 suffix_rows as (
   select suffix, cast(sum(n) as bigint) as n, cast(sum(bad) as bigint) as bad,
@@ -170,12 +178,12 @@ domain_rows as (
 ),
 {_level("domains", "domain_rows", "domain, suffix")},
 host_rows as (
-  select host, n, bad, alpha / (alpha + beta) as mean
+  select name, n, bad, alpha / (alpha + beta) as mean
   from hosts h join domains d on h.domain = d.domain and h.suffix = d.suffix
 ),
-{_level("judged", "host_rows", "host")},
+{_level("judged", "host_rows", "name")},
 bounds as (
-  select host, alpha / (alpha + beta)
+  select name, alpha / (alpha + beta)
     - 1.645 * sqrt(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1))) as lower_bound
   from judged
 ),
@@ -187,7 +195,7 @@ ruled as (
     when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/es/') then 'net/es/'
     when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/fr/') then 'net/fr/'
     when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/') then 'com/' end as rule
-  from urls u join bounds using (host)
+  from urls u join bounds using (name)
 )
 select page_id, host, path, rule, case
   when rule in ('com/', 'www.example.com/en/') then 'allow' when rule is not null then 'block'
