@@ -256,7 +256,7 @@ def test_reputations_predict_outcomes_where_hosts_differ(spark):
     clean = " ".join(f"word{n}" for n in range(80))
     chance = random.Random(5)
     rows = [
-        (n, f"http://h{n % 40}.example{n % 7}.org/{n}", "<p>few" if chance.random() * 40 < n % 40 else f"<p>{clean}")
+        (n, f"http://h{n % 40}.example{n % 40 % 7}.org/{n}", "<p>few" if chance.random() * 40 < n % 40 else f"<p>{clean}")
         for n in range(600)
     ]
     by_host, overall = held_out_errors(spark, pages(spark, rows))
