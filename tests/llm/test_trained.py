@@ -138,6 +138,20 @@ def test_seating_limits():
     assert (perplexity.seat(counts, np.full(5, 1e18), 0.5, rng) == counts).all()
 
 
+def test_frequent_tokens_are_those_of_all_tasks(spark):
+    # In each task 33,000 words come before the one that is the most frequent of all.
+    words = "concat_ws(' ', flatten(transform(sequence(1, 33000), n -> array(concat(n, '-', id), concat(n, '-', id)))), 'shared')"
+    docs = spark.range(3, numPartitions=3).selectExpr(f"{words} as text", "false as held_out")
+    assert perplexity.vocabulary(docs).numbers[perplexity.code_of(b"shared")] == 0
+
+
+def test_counts_passed_on_in_parts(spark, monkeypatch):
+    docs = spark.createDataFrame([("a b c d", False), ("b c d e a", False), ("a c", False)], "text string, held_out boolean")
+    whole = perplexity.vocabulary(docs.coalesce(1)).numbers
+    monkeypatch.setattr(perplexity, "HELD", 3)
+    assert perplexity.vocabulary(docs.coalesce(1)).numbers == whole
+
+
 def test_scores_without_training(spark):
     assert perplexity.score(documents(spark, [])).collect() == []
     alone = [i for i in range(1000) if crc32(str(i).encode()) % 10 == 0][:2]
