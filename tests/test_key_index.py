@@ -7,7 +7,7 @@ from conftest import executed_plan
 from helpers import tuples
 from mercato.operators.upsert import insert_if_absent
 from mercato.session import written
-from mercato.sources.key_index import located
+from mercato.sources.key_index import KeyIndex, located
 from mercato.sources.store import Store
 
 
@@ -94,3 +94,15 @@ def test_a_batch_that_is_stored_costs_its_keys(spark, store):
 
     assert insert_if_absent(rows.withColumn("v", touched("v")), store, "t", ["key"]) == 0
     assert worked.value == 0
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4k")
+    try:
+        index = KeyIndex(spark, str(tmp_path / "keys"), ["id"], 2)
+        index.add(spark.range(0, 40000, 1, 8))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    stored = spark.read.parquet(index.folder)
+    assert stored.count() == 40000
+    assert stored.where("key_bucket = 0").select(F.input_file_name()).distinct().count() > 1
