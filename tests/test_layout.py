@@ -61,3 +61,9 @@ def test_months_and_statuses_are_skipped(spark, lake, tmp_path):
         "purchased_at >= '1996-01-01' and purchased_at < '1996-04-01' and order_status = 'delivered'"
     )
     assert some.count() == want.count() > 0
+
+
+def test_buckets_and_files_grow_with_the_table(spark):
+    rows = spark.range(20_000_000)
+    assert layout.buckets_for(rows) > spark.sparkContext.defaultParallelism
+    assert layout.files_for(rows, least=4) == 10 and layout.files_for(spark.range(10), least=4) == 4
