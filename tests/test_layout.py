@@ -5,7 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import executed_plan
+import __spark_entry__ as contract
+from conftest import SMALL, executed_plan
 from helpers import tuples
 from mercato.plans.analytics import seller_footprint
 from mercato.plans.marts import fct_orders
@@ -67,3 +68,9 @@ def test_buckets_and_files_grow_with_the_table(spark):
     rows = spark.range(20_000_000)
     assert layout.buckets_for(rows) > spark.sparkContext.defaultParallelism
     assert layout.files_for(rows, least=4) == 10 and layout.files_for(spark.range(10), least=4) == 4
+
+
+def test_tasks_whose_rows_can_be_sorted_in_memory(spark):
+    contract._raw(spark, SMALL)
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") in ("16m", str(16 << 20), f"{16 << 20}b")
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") in ("32m", str(32 << 20), f"{32 << 20}b")
