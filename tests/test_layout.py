@@ -70,6 +70,14 @@ def test_buckets_and_files_grow_with_the_table(spark):
     assert layout.files_for(rows, least=4) == 10 and layout.files_for(spark.range(10), least=4) == 4
 
 
+def test_deletes_start_from_files_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(layout, "FILE_BYTES", 500)
+    monkeypatch.setattr(contract, "_AFTER_DELETE", {})
+    assert contract._after_delete("orders", "order_status = 'shipped'", "payments")(spark, SMALL).count() > 0
+    (store,) = contract._AFTER_DELETE.values()
+    assert len(store.files("customers")) > 4
+
+
 def test_tasks_whose_rows_can_be_sorted_in_memory(spark):
     contract._raw(spark, SMALL)
     assert spark.conf.get("spark.sql.files.maxPartitionBytes") in ("16m", str(16 << 20), f"{16 << 20}b")
