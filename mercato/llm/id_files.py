@@ -16,7 +16,7 @@ files, itself a written table, names only files of attempts that succeeded, so l
 leave files that nothing reads, but never a wrong one. Files are written through pyarrow, which needs a folder it can
 reach, and read through Spark.
 
-Memory: a batch of texts, which Spark bounds in bytes, the pieces of ``STRETCH`` characters, ``REMEMBERED`` pieces, one
+Memory: a batch of texts, which Spark bounds in bytes, the words or pieces of ``STRETCH`` characters, ``REMEMBERED`` of them, one
 compressed file, and the ids of one document; a piece is a word, and one without an end is as long as its text.
 
 Defined results: null and empty texts are the end id alone. A null doc_id comes first; rows that share a doc_id stand in
@@ -53,8 +53,10 @@ MAGIC = b"IDPLANE1"
 #: Ids of a block, ids after which a file ends, and zstandard's level.
 BLOCK, FILE_IDS, LEVEL = 1 << 16, 1 << 22, 3
 END_ID = 0
-#: Characters of a text whose pieces are listed at once, and pieces that a worker remembers (some 200 MB).
+#: Characters of a text whose pieces are listed at once, and words and pieces that a worker remembers (some 200 MB).
 STRETCH, REMEMBERED = 1 << 20, 1_000_000
+#: Characters of the longest word that is remembered.
+WORD = 40
 # How the library describes byte-level tokenizers that cut by the pattern, and the pattern.
 BYTE_LEVEL = (
     "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)",
@@ -186,8 +188,30 @@ class _Pieces(dict):
         return found
 
 
+class _Words(dict):
+    """The ids, as bytes, of what stood between two blanks, with the blank before it.
+
+    A blank between characters that are no white space begins a piece, and no piece goes on over it: what follows it,
+    up to the next one, has the same ids everywhere. Where white space stands beside a blank this is not so, and there
+    is no value.
+    """
+
+    def __init__(self, pieces: _Pieces):
+        self.pieces = pieces
+
+    def __missing__(self, word: str) -> bytes:
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise KeyError(word)
+        pattern, met = ASCII_PIECE if word.isascii() else PIECE, len(self.pieces)
+        found = b"".join(map(self.pieces.__getitem__, pattern.findall(" " + word)))
+        # A word with a piece never met before may be one that never comes again.
+        if len(word) <= WORD and len(self.pieces) == met:
+            self[word] = found
+        return found
+
+
 class Encoder:
-    """The ids of texts, each piece of a text encoded once.
+    """The ids of texts, each word and each piece of a text encoded once.
 
     A byte-level tokenizer cuts a text into pieces by a fixed pattern and encodes each on its own, so pieces can be
     remembered: words come again. Other tokenizers, and texts that name a special token, take whole texts.
@@ -198,6 +222,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         self.known = _Pieces(self.library.model)
+        self.words = _Words(self.known)
         self.special = [token.content for token in self.library.get_added_tokens_decoder().values()]
         self.by_pieces = self.library.normalizer is None and str(self.library.pre_tokenizer) in BYTE_LEVEL
 
@@ -207,15 +232,29 @@ class Encoder:
                 found = self.library.encode_batch_fast([text], add_special_tokens=False)[0]
                 yield np.array(found.ids, "<u4")
                 continue
-            if len(self.known) > REMEMBERED:
+            if len(self.known) + len(self.words) > REMEMBERED:
                 self.known.clear()
-            pattern = ASCII_PIECE if text.isascii() else PIECE
-            if len(text) <= STRETCH:
-                ids = b"".join(map(self.known.__getitem__, pattern.findall(text)))
-            else:
-                pieces = map(itemgetter(0), pattern.finditer(text))
-                ids = b"".join([b"".join(map(self.known.__getitem__, some)) for some in batched(pieces, STRETCH)])
-            yield np.frombuffer(ids, "<u4")
+                self.words.clear()
+            yield np.frombuffer(self._by_words(text) or self._by_pieces(text), "<u4")
+
+    def _by_words(self, text: str) -> bytes | None:
+        """None where the text is too long to list its words, or a blank has white space beside it."""
+        if len(text) > STRETCH or "  " in text:
+            return None
+        first, *words = text.split(" ")
+        if not first or first[-1].isspace():
+            return None
+        try:
+            return self._by_pieces(first) + b"".join(map(self.words.__getitem__, words))
+        except KeyError:
+            return None
+
+    def _by_pieces(self, text: str) -> bytes:
+        pattern = ASCII_PIECE if text.isascii() else PIECE
+        if len(text) <= STRETCH:
+            return b"".join(map(self.known.__getitem__, pattern.findall(text)))
+        pieces = map(itemgetter(0), pattern.finditer(text))
+        return b"".join([b"".join(map(self.known.__getitem__, some)) for some in batched(pieces, STRETCH)])
 
 
 @cache

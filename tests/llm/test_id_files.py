@@ -79,6 +79,31 @@ def _library():
     return Tokenizer.from_file(PATH)
 
 
+@given(st.lists(st.sampled_from(["a", "don't", "'s", "é", "中文", "7,", "", "\n", "\t", "\xa0", "\x1c", "\u3000", "."]), max_size=8))
+@settings(max_examples=300, deadline=None)
+def test_white_space_beside_blanks(words):
+    encoder, text = id_files._encoder(PATH), " ".join(words)
+    want = encoder.library.encode(text, add_special_tokens=False).ids
+    assert [ids.tolist() for ids in encoder.encode([text, text])] == [want, want]
+
+
+def test_a_word_that_comes_again_is_cut_once(monkeypatch):
+    encoder, cut = id_files.Encoder(PATH), []
+    pattern = id_files.ASCII_PIECE
+
+    class Counting:
+        def findall(self, text):
+            cut.append(text)
+            return pattern.findall(text)
+
+    monkeypatch.setattr(id_files, "ASCII_PIECE", Counting())
+    first, *again = encoder.encode(["A word, once"] + ["A word, A word, once once"] * 3)
+    assert [cut.count(word) for word in (" word,", " once")] == [2, 2]
+    assert again[0].tolist() == encoder.library.encode("A word, A word, once once", add_special_tokens=False).ids
+    assert len(first) and all((ids == again[0]).all() for ids in again)
+    assert max(map(len, cut)) < len("A word, A word")
+
+
 def test_every_character_is_cut_alike():
     codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     around = lambda c: f"a{c}1{c}!{c} {c}\n{c}{c}'{c} "
