@@ -10,6 +10,7 @@ from helpers import column, tuples
 from mercato.functions.numbers import exact_average, percent, rounded_to_whole, to_number, to_whole, to_wide
 from mercato.functions.text import MISSING_TOKENS, WHITE_SPACE, strip, without_missing_tokens, zero_fill
 from mercato.functions.times import day_name, day_of_week, days_between, month_name, to_utc
+from mercato.session import configure_tables
 
 TEXT = T.StringType()
 
@@ -116,3 +117,20 @@ def test_numbers_beyond_the_type_keep_size_and_sign(spark):
     assert column(doubles.select(to_wide(F.col("v"), T.DoubleType()))) == want
     assert column(texts(spark, ["1e-12", "1e30"]).select(to_whole(F.col("v"), TEXT))) == [None, None]
     assert column(texts(spark, ["1e30"]).select(rounded_to_whole(F.col("v"), TEXT, "decimal(38,0)"))) == [10**28]
+
+
+def test_blanks_that_a_cast_cuts_or_leaves(spark):
+    """Texts that are read at once and texts that are not give the same."""
+    given = ["\x017", "\x01 7", "7\xa0", "\xa07", "7\x01\xa0", "\xa0\x017", "\x7f7", "٣7", "٠", "-0", "0.00000000001"]
+    df = texts(spark, given).select(to_whole(F.col("v"), TEXT).alias("n"), to_wide(F.col("v"), TEXT).alias("w"))
+    assert column(df.select("n")) == [7, 7, 7, 7, 7, 7, None, 37, None, 0, None]
+    assert column(df.select("w"))[-2:] == [Decimal(0), Decimal("0.0000000001")]
+    dates = [" 2017-10-02", "2017-10-02 ", "2017-10-02\xa0", "\xa02017-10-02 10:56", "\x012017-10-02", "2017-10-02\x7f"]
+    got = column(texts(spark, dates).select(F.date_format(to_utc(F.col("v"), TEXT), "yyyy-MM-dd HH:mm")))
+    assert got == ["2017-10-02 00:00"] * 3 + ["2017-10-02 10:56", None, "2017-10-02 00:00"]
+
+
+def test_methods_are_short_enough_to_be_compiled(spark):
+    """The JVM interprets a method of more than 8,000 bytes for ever."""
+    configure_tables(spark)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) == 8000
