@@ -16,8 +16,9 @@ files, itself a written table, names only files of attempts that succeeded, so l
 leave files that nothing reads, but never a wrong one. Files are written through pyarrow, which needs a folder it can
 reach, and read through Spark.
 
-Memory: a batch of texts, which Spark bounds in bytes, the words or pieces of ``STRETCH`` characters, ``REMEMBERED`` of them, one
-compressed file, and the ids of one document; a piece is a word, and one without an end is as long as its text.
+Memory: a batch of texts, which Spark bounds in bytes, the words of ``GROUP`` or pieces of ``STRETCH`` characters,
+``REMEMBERED`` of them and those of one group, one compressed file, and the ids of one document; a piece is a word, and one
+without an end is as long as its text.
 
 Defined results: null and empty texts are the end id alone. A null doc_id comes first; rows that share a doc_id stand in
 order of their texts' hashes. Repeated rows are written each. An empty table has an index without files. Only doc_id and
@@ -31,13 +32,16 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator, Sequence
-from functools import cache
+from codecs import charmap_decode
+from collections.abc import Callable, Iterator, Sequence
+from functools import cache, lru_cache
 from itertools import batched
 from operator import itemgetter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyarrow import fs
@@ -57,6 +61,8 @@ END_ID = 0
 STRETCH, REMEMBERED = 1 << 20, 1_000_000
 #: Characters of the longest word that is remembered.
 WORD = 40
+#: Characters of the texts whose words are looked up together, and how many are worth it.
+GROUP, LEAST = 1 << 22, 1 << 16
 # How the library describes byte-level tokenizers that cut by the pattern, and the pattern.
 BYTE_LEVEL = (
     "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)",
@@ -70,6 +76,7 @@ ASCII_PIECE = re.compile(
 # Byte-level models write a byte as a letter: itself where Latin-1 has a visible one, else the next one from 256 on.
 _HIDDEN = [*range(33), 127, *range(128, 161), 173]
 BYTE_LETTERS = {byte: 256 + n for n, byte in enumerate(_HIDDEN)}
+_LETTERS = "".join(chr(BYTE_LETTERS.get(byte, byte)) for byte in range(256))
 BYTE, BIT = 4, 32
 _TAIL = struct.Struct("<QQQQII8s")
 _INDEX = "part int, file int, name string, n_docs bigint, n_ids bigint, n_bytes bigint"
@@ -179,15 +186,20 @@ class _Pieces(dict):
     """The ids, as bytes, of the pieces met so far; a new one is encoded by the tokenizer's model."""
 
     def __init__(self, model):
-        self.model = model
+        self.tokenize = model.tokenize
 
     def __missing__(self, piece: str) -> bytes:
-        letters = piece.encode("utf-8").decode("latin-1").translate(BYTE_LETTERS)
-        ids = [token.id for token in self.model.tokenize(letters)]
-        found = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        letters, _ = charmap_decode(piece.encode("utf-8"), "strict", _LETTERS)
+        ids = [token.id for token in self.tokenize(letters)]
+        found = self[piece] = _packer(len(ids))(*ids)
         return found
 
 
+@lru_cache(1024)
+def _packer(n: int) -> Callable[..., bytes]:
+    return struct.Struct(f"<{n}I").pack
+
+
 class _Words(dict):
     """The ids, as bytes, of what stood between two blanks, with the blank before it.
 
@@ -200,7 +212,7 @@ class _Words(dict):
         self.pieces = pieces
 
     def __missing__(self, word: str) -> bytes:
-        if not word or word[0].isspace() or word[-1].isspace():
+        if not _between_blanks(word):
             raise KeyError(word)
         pattern, met = ASCII_PIECE if word.isascii() else PIECE, len(self.pieces)
         found = b"".join(map(self.pieces.__getitem__, pattern.findall(" " + word)))
@@ -209,6 +221,43 @@ class _Words(dict):
             self[word] = found
         return found
 
+    def of(self, words: list[str]) -> list[bytes | None]:
+        """The ids of different words, None where there is no value; those not known are cut together."""
+        values = list(map(self.get, words))
+        new = [(k, word) for k, word in enumerate(words) if values[k] is None and _between_blanks(word)]
+        for ascii, pattern in ((True, ASCII_PIECE), (False, PIECE)):
+            some = [(k, word) for k, word in new if word.isascii() is ascii]
+            pieces = pattern.findall("".join([" " + word for _, word in some]))
+            found = list(map(self.pieces.get, pieces))
+            # No piece of a word but its first begins with a blank.
+            first = [n for n, piece in enumerate(pieces) if piece[0] == " "]
+            for (k, word), begin, end in zip(some, first, [*first, len(pieces)][1:], strict=True):
+                ids = found[begin:end]
+                if None in ids:
+                    values[k] = b"".join(map(self.pieces.__getitem__, pieces[begin:end]))
+                    continue
+                values[k] = b"".join(ids)
+                if len(word) <= WORD:
+                    self[word] = values[k]
+        return values
+
+
+def _between_blanks(word: str) -> bool:
+    """Whether the blanks around a word stand beside no other white space."""
+    return word != "" and not word[0].isspace() and not word[-1].isspace()
+
+
+def _groups(texts: Sequence[str]) -> Iterator[list[str]]:
+    """Consecutive texts that have ``GROUP`` characters, the last one's beyond it aside."""
+    group, size = [], 0
+    for text in texts:
+        group.append(text)
+        size += len(text)
+        if size >= GROUP:
+            yield group
+            group, size = [], 0
+    yield group
+
 
 class Encoder:
     """The ids of texts, each word and each piece of a text encoded once.
@@ -227,20 +276,46 @@ class Encoder:
         self.by_pieces = self.library.normalizer is None and str(self.library.pre_tokenizer) in BYTE_LEVEL
 
     def encode(self, texts: Sequence[str]) -> Iterator[np.ndarray]:
-        for text in texts:
-            if not self.by_pieces or any(token in text for token in self.special):
-                found = self.library.encode_batch_fast([text], add_special_tokens=False)[0]
-                yield np.array(found.ids, "<u4")
-                continue
-            if len(self.known) + len(self.words) > REMEMBERED:
-                self.known.clear()
-                self.words.clear()
-            yield np.frombuffer(self._by_words(text) or self._by_pieces(text), "<u4")
+        for group in _groups(texts):
+            has_words = list(map(self._has_words, group))
+            some = [text for text, has in zip(group, has_words) if has]
+            # Few words are looked up sooner than sorted out.
+            found = self._together(some) if sum(map(len, some)) >= LEAST else map(self._by_words, some)
+            for text, has in zip(group, has_words):
+                if len(self.known) + len(self.words) > REMEMBERED:
+                    self.known.clear()
+                    self.words.clear()
+                ids = next(found) if has else None
+                if ids is None and self._has_pieces(text):
+                    ids = self._by_pieces(text)
+                if ids is not None:
+                    yield np.frombuffer(ids, "<u4")
+                    continue
+                whole = self.library.encode_batch_fast([text], add_special_tokens=False)[0]
+                yield np.array(whole.ids, "<u4")
+
+    def _has_pieces(self, text: str) -> bool:
+        return self.by_pieces and not any(token in text for token in self.special)
+
+    def _has_words(self, text: str) -> bool:
+        """Not where the text is too long to list its words, or blanks stand side by side."""
+        return len(text) <= STRETCH and "  " not in text and self._has_pieces(text)
+
+    def _together(self, texts: list[str]) -> Iterator[bytes | None]:
+        """``_by_words`` of each text, where each different word of them all is looked up once."""
+        cut = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        coded = cut.values.dictionary_encode()
+        found = self.words.of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ends, at = cut.offsets.to_pylist(), coded.indices.to_numpy()
+        for text, begin, end in zip(texts, ends, ends[1:]):
+            first, words = text.split(" ", 1)[0], list(map(found.__getitem__, at[begin + 1 : end].tolist()))
+            if not first or first[-1].isspace() or None in words:
+                yield None
+            else:
+                yield self._by_pieces(first) + b"".join(words)
 
     def _by_words(self, text: str) -> bytes | None:
-        """None where the text is too long to list its words, or a blank has white space beside it."""
-        if len(text) > STRETCH or "  " in text:
-            return None
+        """None where a blank has white space beside it."""
         first, *words = text.split(" ")
         if not first or first[-1].isspace():
             return None

@@ -104,6 +104,44 @@ def test_a_word_that_comes_again_is_cut_once(monkeypatch):
     assert max(map(len, cut)) < len("A word, A word")
 
 
+@pytest.mark.parametrize("letter", ["a", "ä"])
+def test_a_word_that_many_texts_share_is_cut_once(monkeypatch, letter):
+    encoder, cut = id_files.Encoder(PATH), []
+
+    class Counting:
+        def __init__(self, pattern):
+            self.pattern = pattern
+
+        def findall(self, text):
+            cut.append(text)
+            return self.pattern.findall(text)
+
+    for name in ("ASCII_PIECE", "PIECE"):
+        monkeypatch.setattr(id_files, name, Counting(getattr(id_files, name)))
+    words = [f"{letter}{n}," for n in range(3000)]
+    texts = [" ".join(["Start", *words[k:], *words[:k]]) for k in (0, 7, 70, 700)]
+    found = [ids.tolist() for ids in encoder.encode(texts)]
+    assert sum(text.count(f" {letter}") for text in cut) == len(words)
+    assert found == [e.ids for e in _library().encode_batch(texts, add_special_tokens=False)]
+
+
+odd_texts = st.lists(
+    st.sampled_from(["a", "don't", "'s", "é", "Ünï,", "中文", "7,", "", "\n", "b\n", "\nc", "\xa0", "\x1c", "\u3000", ".", "<|endoftext|>"])
+    | st.text(max_size=5),
+    max_size=8,
+).map(" ".join)
+
+
+@given(st.lists(odd_texts, max_size=9), st.integers(1, 60), st.sampled_from([3, 10, 10**6]))
+@settings(max_examples=400, deadline=None)
+def test_texts_looked_up_together(texts, group, remembered):
+    with pytest.MonkeyPatch.context() as patch:
+        for name, value in (("GROUP", group), ("LEAST", 0), ("STRETCH", 20), ("REMEMBERED", remembered)):
+            patch.setattr(id_files, name, value)
+        found = [ids.tolist() for ids in id_files._encoder(PATH).encode(texts)]
+    assert found == [e.ids for e in _library().encode_batch(texts, add_special_tokens=False)]
+
+
 def test_every_character_is_cut_alike():
     codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     around = lambda c: f"a{c}1{c}!{c} {c}\n{c}{c}'{c} "
