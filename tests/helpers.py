@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from datetime import datetime, timezone
 from decimal import Decimal
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from mercato.operators.keys import ARRIVAL
 from mercato.schemas import TABLES
+from mercato.session import work_dir
 
 
 def raw_text(spark: SparkSession, table: str, rows: list[dict]) -> DataFrame:
@@ -45,3 +47,15 @@ def utc(*parts: int) -> datetime:
 PARENT_ORDERS = [
     {"order_id": f"o{n}", "customer_id": f"c{n}", "order_status": "delivered"} for n in range(1, 10)
 ]
+
+
+def shuffled(spark: SparkSession) -> set[str]:
+    """The shuffle files that this machine holds."""
+    files = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    names = [files.apply(n).getName() for n in range(files.size())]
+    return {name for name in names if name.startswith("shuffle_") and name.endswith(".data")}
+
+
+def scratch(spark: SparkSession) -> set[str]:
+    """The folders below the work folder."""
+    return set(os.listdir(work_dir(spark)))

@@ -1,12 +1,18 @@
 from __future__ import annotations
 
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
-from helpers import column, raw_text, tuples, typed
+from helpers import column, raw_text, scratch, shuffled, tuples, typed
+from mercato.operators.keys import arrival_columns
 from mercato.operators.upsert import insert_if_absent
 from mercato.plans.clean import rejects
 from mercato.plans.ingest import BATCH, BATCH_AND_STORED, ingest, ingest_folder, load, reset
-from mercato.schemas import LOAD_ORDER
+from mercato.schemas import LOAD_ORDER, TABLES
+from mercato.sources import sample
+from mercato.sources.csv import read_csv
 from mercato.sources.store import DerivedStore, Store
 
 
@@ -167,3 +173,33 @@ def test_losses_where_nothing_is_left(spark, raw, tmp_path):
     rows = {rule: (left, dropped) for table, _, rule, left, dropped in loaded.losses if table == "payments"}
     assert rows["input"][0] == raw["payments"].count() and rows["unknown order_id"][0] == 0
     assert rows["unknown order_id"][1] > 0 and sum(loaded.inserted.values()) == 0
+
+
+def test_a_load_leaves_neither_shuffled_files_nor_scratch_tables(spark, raw, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    before, kept = shuffled(spark), scratch(spark)
+    for _ in range(2):
+        load(raw, store)
+    for _ in range(50):
+        if not shuffled(spark) - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled(spark) - before
+    # Keys of a batch are read by the tables that refer to them.
+    assert {name.split("-")[0] for name in scratch(spark) - kept} <= {f"batch_{t.name}" for t in LOAD_ORDER}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_packed_files_keep_the_order_of_arrival(spark, raw, tmp_path, monkeypatch):
+    monkeypatch.setattr(sample, "FILE_ROWS", 100)
+    folder = tmp_path / "messy"
+    sample.write_messy_csv(raw, str(folder))
+    table = TABLES["order_items"]
+    path = folder / "shop_order_items_dataset.csv"
+    assert len(list(path.glob("*.csv.gz"))) > 10
+    rows = read_csv(spark, str(path), table)
+    keys = ["order_id", "product_id", "shipping_limit_date"]
+    got = tuples(rows.orderBy(*arrival_columns(rows)).select(*keys))
+    texts = [F.col(c).cast("string") for c in keys[:2]] + [F.date_format(keys[2], "yyyy-MM-dd HH:mm:ss")]
+    expected = raw["order_items"].orderBy(*arrival_columns(raw["order_items"])).select(*texts)
+    assert got == tuples(expected)
