@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from helpers import raw_text, tuples
+from helpers import raw_text, scratch, shuffled, tuples
 from mercato.plans.ingest import load
 from mercato.schemas import LOAD_ORDER, TABLES
 from mercato.sources.store import Store
@@ -82,3 +82,13 @@ def test_streams_of_children_before_parents(spark, raw, loaded, tmp_path):
         stream_into(files, name, None, store, str(tmp_path / f"progress {name}")).awaitTermination()
     assert sorted(tuples(store["payments"]), key=repr) == loaded["payments"]
     assert sorted(tuples(store["orders"]), key=repr) == loaded["orders"]
+
+
+def test_waiting_rows_leave_no_scratch_tables_and_are_not_shuffled(spark, raw, tmp_path):
+    store, before, kept = Store(spark, str(tmp_path / "s")), shuffled(spark), scratch(spark)
+    insert_or_park(raw["payments"], "payments", store)
+    # No order is there: nothing is joined, and rows of one batch differ.
+    assert not shuffled(spark) - before
+    for name in ("customers", "orders"):
+        insert_or_park(raw[name], name, store)
+    assert not scratch(spark) - kept
