@@ -131,6 +131,45 @@ def test_context_probabilities_sum_to_one(spark):
     assert counts.sum() == sum(np.frombuffer(bytes(r[2]), np.int64).sum() for r in rows)
 
 
+def test_every_word_has_a_context_of_its_own(spark):
+    # Two words of one class, which are not among the most frequent, are followed by one word each.
+    fillers = " ".join(f"f{n}" for n in range(perplexity.CONTEXTS + 3))
+    held = [i for i in range(1000) if crc32(str(i).encode()) % 10 == 0][:4]
+    pairs = ["oneab left", "twoab right", "twoab left", "oneab right"]
+    texts = [(i, " ".join([fillers, *pairs[:2]])) for i in range(1000, 1100) if crc32(str(i).encode()) % 10]
+    assert perplexity.code_of(b"oneab") % perplexity.CLASSES == perplexity.code_of(b"twoab") % perplexity.CLASSES
+    # Fillers are the more frequent.
+    texts += [(2000 + i, fillers) for i in range(30)]
+    docs = spark.createDataFrame([*texts, *zip(held, pairs)], "doc_id bigint, text string")
+    scores = {r["doc_id"]: r["score"] for r in perplexity.score(docs).where("held_out").collect()}
+    # With the same ends, the usual word before makes all the difference.
+    for usual, unusual in zip(held[:2], held[2:]):
+        assert scores[usual] > scores[unusual] + 1
+
+
+def test_step_probabilities_sum_to_one():
+    dishes, rng = 40, np.random.default_rng(3)
+    chances = rng.dirichlet(np.ones(dishes), perplexity._END + 1)
+    words = np.array([perplexity.code_of(w) for w in (b"one", b"two", b"three")], np.uint64)
+    vocab = perplexity.Vocabulary({}, np.array([perplexity._END]))
+    values = np.repeat(words, dishes) | perplexity._RARE
+    before = perplexity.CONTEXTS + (values & perplexity._CLASS).astype(np.int64)
+    shown = np.repeat(values, 2)
+    # A word, then the dish that follows it.
+    context = np.stack([np.full(len(values), perplexity._END), before], 1).ravel()
+    at, codes = vocab.steps(shown, context, np.repeat(np.tile(np.arange(dishes), 3), 2))
+    assert len(at) == len(codes) == len(set(codes.tolist())) == 3 * dishes
+    codes, counts = np.sort(codes), rng.integers(0, 50, 3 * dishes)
+    found = perplexity.step_chances(codes, counts, np.log10(chances), 7)
+    assert found.reshape(3, dishes).sum(axis=1) == pytest.approx(np.ones(3))
+
+
+def test_numbers_in_planes():
+    numbers = np.random.default_rng(4).integers(0, 1 << 62, 100).astype(np.uint64)
+    for values in (numbers, numbers[:0], (numbers >> np.uint64(40)).astype(np.int32)):
+        assert (perplexity._from_planes(perplexity._planes(values), values.dtype.type) == values).all()
+
+
 def test_seating_limits():
     rng = np.random.default_rng(0)
     counts = np.array([0, 1, 2, 50, 100_000])
