@@ -58,4 +58,5 @@ def shuffled(spark: SparkSession) -> set[str]:
 
 def scratch(spark: SparkSession) -> set[str]:
     """The folders below the work folder."""
-    return set(os.listdir(work_dir(spark)))
+    folder = work_dir(spark)
+    return set(os.listdir(folder)) if os.path.isdir(folder) else set()

@@ -11,6 +11,7 @@ from mercato.operators.upsert import insert_if_absent
 from mercato.plans.clean import rejects
 from mercato.plans.ingest import BATCH, BATCH_AND_STORED, ingest, ingest_folder, load, reset
 from mercato.schemas import LOAD_ORDER, TABLES
+from mercato.session import Stages
 from mercato.sources import sample
 from mercato.sources.csv import read_csv
 from mercato.sources.store import DerivedStore, Store
@@ -203,3 +204,26 @@ def test_packed_files_keep_the_order_of_arrival(spark, raw, tmp_path, monkeypatc
     texts = [F.col(c).cast("string") for c in keys[:2]] + [F.date_format(keys[2], "yyyy-MM-dd HH:mm:ss")]
     expected = raw["order_items"].orderBy(*arrival_columns(raw["order_items"])).select(*texts)
     assert got == tuples(expected)
+
+
+def test_rows_are_staged_before_they_are_shuffled_anew(spark, raw, tmp_path, monkeypatch):
+    plain = Store(spark, str(tmp_path / "plain"))
+    expected, kept, names = load(raw, plain), scratch(spark), []
+
+    def noted(self, df, whole=Stages.__call__):
+        names.append(self.name)
+        return whole(self, df)
+
+    monkeypatch.setattr(Stages, "__call__", noted)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        store = Store(spark, str(tmp_path / "staged"))
+        found = load(raw, store)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert found == expected
+    assert {name: names.count(name) for name in names} == {"cleaned_orders": 1, "cleaned_order_items": 3}
+    assert not scratch(spark) - kept
+    for table in LOAD_ORDER:
+        assert sorted(tuples(store[table.name]), key=repr) == sorted(tuples(plain[table.name]), key=repr)
