@@ -227,3 +227,20 @@ def test_rows_are_staged_before_they_are_shuffled_anew(spark, raw, tmp_path, mon
     assert not scratch(spark) - kept
     for table in LOAD_ORDER:
         assert sorted(tuples(store[table.name]), key=repr) == sorted(tuples(plain[table.name]), key=repr)
+
+
+def test_rows_that_are_all_new_are_not_looked_up_again(spark, store, monkeypatch):
+    first = people(spark, ("a", "x"))
+    insert_if_absent(first, store, "people", ["id"])
+    kinds = []
+
+    def noted(self, other, on=None, how=None, whole=type(first).join):
+        kinds.append(how)
+        return whole(self, other, on, how)
+
+    monkeypatch.setattr(type(first), "join", noted)
+    assert insert_if_absent(people(spark, ("b", "y"), ("c", "z")), store, "people", ["id"]) == 2
+    assert "left_semi" not in kinds
+    assert insert_if_absent(people(spark, ("c", "other"), ("d", "z")), store, "people", ["id"]) == 1
+    assert kinds.count("left_semi") == 1
+    assert sorted(tuples(store["people"])) == [("a", "x"), ("b", "y"), ("c", "z"), ("d", "z")]
