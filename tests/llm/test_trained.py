@@ -164,6 +164,33 @@ def test_step_probabilities_sum_to_one():
     assert found.reshape(3, dishes).sum(axis=1) == pytest.approx(np.ones(3))
 
 
+def test_rare_words_depend_on_the_word_before(spark, monkeypatch):
+    monkeypatch.setattr(perplexity, "DISHES", 2)
+    held = [i for i in range(1000) if crc32(str(i).encode()) % 10 == 0][:4]
+    # Two frequent words, each followed by one of two rare words of one class.
+    pairs = ["the oneab", "and twoab", "the twoab", "and oneab"]
+    texts = [(i, pairs[i % 2]) for i in range(1000, 1100) if crc32(str(i).encode()) % 10]
+    # They are the more frequent.
+    texts += [(2000 + i, "the the and and") for i in range(30)]
+    docs = spark.createDataFrame([*texts, *zip(held, pairs)], "doc_id bigint, text string")
+    scores = {r["doc_id"]: r["score"] for r in perplexity.score(docs).where("held_out").collect()}
+    for usual, unusual in zip(held[:2], held[2:]):
+        assert scores[usual] > scores[unusual] + 1
+
+
+def test_probabilities_of_rare_words_in_contexts_sum_to_one():
+    rng = np.random.default_rng(5)
+    base = rng.dirichlet(np.ones(60))
+    counts, at = rng.integers(0, 30, 180), np.repeat([0, 70, 5000], 60)
+    totals = [np.bincount(at, weights=x, minlength=6000).astype(int) for x in (counts, counts > 0)]
+    model = perplexity.Following(totals[0], 0.7, (totals[1],))
+    for sweep in range(perplexity.BURN + perplexity.KEEP):
+        own = np.bincount(at, weights=model.seated(counts, np.tile(base, 3), at, 1, sweep), minlength=6000)
+        model = perplexity.Following(totals[0], 0.7, (*model.tables, own))
+    found = model.predictive(counts, np.tile(base, 3), at, 1)
+    assert found.reshape(3, 60).sum(axis=1) == pytest.approx(np.ones(3))
+
+
 def test_numbers_in_planes():
     numbers = np.random.default_rng(4).integers(0, 1 << 62, 100).astype(np.uint64)
     for values in (numbers, numbers[:0], (numbers >> np.uint64(40)).astype(np.int32)):
